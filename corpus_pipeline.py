@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fabula.llm import exact_dedup, jaccard_join, mixing, packing
+from fabula.llm import exact_dedup, jaccard_join, mixing, packing, quality
 from fabula.llm._shared import materialize
 from fabula.llm.queries import TOKENIZER
 
 
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier, learnt from the labelled documents of ``labels``: rejected documents go."""
+    return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Exact dedup: of texts equal after lower-casing A-Z, the row with the largest doc_id stays."""
     return exact_dedup.exact_dedup(docs, keep="max")
@@ -30,6 +35,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 STAGES = [
+    ("quality", keep_quality),
     ("exact_dedup", drop_exact_copies),
     ("near_dedup", drop_near_copies),
     ("mix", mix_sources),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -31,11 +32,18 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+def materialize(df: DataFrame, label: str, tidy: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here, and a lost
-    executor costs a re-read, not a recomputation."""
+    executor costs a re-read, not a recomputation.
+
+    ``tidy`` lets the driver collect its garbage, upon which Spark deletes the shuffle files of
+    finished jobs; without it they stay until the driver happens to need memory.
+    """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
+    if tidy:
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

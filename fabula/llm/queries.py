@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard_join, mixing, packing
+from . import exact_dedup, jaccard_join, lm, mixing, packing, quality, substring_dedup
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -32,16 +32,33 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=100, with_bytes=False)
+    return cut.withColumnRenamed("id", "doc_id").drop("kept")
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return scored.withColumnRenamed("id", "doc_id")
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), k=4, threshold="0.85")
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_mix_sources": op6_mix_sources,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -60,7 +77,7 @@ ORACLES: dict[str, str] = {
             FROM documents),
         per AS (
             SELECT src, sum(size)::BIGINT AS source_size,
-                   [5.0, 2.0, 1.0]::DOUBLE[][((row_number() OVER (ORDER BY src) - 1) % 3 + 1)::INT] AS w
+                   list_extract([5.0, 2.0, 1.0]::DOUBLE[], (row_number() OVER (ORDER BY src) - 1) % 3 + 1) AS w
             FROM docs GROUP BY src),
         shared AS (  -- water level: sources by ceiling over weight; the first whose ceiling is above its share ends it
             SELECT *, row_number() OVER (ORDER BY 2.0 * source_size / w, src) AS k,

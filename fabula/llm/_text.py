@@ -102,3 +102,14 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int) -> Iterator[np.ndar
                 yield mix64(np.array([short ^ np.uint64(0x5851F42D4C957F2D)]))
             else:
                 yield np.zeros(0, np.uint64)
+
+
+def stretched(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and offsets of a string column with one zero byte added after each text."""
+    data, offsets = utf8(column)
+    size = np.diff(offsets)
+    longer = np.concatenate(([0], np.cumsum(size + 1)))
+    out = np.zeros(longer[-1], np.uint8)
+    place = np.arange(size.sum()) + np.repeat(np.arange(len(size)), size)
+    out[place] = data[offsets[0] : offsets[-1]]
+    return out, longer

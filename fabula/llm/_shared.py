@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fabula.session import ship
+
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -27,6 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
+    ship(spark)
     path = f"{shared_dir(spark)}/fabula/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
     _WRITTEN.append((spark, path))
     return path

@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fabula.session import ship
+
 from . import _sums
 from ._shared import materialize
 from ._text import _LOWER, blocks, mix64, words
@@ -218,6 +220,7 @@ def lm_scores(
     frequent: int = 1 << 19,
 ) -> DataFrame:
     """One row per input row: ``id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
+    ship(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     training = docs.where(fold(F.col("id"), folds) != held_fold).select("text")
     counts = materialize(count_words(training), "lm-counts")

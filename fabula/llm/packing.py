@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fabula.session import ship
+
 from ._shared import materialize
 from ._tokens import Bpe
 
@@ -100,6 +102,7 @@ def pack(
 
     ``copy`` tells apart rows that repeat an id.
     """
+    ship(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("copy"), F.col(text_col).alias("text"))
     pieces = materialize(encode_pieces(docs, tokenizer, capacity, end_id), "pack-pieces")
     shards = max(1, round(pieces.count() / shard_rows))

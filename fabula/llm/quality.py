@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fabula.session import ship
+
 from . import _sums
 from ._shared import materialize
 from ._text import blocks, words
@@ -186,6 +188,7 @@ def quality_scores(
     sample: int = 20_000,
 ) -> DataFrame:
     """One row per input row: ``id, held_out, score, predicted``; labels of ``held_fold`` are never used."""
+    ship(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     features = materialize(pooled(docs, context_vectors(docs.select("text"))), "quality-features")
     known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("double").alias("y")).dropna()

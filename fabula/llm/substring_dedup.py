@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fabula.session import ship
+
 from ._shared import materialize, parallelism
 from ._text import _BASE, _INVERSE, _RANDOM, _powers, mix64, utf8
 from .suffix_array import equal_starts, suffix_array
@@ -332,6 +334,7 @@ def remove_repeats(
     with_bytes: bool = True,
 ) -> DataFrame:
     """One row per input row: ``id, n_bytes, n_removed, n_spans, kept_sha256, kept`` (the remaining bytes)."""
+    ship(df.sparkSession)
     docs = ordered(df, id_col, text_col)
     marks = repeated_spans(docs, length, gram, hot, shard_bytes)
     grouped = marks.groupBy("o").agg(F.collect_list(F.struct("a", "m")).alias("spans"))

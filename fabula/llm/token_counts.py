@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fabula.session import ship
+
 from ._tokens import PATTERN, Bpe
 
 LOOK = 2  # characters past its end on which a pre-token may depend
@@ -150,6 +152,7 @@ COUNTS = "id long, n_chars long, n_pretokens long, n_tokens long, n_edits int, n
 
 def edit_counts(docs: DataFrame, edits: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, edits(id_col, start, end, new) -> COUNTS: tokens before the edits and after them."""
+    ship(docs.sparkSession)
     listed = edits.groupBy(F.col(id_col).cast("long").alias("key")).agg(
         F.collect_list(F.struct(F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("new").cast("string").alias("new"))).alias("edits")
     )
@@ -160,6 +163,7 @@ def edit_counts(docs: DataFrame, edits: DataFrame, tokenizer: str, id_col: str =
 
 def redaction_counts(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", pattern: str = PERSONAL, new: str = "[removed]") -> DataFrame:
     """COUNTS for the edits that replace every match of ``pattern``; texts stay where they are, nothing is shuffled."""
+    ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(_runner(tokenizer, pattern, new), COUNTS)
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fabula.session import ship
+
 from . import _sums
 from ._shared import materialize
 from ._text import mix64, stretched
@@ -149,6 +151,7 @@ def threshold(judged: DataFrame) -> float:
 
 def judge(df: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per input row: ``id, host, path, rule, verdict, value``."""
+    ship(df.sparkSession)
     ruled = with_rules(df.select(F.col(id_col).alias("__fb_id"), F.col(url_col).alias("__fb_in")), "__fb_in", rules)
     lowered = F.translate("__fb_path", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sites = ruled.select(

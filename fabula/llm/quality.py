@@ -196,7 +196,7 @@ def quality_scores(
     drawn = features.join(known, "id").select("y", "features", F.xxhash64("id").alias("h")).orderBy("h", "features").limit(sample).toArrow()
     y = drawn["y"].to_numpy()
     share = float(y.mean()) if len(y) else 0.5
-    if 0 < share < 1:
+    if 0 < share < 1 and len(y):
         x = drawn["features"].combine_chunks().flatten().to_numpy().reshape(-1, FEATURES).astype(np.float64)
         score = Network(x, y).score
     else:

@@ -162,3 +162,35 @@ def metrics(edges: DataFrame, source: str = "src", target: str = "dst") -> DataF
     return basic.withColumn("density", density).join(F.broadcast(sizes)).join(F.broadcast(mean))  # one row each
 
 
+
+
+def communities(edges: DataFrame, rounds: int = 5, smallest: int = 3, source: str = "src", target: str = "dst") -> DataFrame:
+    """(id, community) after a fixed number of synchronous label rounds: the most frequent label among the neighbours
+    and the node itself, ties to the least; communities below ``smallest`` nodes are left out."""
+    near = undirected(edges, source, target)
+    near = materialize(near.unionByName(near.select("a", F.col("a").alias("b")).distinct()), "graph-near")
+    labels = near.select(F.col("a").alias("id"), F.col("a").alias("community")).distinct()
+    for _ in range(rounds):
+        votes = near.join(labels.select(F.col("id").alias("b"), "community"), "b").groupBy("a", "community").agg(F.count(F.lit(1)).alias("n"))
+        best = votes.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("m"))
+        labels = materialize(best.select(F.col("a").alias("id"), F.col("m.community").alias("community")), "graph-labels")
+    large = labels.groupBy("community").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= smallest).select("community")
+    return labels.join(large, "community", "left_semi").select("id", "community")
+
+
+def eigenvector(edges: DataFrame, rounds: int = 10, source: str = "src", target: str = "dst") -> DataFrame:
+    """(id, score): a fixed number of power rounds on the undirected graph with loops, each scaled to unit length."""
+    near = materialize(undirected(edges, source, target), "graph-near")
+    scores = near.select(F.col("a").alias("id")).distinct().withColumn("score", F.lit(1.0))
+    for _ in range(rounds):
+        sums = near.join(scores.select(F.col("id").alias("b"), "score"), "b").groupBy("a").agg(F.sum("score").alias("s"))
+        raw = materialize(scores.join(sums, scores["id"] == sums["a"]).select("id", (F.col("score") + F.col("s")).alias("score")), "graph-scores")
+        norm = raw.agg(F.sqrt(F.sum(F.col("score") * F.col("score")))).first()[0] or 1.0
+        scores = raw.withColumn("score", F.col("score") / F.lit(norm))
+    return scores
+
+
+def shortest_hops(edges: DataFrame, pairs: DataFrame, longest: int = 3, source: str = "src", target: str = "dst") -> DataFrame:
+    """(a, b, hops): least number of undirected steps between given ends (columns a, b), up to ``longest``."""
+    reached = k_hop(edges, pairs.select(F.col("a").alias("seed")).distinct(), longest, source, target)
+    return pairs.join(reached.select(F.col("seed").alias("a"), F.col("id").alias("b"), "hops"), ["a", "b"])

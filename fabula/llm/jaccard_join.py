@@ -3,16 +3,21 @@
 1. One pass over the texts turns each document into its set of word shingles, a digest of that set
    (equal sets are one class from here on) and a few partition keys.
 2. Keys: shingle hashes are split by range into parts. Sets with similarity t differ in at most
-   d = (1 - t) / t * size elements, and an element lies in one part, so of the first d + 1 non-empty
-   parts of either set one holds the same elements in both. Equal (part, content) keys therefore
-   meet every link, whatever words are frequent; unrelated documents that share a passage almost
-   never agree on a whole part. Part counts go by size class; sets near the top of a class also
-   speak the next one's. A set with too few non-empty parts speaks finer partitions too.
-3. Components over equal keys hold all links. Members of a component meet in one task as sets, under
+   d = (1 - t) / t * size elements, and an element lies in one part, so of d + 1 parts one holds the
+   same elements in both. Equal (part, content) keys therefore meet every link, whatever words are
+   frequent, while unrelated documents that share a passage seldom agree on a whole part. Part counts
+   go by size class; sets near the top of a class also speak the next one's.
+3. Classes with one key form a group around its least class. Parity signatures (one bit for each hash
+   cell with an odd number of elements) bound the difference of two sets from below; members within
+   the bound are joined to the centre, the others form groups of their own in the next round. What is
+   there after ``rounds`` rounds meets by key in one task, if a key has at most ``GROUP`` classes left:
+   signatures are compared in blocks, and only a spanning forest comes out. Larger groups are joined
+   unseen, which only makes components larger.
+4. Components over these joins hold all links. Members of a component meet in one task as sets, under
    a signature tree: sorted by size, nodes carry OR-combined bitmaps and a size range; a dual
    traversal prunes node pairs by size range, by the largest possible overlap, and where all
    documents are linked already. What is left is compared exactly.
-4. A component of more than ``block`` classes is dealt into blocks: links within blocks first, then
+5. A component of more than ``block`` classes is dealt into blocks: links within blocks first, then
    among a few delegates of every block-local component; documents still outside the component's
    largest group are compared with all its other blocks. A cluster of near copies of any size costs
    a linear number of rows.
@@ -28,17 +33,22 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fabula.session import ship
+
 from ._shared import materialize, parallelism
 from ._text import blocks, mix64, shingles, words
 from .components import components
 
 WORDS64 = 16  # of a bitmap: 1024 bits
+GROUP = 4096  # classes of one key that are compared in one task
 
 
 # -- sets, digests and keys ----------------------------------------------------------------------
@@ -52,33 +62,69 @@ def digest(values: np.ndarray) -> tuple[int, int]:
     return one, two - (1 << 64) if two >= 1 << 63 else two
 
 
-def _parts(values: np.ndarray, mixed: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers of the non-empty parts, and the sum of mixed elements in each."""
+def _parts(values: np.ndarray, mixed: np.ndarray, count: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the non-empty parts, the sum of mixed elements in each, and how many there are."""
     part = (values >> np.uint64(32)) * np.uint64(count) >> np.uint64(32)
     first = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-    return part[first], np.add.reduceat(mixed, first)
+    return part[first], np.add.reduceat(mixed, first), np.diff(np.concatenate((first, [len(part)])))
+
+
+@lru_cache
+def part_plan(threshold: Fraction) -> tuple[int, float]:
+    """(r, m): parts of m elements on average in the largest set of a class, of which those with r
+    elements or more still outnumber the differences, for any size in the class. The largest such r:
+    agreement on more elements says more."""
+    need = 1.05 * float(1 / threshold - 1)
+
+    def enough(r: int, m: float) -> bool:
+        return (1 - sum(math.exp(-m) * m**i / math.factorial(i) for i in range(r))) / m >= need
+
+    for r in (4, 3, 2):
+        for m in np.arange(12, 1, -0.1):
+            if all(enough(r, x) for x in np.linspace(m / math.sqrt(2), m, 9)):
+                return r, float(m)
+    return 1, 1 / (1.04 * float(1 / threshold - 1))
 
 
-def partition_keys(values: np.ndarray, threshold: Fraction) -> np.ndarray:
-    """Keys of a sorted set such that two sets with at least that similarity have one in common."""
+def class_limit(c: int) -> int:
+    """Sizes of class c end here; limits grow by the square root of two."""
+    return math.isqrt(1 << c) + (math.isqrt(1 << c) ** 2 < 1 << c)
+
+
+def partition_keys(values: np.ndarray, threshold: Fraction) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(size class, keys, parity signature) of a sorted set, for the one or two classes it speaks.
+
+    Two sets with at least that similarity have a class and in it a key in common: of the first d + 1
+    parts with r elements or more, of whichever set gets there first, d at most differ. A set with too
+    few such parts speaks all it has, and also parts with one element or more, of growing number.
+    """
     size = len(values)
-    differ = size * (threshold.denominator - threshold.numerator) // threshold.numerator
-    cls = (size - 1).bit_length()  # sizes in (2**(cls - 1), 2**cls]
+    p, q = threshold.numerator, threshold.denominator
+    differ = size * (q - p) // p
+    cls = 2 * (size - 1).bit_length()
+    while cls and class_limit(cls - 1) >= size:
+        cls -= 1
     classes = [cls]
-    if size * threshold.denominator >= (1 << cls) * threshold.numerator:
+    if size * q >= class_limit(cls) * p:
         classes.append(cls + 1)
-    keys = []
+    spoken = []
+    least, mean = part_plan(threshold)
     with np.errstate(over="ignore"):
         mixed = mix64(values + np.uint64(0xCBBB9D5DC1059ED8))
         for c in classes:
-            count = math.ceil((1 << c) * (1 / float(threshold) - 1) * 1.04) + 3
-            while True:
-                number, content = _parts(values, mixed, count)
+            limit, keys = class_limit(c), []
+            plans = chain([(least, math.ceil(limit / mean))], ((1, math.ceil(limit * (1 / float(threshold) - 1) * 1.04 * 2**i) + 3) for i in range(40)))
+            for fewest, count in plans:
+                number, content, per = _parts(values, mixed, count)
+                full = per >= fewest
+                number, content = number[full], content[full]
                 keys.append(mix64(content ^ mix64((number << np.uint64(32)) + np.uint64(count)))[: differ + 1])
                 if len(number) > differ:
                     break
-                count *= 2
-    return np.concatenate(keys).view(np.int64)
+            cells = 1 << max(6, (limit - 1).bit_length())
+            odd = np.bincount((mixed & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+            spoken.append((c, np.concatenate(keys).view(np.int64), np.packbits(odd.astype(bool)).view(np.int64)))
+    return spoken
 
 
 def _ids_and_sets(batch: pa.RecordBatch, text: int, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -88,38 +134,108 @@ def _ids_and_sets(batch: pa.RecordBatch, text: int, k: int) -> Iterator[tuple[in
             yield row + i, values
 
 
+DESCRIBED = "id long, n long, node long, node2 long, own boolean, c int, keys array<long>, signature array<long>"
+
+
 def describe(docs: DataFrame, k: int, threshold: Fraction) -> DataFrame:
-    """docs(id, text) -> id, n, node, node2, keys."""
+    """docs(id, text) -> DESCRIBED: one row per document with ``own`` set, and one for a second class it speaks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = np.zeros(0, np.int64)
         for batch in batches:
-            ids = batch.column(0)
-            start, out, ends = 0, [], [0]
-            n, one, two = [], [], []
+            ids = batch.column(0).to_pylist()
+            rows, size = [], 0
             for row, values in _ids_and_sets(batch, 1, k):
-                n.append(len(values))
-                a, b = digest(values) if len(values) else (None, None)
-                one.append(a)
-                two.append(b)
-                if len(values):
-                    out.append(partition_keys(values, threshold))
-                ends.append(ends[-1] + (len(out[-1]) if len(values) else 0))
-                if ends[-1] > 1 << 20:
-                    yield _described(ids, start, row + 1, n, one, two, out, ends)
-                    start, out, ends, n, one, two = row + 1, [], [0], [], [], []
-            if n:
-                yield _described(ids, start, len(ids), n, one, two, out, ends)
-
-    return docs.select("id", "text").mapInArrow(run, "id long, n long, node long, node2 long, keys array<long>")
-
-
-def _described(ids, start, end, n, one, two, out, ends) -> pa.RecordBatch:
-    flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int64))
-    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
-    return pa.RecordBatch.from_arrays(
-        [ids.slice(start, end - start), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), lists],
-        ["id", "n", "node", "node2", "keys"],
-    )
+                if not len(values):
+                    rows.append((ids[row], 0, None, None, True, None, none, none))
+                    continue
+                one, two = digest(values)
+                for at, (c, keys, signature) in enumerate(partition_keys(values, threshold)):
+                    rows.append((ids[row], len(values), one, two, at == 0, c, keys, signature))
+                    size += len(keys) + len(signature)
+                if size > 1 << 20:
+                    yield _described(rows)
+                    rows, size = [], 0
+            if rows:
+                yield _described(rows)
+
+    return docs.select("id", "text").mapInArrow(run, DESCRIBED)
+
+
+def _described(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows))
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32()]
+    arrays = [pa.array(c, t) for c, t in zip(columns, kinds)]
+    for lists in columns[6:]:
+        ends = np.cumsum([0, *map(len, lists)])
+        arrays.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(lists))))
+    return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in DESCRIBED.split(", ")])
+
+
+def candidate_edges(base: DataFrame, threshold: Fraction, rounds: int) -> DataFrame:
+    """DESCRIBED -> (u, v) between classes, such that every link's ends are connected."""
+    known = base.where("n > 0")
+    spoken = known.select(F.explode("keys").alias("key"), "c", "node")
+    met = spoken.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
+    met = materialize(met.select("key"), "join-keys", True)
+    rows = materialize(spoken.join(met, "key").distinct(), "join-met", True)
+    signatures = materialize(known.select("node", "c", "n", "signature").dropDuplicates(["node", "c"]), "join-signatures")
+    p, q = threshold.numerator, threshold.denominator
+    edges = signatures.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
+    for _ in range(rounds):
+        low = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
+        around = rows.join(materialize(low, "join-low"), "key").where("node > low")
+        a = signatures.select("node", "c", F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
+        b = signatures.select(F.col("node").alias("low"), "c", F.col("n").alias("n_b"), F.col("signature").alias("s_b"))
+        pairs = around.select("c", "node", "low").distinct().join(a, ["node", "c"]).join(b, ["low", "c"])
+        odd = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        near = pairs.where((F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p) & (odd * p <= F.least("n_a", "n_b") * (q - p)))
+        near = materialize(near.select("c", "node", "low"), "join-near")
+        edges = edges.unionByName(near.select(F.col("node").alias("u"), F.col("low").alias("v")))
+        rows = materialize(around.join(near, ["c", "node", "low"], "left_anti").select("key", "c", "node"), "join-left", True)
+        if rows.isEmpty():
+            return edges
+    sizes = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("low")).where("size > 1"), "join-sizes")
+    rest = materialize(rows.join(sizes, "key"), "join-rest")
+    seen = rest.where(F.col("size") <= GROUP).join(signatures, ["node", "c"])
+    n = rest.count()
+    tasks = max(parallelism(base.sparkSession), n // 20_000)
+    seen = seen.select(F.pmod(F.xxhash64("key"), F.lit(tasks)).alias("task"), "key", "node", "n", "signature")
+    unseen = rest.where((F.col("size") > GROUP) & (F.col("node") > F.col("low"))).select(F.col("node").alias("u"), F.col("low").alias("v"))
+    return edges.unionByName(unseen).unionByName(_forest(seen, p, q))
+
+
+def _forest(rows: DataFrame, p: int, q: int) -> DataFrame:
+    """rows(task, key, node, n, signature) -> (u, v): a spanning forest of the near classes of each key."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("key", "ascending"), ("node", "ascending")])
+        key, node, n = (table[c].to_numpy() for c in ("key", "node", "n"))
+        lists = table["signature"].combine_chunks()
+        ends = lists.offsets.to_numpy()
+        words_ = lists.values.to_numpy().view(np.uint64)
+        u, v = [], []
+        for at in np.split(np.arange(len(key)), np.flatnonzero(key[1:] != key[:-1]) + 1):
+            if len(at) < 2:
+                continue
+            signs = np.stack([words_[ends[i] : ends[i + 1]] for i in at])
+            left = np.arange(len(at))
+            label = np.arange(len(at))
+            for x in left[:-1]:
+                other = left[x + 1 :]
+                other = other[label[other] != label[x]]
+                if not len(other):
+                    continue
+                size, large = np.minimum(n[at[x]], n[at[other]]), np.maximum(n[at[x]], n[at[other]])
+                odd = np.bitwise_count(signs[other] ^ signs[x]).sum(axis=1).astype(np.int64)
+                for y in other[(size * q >= large * p) & (odd * p <= size * (q - p))]:
+                    if label[y] != label[x]:
+                        u.append(node[at[y]])
+                        v.append(node[at[x]])
+                        label[label == label[y]] = label[x]
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return rows.groupBy("task").applyInArrow(run, "u long, v long")
 
 
 # -- the signature tree --------------------------------------------------------------------------
@@ -239,7 +355,7 @@ def gather_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
             if rows:
                 yield _sets(rows)
 
-    joined = docs.join(members, F.col("id").eqNullSafe(F.col("rep")))
+    joined = docs.join(members.hint("merge"), F.col("id").eqNullSafe(F.col("rep")))  # members grow with the corpus
     return joined.select("text", "node", "comp").mapInArrow(run, SETS)
 
 
@@ -329,26 +445,24 @@ def _link_blocks(large: DataFrame, local: DataFrame, threshold: Fraction, block:
 
 
 def jaccard_components(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float | str = "0.8", block: int = 1024
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float | str = "0.8", block: int = 1024, rounds: int = 2
 ) -> DataFrame:
     """One row per input row: ``id, n_shingles, component_id, node, linked`` (other classes it is joined with)."""
+    ship(df.sparkSession)
     t = Fraction(str(threshold))
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = materialize(describe(docs, k, t), "join-base")
-    spoken = base.where("n > 0").select(F.explode("keys").alias("key"), "node")
-    met = materialize(spoken.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low"), "join-keys")
-    edges = spoken.join(met, "key").where("node > low").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()
-    candidates = components(edges)
-    classes = materialize(base.where("n > 0").groupBy("node").agg(F.min("id").alias("rep")), "join-classes")
+    base = materialize(describe(docs, k, t), "join-base", True)
+    candidates = components(candidate_edges(base, t, rounds))
+    classes = materialize(base.where("n > 0 AND own").groupBy("node").agg(F.min("id").alias("rep")), "join-classes")
     members = materialize(classes.join(candidates, "node").select("rep", "node", "comp"), "join-members")
-    sets = materialize(gather_sets(docs, members, k), "join-sets")
+    sets = materialize(gather_sets(docs, members, k), "join-sets", True)
     labels = link(sets, t, block)
     known = members.select("rep", "node").join(labels, "node")
     least = known.groupBy("label").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("linked"))
     named = known.join(least, "label").select("node", "least", (F.col("linked") - 1).alias("linked"))
     named = classes.join(named, "node", "left").select("node", F.coalesce("least", "rep").alias("least"), F.coalesce("linked", F.lit(0)).alias("linked"))
     named = materialize(named, "join-named").withColumn("n", F.lit(1))
-    rows = base.select("id", F.col("n").alias("n_shingles"), "node", F.least("n", F.lit(1)).alias("n"))
+    rows = base.where("own").select("id", F.col("n").alias("n_shingles"), "node", F.least("n", F.lit(1)).alias("n"))
     out = rows.join(named, ["node", "n"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("least")).otherwise(F.col("id"))
     return out.select("id", "n_shingles", component.alias("component_id"), "node", F.coalesce("linked", F.lit(0)).alias("linked"))

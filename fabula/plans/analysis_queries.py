@@ -204,10 +204,11 @@ def rule_relation_inference(spark, d):
 
 
 @query(f"""WITH t AS (SELECT a.event_type || '-' || relation_type || '-' || b.event_type AS pattern, confidence FROM {FOLLOWS} f JOIN events a ON a.event_id = source_event_id JOIN events b ON b.event_id = target_event_id)
-    SELECT pattern, count(*) AS frequency, round(count(*) / (SELECT count(*) FROM t), 9) AS support, round(avg(confidence), 6) AS confidence FROM t GROUP BY 1""")
+    SELECT pattern, count(*) AS frequency, round(count(*) / (SELECT count(*) FROM t), 9) AS support, round(sum(confidence), 6) AS total_confidence FROM t GROUP BY 1""")
 def edge_patterns(spark, d):
     out = mn.edge_patterns(follows(spark, d), events(spark, d), "source_event_id", "target_event_id", "relation_type", "confidence", "event_id", "event_type")
-    return out.withColumns({"support": F.round("support", 9), "confidence": F.round("confidence", 6)})
+    total = F.round(F.col("confidence") * F.col("frequency"), 6)  # a sum of six-place numbers; a mean may lie between two
+    return out.select("pattern", "frequency", F.round("support", 9).alias("support"), total.alias("total_confidence"))
 
 
 @query("""WITH p AS (SELECT event_type AS a, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events), q AS (SELECT * FROM p WHERE b IS NOT NULL), n AS (SELECT a, count(*) AS n FROM q GROUP BY 1)

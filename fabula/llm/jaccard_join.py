@@ -8,9 +8,11 @@
    frequent, while unrelated documents that share a passage seldom agree on a whole part. Part counts
    go by size class; sets near the top of a class also speak the next one's.
 3. Classes with one key form a group around its least class. Parity signatures (one bit for each hash
-   cell with an odd number of elements) bound the difference of two sets from below; members within
-   the bound are joined to the centre, the others form groups of their own in the next round. What is
-   there after ``rounds`` rounds meets by key in one task, if a key has at most ``GROUP`` classes left:
+   cell with an odd number of elements) bound the difference of two sets from below, and their own
+   differences obey the triangle inequality. Members are taken in order of their signature's difference
+   from the centre's, up to the first gap as wide as a link may be: those before it are joined to the
+   centre and leave the key, for no link leads from them to those beyond, which form groups of their
+   own in the next round. What is there after ``rounds`` rounds meets by key in one task, if a key has at most ``GROUP`` classes left:
    signatures are compared in blocks, and only a spanning forest comes out. Larger groups are joined
    unseen, which only makes components larger.
 4. Components over these joins hold all links. Members of a component meet in one task as sets, under
@@ -49,6 +51,7 @@ from .components import components
 
 WORDS64 = 16  # of a bitmap: 1024 bits
 GROUP = 4096  # classes of one key that are compared in one task
+BANDS = 64  # of differences from a centre, each an eighth of what a link in the size class may have
 
 
 # -- sets, digests and keys ----------------------------------------------------------------------
@@ -182,21 +185,30 @@ def candidate_edges(base: DataFrame, threshold: Fraction, rounds: int) -> DataFr
     signatures = materialize(known.select("node", "c", "n", "signature").dropDuplicates(["node", "c"]), "join-signatures")
     p, q = threshold.numerator, threshold.denominator
     edges = signatures.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
+    signatures = signatures.withColumn("limit", F.ceil(F.pow(F.lit(2.0), F.col("c") / 2)))  # class_limit
     for _ in range(rounds):
-        low = rows.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "low")
-        around = rows.join(materialize(low, "join-low"), "key").where("node > low")
-        a = signatures.select("node", "c", F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
-        b = signatures.select(F.col("node").alias("low"), "c", F.col("n").alias("n_b"), F.col("signature").alias("s_b"))
+        low = rows.groupBy("key", "c").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "c", "low")
+        around = rows.join(materialize(low, "join-low"), ["key", "c"]).where("node > low")
+        a = signatures.select("node", "c", "limit", "n", F.col("signature").alias("s_a"))
+        b = signatures.select(F.col("node").alias("low"), "c", F.col("signature").alias("s_b"), F.col("n").alias("n_low"))
         pairs = around.select("c", "node", "low").distinct().join(a, ["node", "c"]).join(b, ["low", "c"])
         odd = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        near = pairs.where((F.least("n_a", "n_b") * q >= F.greatest("n_a", "n_b") * p) & (odd * p <= F.least("n_a", "n_b") * (q - p)))
-        near = materialize(near.select("c", "node", "low"), "join-near")
-        edges = edges.unionByName(near.select(F.col("node").alias("u"), F.col("low").alias("v")))
-        rows = materialize(around.join(near, ["c", "node", "low"], "left_anti").select("key", "c", "node"), "join-left", True)
+        band = F.least(F.lit(BANDS - 1), F.floor(odd * (8 * p) / (F.col("limit") * (q - p)))).cast("int")
+        most = F.greatest("n", "n_low") * 8 / F.col("limit")
+        far = materialize(pairs.select("c", "node", "low", band.alias("band"), most.alias("most")), "join-far")
+        apart = around.join(far, ["c", "node", "low"])
+        # differences from a centre obey the triangle inequality: beyond an empty stretch as wide as a link's
+        # largest difference nothing links with what is before it
+        bounds = apart.groupBy("key", "c").agg(F.collect_set("band").alias("bands"), F.max("most").alias("most"))
+        inner = F.aggregate(F.array_sort("bands"), F.lit(0), lambda s, x: F.when(x - s - 1 >= F.col("most"), s).otherwise(x))
+        apart = materialize(apart.join(bounds.select("key", "c", inner.alias("inner")), ["key", "c"]), "join-apart")
+        near = apart.where("band <= inner").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()
+        edges = edges.unionByName(near)
+        rows = materialize(apart.where("band > inner").select("key", "c", "node"), "join-left", True)
         if rows.isEmpty():
             return edges
-    sizes = materialize(rows.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("low")).where("size > 1"), "join-sizes")
-    rest = materialize(rows.join(sizes, "key"), "join-rest")
+    sizes = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("low")).where("size > 1")
+    rest = materialize(rows.join(materialize(sizes, "join-sizes"), ["key", "c"]), "join-rest")
     seen = rest.where(F.col("size") <= GROUP).join(signatures, ["node", "c"])
     n = rest.count()
     tasks = max(parallelism(base.sparkSession), n // 20_000)

@@ -296,6 +296,22 @@ def test_partition_keys_meet_every_link():
             assert keys[0] & keys[1]
 
 
+def test_jaccard_links_beyond_the_centre(spark):
+    """x is near the centre of its keys, z is near x only: x must not leave the keys before it has met z."""
+    texts = []
+    for i in range(150):
+        w = [f"w{i}n{j}" for j in range(12)]
+        texts += [" ".join(w[:8]), " ".join(w[:9]), " ".join(w[:8] + w[10:11]), " ".join(w[11:12] + w[:8])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()}
+    assert found == {i: i // 4 * 4 for i in range(len(texts))}
+    # longer chains: each document links with the next one only
+    chains = [" ".join(f"c{c}w{j}" for j in range(step, step + 44)) for c in range(40) for step in range(0, 40, 4)]
+    docs = spark.createDataFrame(list(enumerate(chains)), "doc_id long, text string")
+    found = {r["id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs).collect()}
+    assert found == {i: i // 10 * 10 for i in range(len(chains))}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(7, 7)], "u long, v long")
     got = {(r["node"], r["comp"]) for r in components(edges).collect()}

@@ -47,6 +47,16 @@ def within_cosine(df: DataFrame, key: str, vector: str, by: str, threshold: floa
     return pairs.where(F.col("similarity") >= threshold)
 
 
+def all_within_cosine(df: DataFrame, key: str, vector: str, threshold: float, blocks: int = 8) -> DataFrame:
+    """Pairs (a < b) of all rows with at least the given cosine; hash blocks meet on the block pair, each pair once."""
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    a = _unit(df, key, vector, "a").withColumn("i", block("a")).withColumn("j", every)
+    b = _unit(df, key, vector, "b").withColumn("j", block("b")).withColumn("i", every)
+    pairs = a.join(b, ["i", "j"]).where("a < b").select("a", "b", dot(F.col("a_v"), F.col("b_v")).alias("similarity"))
+    return pairs.where(F.col("similarity") >= threshold)
+
+
 def mean_vectors(df: DataFrame, by: str, vector: str) -> DataFrame:
     """Mean vector of each group, components averaged separately so that sums combine before the shuffle."""
     parts = df.where(F.col(vector).isNotNull()).select(by, F.posexplode(vector).alias("i", "x"))

@@ -16,7 +16,7 @@ from fabula.operators import retrieval as rt
 from fabula.operators import sequences as seq
 from fabula.operators import vectors as ve
 from fabula.sources import readers, sinks
-from fabula.sources.scratch import new_path
+from fabula.sources.scratch import materialize, new_path
 from fabula.streaming import micro_batch as mb
 
 from .binding import EVENTS, FOLLOWS, STATES, events, follows, order_events, states, table
@@ -147,6 +147,11 @@ def cosine_pairs(spark, d):
     return ve.within_cosine(table(spark, d, "embeddings"), "vec_id", "embedding", "label", 0.25).withColumn("similarity", F.round("similarity", 6))
 
 
+@query(f"SELECT a.vec_id AS a, b.vec_id AS b, round({_COS}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE {_COS} >= .25")
+def cosine_pairs_all(spark, d):
+    return ve.all_within_cosine(table(spark, d, "embeddings"), "vec_id", "embedding", 0.25).withColumn("similarity", F.round("similarity", 6))
+
+
 @query("SELECT label, i - 1 AS i, round(avg(x), 6) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL")
 def cluster_centroids(spark, d):
     means = ve.mean_vectors(table(spark, d, "embeddings"), "label", "embedding")
@@ -170,6 +175,17 @@ def dbscan_cosine(spark, d):
     return cl.dbscan(ve.within_cosine(rows, "vec_id", "embedding", "label", 0.3), rows.select(F.col("vec_id").alias("id")), 3)
 
 
+@query(f"""WITH RECURSIVE n AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE {_COS} >= .3),
+    core AS (SELECT a AS id FROM n GROUP BY 1 HAVING count(*) + 1 >= 3), i AS (SELECT a, b FROM n WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+    r(x, y) AS (SELECT id, id FROM core UNION SELECT r.x, i.b FROM r JOIN i ON i.a = r.y), c AS (SELECT x AS id, min(y) AS cluster FROM r GROUP BY 1),
+    e AS (SELECT a AS id, min(cluster) AS near FROM n JOIN c ON c.id = n.b GROUP BY 1)
+    SELECT vec_id AS id, coalesce(cluster, near, -1) AS cluster FROM embeddings LEFT JOIN c ON c.id = vec_id LEFT JOIN e ON e.id = vec_id""")
+def dbscan_cosine_all(spark, d):
+    rows = table(spark, d, "embeddings")
+    near = ve.all_within_cosine(rows, "vec_id", "embedding", 0.3)
+    return cl.dbscan(materialize(near, "cosine-pairs"), rows.select(F.col("vec_id").alias("id")), 3)
+
+
 @query("""WITH m AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), s AS (SELECT user_id, count(*) AS size, avg(value) AS mean, stddev_pop(value) AS deviation FROM events GROUP BY 1)
     SELECT user_id, size, arg_min(event_type, (-n, event_type)) AS main_kind, round(any_value(mean), 6) AS mean, round(any_value(deviation), 6) AS deviation FROM s JOIN m USING (user_id) GROUP BY ALL""")
 def cluster_profile(spark, d):

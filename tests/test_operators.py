@@ -13,6 +13,7 @@ from fabula.operators import graph as gr
 from fabula.operators import relational as rel
 from fabula.operators import sequences as seq
 from fabula.operators import state as st
+from fabula.operators import vectors as ve
 
 
 def one(spark, column):
@@ -93,3 +94,12 @@ def test_triangle(spark):
 def test_unknown_operator_raises():
     with pytest.raises(ValueError):
         rel.conjunction({"a": ("like", "x")})
+
+
+def test_cosine_neighbours_cross_labels(spark):
+    rows = [(1, 0, [1.0, 0.0]), (2, 1, [0.9, 0.1]), (3, 2, [1.0, 0.1]), (4, 0, [0.0, 1.0]), (5, 0, None)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    near = ve.all_within_cosine(df, "vec_id", "embedding", 0.9)
+    assert sorted((r["a"], r["b"]) for r in near.collect()) == [(1, 2), (1, 3), (2, 3)]
+    found = cl.dbscan(near, df.select(F.col("vec_id").alias("id")), 3)
+    assert {r["id"]: r["cluster"] for r in found.collect()} == {1: 1, 2: 1, 3: 1, 4: -1, 5: -1}

@@ -114,6 +114,63 @@ def induced_subgraph(spark, d):
     return gr.induced(_trade(spark, d), table(spark, d, "nation").where("n_regionkey <= 1").select(F.col("n_nationkey").alias("id"))).select("src", "dst")
 
 
+# the same operators over every event, on users, whose number grows with the input
+
+
+@query(f"SELECT id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree, sum(o + i)::BIGINT AS degree FROM (SELECT src AS id, 1 AS o, 0 AS i FROM {PEERS} UNION ALL SELECT dst, 0, 1 FROM {PEERS}) GROUP BY 1")
+def node_degree_users(spark, d):
+    return gr.degrees(_peers(spark, d))
+
+
+@query(f"""WITH e AS (SELECT src AS a, dst AS b FROM {PEERS} UNION SELECT dst, src FROM {PEERS}),
+    h1 AS (SELECT b AS id, 1 AS h FROM e WHERE a = 3), h2 AS (SELECT DISTINCT e.b, 2 FROM e JOIN h1 ON e.a = h1.id)
+    SELECT 3 AS seed, id, min(h) AS hops FROM (SELECT 3 AS id, 0 AS h UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY id""")
+def khop_bfs_users(spark, d):
+    return gr.k_hop(_peers(spark, d), spark.createDataFrame([(3,)], "seed long"), 2)
+
+
+@query(f"""WITH t AS {PEERS}, a AS (SELECT [src, dst] AS path FROM t WHERE src = 3), b AS (SELECT list_append(path, dst) AS path FROM a JOIN t ON src = path[2] WHERE NOT list_contains(path, dst))
+    SELECT array_to_string(path, '-') AS path, len(path) - 1 AS length FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""")
+def simple_paths_users(spark, d):
+    out = gr.simple_paths(_peers(spark, d), spark.createDataFrame([(3,)], "id long"), 2)
+    return out.select(F.array_join("path", "-").alias("path"), "length")
+
+
+@query(None)
+def connected_components_users(spark, d):
+    return gr.components(_peers(spark, d))
+
+
+@query(None)
+def page_rank_users(spark, d):
+    return gr.page_rank(_peers(spark, d))
+
+
+@query(f"""WITH t AS {PEERS} SELECT a.src::VARCHAR || '-' || a.dst AS path, 2 AS length FROM t a JOIN t b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst
+    UNION ALL SELECT a.src || '-' || a.dst || '-' || b.dst, 3 FROM t a JOIN t b ON a.dst = b.src JOIN t c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst""")
+def cycle_detection_users(spark, d):
+    return gr.cycles(_peers(spark, d), 3).select(F.array_join("path", "-").alias("path"), "length")
+
+
+@query(f"""WITH t AS {PEERS} SELECT DISTINCT x.src AS a, x.dst AS b, y.dst AS c FROM t x JOIN t y ON x.dst = y.src WHERE x.src <> y.dst AND NOT EXISTS (SELECT 1 FROM t z WHERE z.src = x.src AND z.dst = y.dst)""")
+def transitivity_gaps_users(spark, d):
+    return gr.open_triples(_peers(spark, d).withColumn("kind", F.lit("follows"))).select("a", "b", "c")
+
+
+@query(f"SELECT src, dst FROM {PEERS} WHERE src IN (SELECT user_id FROM events WHERE event_type = 'purchase') AND dst IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
+def induced_subgraph_users(spark, d):
+    return gr.induced(_peers(spark, d), events(spark, d).where("event_type = 'purchase'").select(F.col("user_id").alias("id"))).select("src", "dst")
+
+
+@query(f"WITH t AS {PEERS} SELECT src AS id FROM t UNION SELECT dst FROM t")
+def graphml_round_trip_users(spark, d):
+    edges = _peers(spark, d)
+    nodes = gr.undirected(edges).select(F.col("a").alias("id"), F.col("a").cast("string").alias("name")).distinct()
+    path = new_path(spark, "graphml")
+    sinks.graphml_elements(nodes, edges, "id", "src", "dst").write.text(path)
+    return readers.graph_elements(spark, path, "node", "_id long, data struct<_VALUE: string, _key: string>").select(F.col("_id").alias("id"))
+
+
 @query(f"""WITH u AS (SELECT src AS a, dst AS b FROM {PEERS} UNION SELECT dst, src FROM {PEERS}), deg AS (SELECT a AS id, count(*) AS d FROM u GROUP BY 1),
     t AS (SELECT x.a AS id, count(*) / 2 AS t FROM u x JOIN u y ON x.a = y.a AND x.b <> y.b JOIN u z ON z.a = x.b AND z.b = y.b GROUP BY 1),
     c AS (SELECT avg(CASE WHEN d > 1 THEN coalesce(t, 0) / (d * (d - 1) / 2) ELSE 0 END) AS c FROM deg LEFT JOIN t USING (id)), n AS (SELECT count(DISTINCT a) AS n, count(*) // 2 AS m FROM u)

@@ -103,3 +103,36 @@ def test_cosine_neighbours_cross_labels(spark):
     assert sorted((r["a"], r["b"]) for r in near.collect()) == [(1, 2), (1, 3), (2, 3)]
     found = cl.dbscan(near, df.select(F.col("vec_id").alias("id")), 3)
     assert {r["id"]: r["cluster"] for r in found.collect()} == {1: 1, 2: 1, 3: 1, 4: -1, 5: -1}
+
+
+def test_graph_queries_see_every_event(spark, sf_dir):
+    """Brute force over all events, for the queries that have no SQL."""
+    import collections
+
+    from fabula.plans.catalog import QUERIES
+
+    by = collections.defaultdict(list)
+    for r in sorted(spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "ts", "event_id", "user_id").collect(), key=lambda r: (r["ts"], r["event_id"])):
+        by[r["event_type"]].append(r["user_id"])
+    edges = {(a, b) for users in by.values() for a, b in zip(users, users[1:]) if a != b}
+    near = collections.defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+        near[b].add(a)
+    least = {i: i for i in near}
+    for _ in near:
+        least = {i: min([least[i], *(least[j] for j in near[i])]) for i in near}
+    assert {r["id"]: r["component"] for r in QUERIES["connected_components_users"](spark, sf_dir).collect()} == least
+    out = collections.Counter(a for a, _ in edges)
+    rank = {i: 1 / len(near) for i in near}
+    for _ in range(10):
+        loose = sum(r for i, r in rank.items() if not out[i])
+        rank = {i: (0.15 + 0.85 * loose) / len(near) + 0.85 * sum(rank[a] / out[a] for a, b in edges if b == i) for i in near}
+    assert {r["id"]: r["rank"] for r in QUERIES["page_rank_users"](spark, sf_dir).collect()} == pytest.approx(rank)
+    label = {i: i for i in near}
+    for _ in range(5):
+        votes = {i: collections.Counter([label[i], *(label[j] for j in near[i])]) for i in near}
+        label = {i: min(v, key=lambda c: (-v[c], c)) for i, v in votes.items()}
+    sizes = collections.Counter(label.values())
+    want = {i: c for i, c in label.items() if sizes[c] >= 3}
+    assert {r["id"]: r["community"] for r in QUERIES["communities_users"](spark, sf_dir).collect()} == want

@@ -90,6 +90,11 @@ def communities_users(spark, d):
     return gr.communities(_peers(spark, d))
 
 
+@query(None)
+def eigenvector_centrality_users(spark, d):
+    return gr.eigenvector(_peers(spark, d))
+
+
 @query(f"""WITH u AS (SELECT src AS a, dst AS b FROM {PEERS} UNION SELECT dst, src FROM {PEERS}), p AS (SELECT DISTINCT user_id AS a, user_id + 1 AS b FROM events)
     SELECT p.a, p.b, CASE WHEN EXISTS (SELECT 1 FROM u WHERE u.a = p.a AND u.b = p.b) THEN 1 WHEN EXISTS (SELECT 1 FROM u x JOIN u y ON x.b = y.a WHERE x.a = p.a AND y.b = p.b) THEN 2 END AS hops FROM p
     WHERE hops IS NOT NULL""")

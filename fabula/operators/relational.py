@@ -109,13 +109,14 @@ def set_jaccard(df: DataFrame, key: str, items: str, threshold: float) -> DataFr
 def contained_terms(df: DataFrame, key: str, text: str, min_count: int = 2, k: int = 20) -> DataFrame:
     """Terms of which one is part of another, both occurring often enough; the k most frequent pairs.
 
-    Terms are exploded into their own substrings' first words and met by equality on the shorter term.
+    A term's first characters, eight at most, meet all runs of up to eight characters of the other terms; what meets is
+    compared whole. Rows grow with a term's length, not its square.
     """
     counts = df.groupBy(F.col(text).alias("term")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
-    size = F.length("term")
-    subs = F.expr("array_distinct(flatten(transform(sequence(1, length(term)), i -> transform(sequence(1, length(term) - i + 1), n -> substring(term, i, n)))))")
-    longer = counts.where(size <= 64).select(F.col("term").alias("long_term"), F.col("n").alias("n_long"), F.explode(subs).alias("term"))
-    pairs = longer.join(counts, "term").where(F.col("term") != F.col("long_term"))
+    runs = F.expr("array_distinct(flatten(transform(sequence(1, greatest(length(term), 1)), i -> transform(sequence(0, least(8, length(term) - i + 1)), n -> substring(term, i, n)))))")
+    longer = counts.where(F.col("term").isNotNull()).select(F.col("term").alias("long_term"), F.col("n").alias("n_long"), F.explode(runs).alias("run"))
+    shorter = counts.withColumn("run", F.substring("term", 1, 8))
+    pairs = longer.join(shorter, "run").where((F.col("term") != F.col("long_term")) & F.contains("long_term", "term"))
     pairs = pairs.select(F.col("term").alias("short_term"), "long_term", (F.col("n") + F.col("n_long")).alias("n"))
     return pairs.orderBy(F.desc("n"), "short_term", "long_term").limit(k)
 

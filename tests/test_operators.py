@@ -142,3 +142,12 @@ def test_graph_queries_see_every_event(spark, sf_dir):
     sizes = collections.Counter(label.values())
     want = {i: c for i, c in label.items() if sizes[c] >= 3}
     assert {r["id"]: r["community"] for r in QUERIES["communities_users"](spark, sf_dir).collect()} == want
+
+
+def test_contained_terms_of_any_length(spark):
+    long = "x" * 70 + "needle in a haystack" + "y" * 70
+    terms = [long, "needle in a haystack", "needle in", "needle on a haystack", "y" * 70, "q", "", None]
+    df = spark.createDataFrame([(t,) for t in terms for _ in range(2)], "term string")
+    known = [t for t in terms if t is not None]
+    want = {(a, b, 4) for a in known for b in known if a != b and a in b}
+    assert {tuple(r) for r in rel.contained_terms(df, "term", "term").collect()} == want

@@ -1,4 +1,4 @@
-"""Density, rule and slice clustering, and what is said of clusters."""
+"""Density, K-means and slice clustering, and what is said of clusters."""
 
 from __future__ import annotations
 

@@ -6,7 +6,7 @@
    d = (1 - t) / t * size elements, and an element lies in one part, so of d + 1 parts one holds the
    same elements in both. Equal (part, content) keys therefore meet every link, whatever words are
    frequent, while unrelated documents that share a passage seldom agree on a whole part. Part counts
-   go by size class; sets near the top of a class also speak the next one's.
+   go by size class; sets also speak the classes of all sizes that they may link with.
 3. Classes with one key form a group around its least class. Parity signatures (one bit for each hash
    cell with an odd number of elements) bound the difference of two sets from below, and their own
    differences obey the triangle inequality. Members are taken in order of their signature's difference
@@ -19,7 +19,7 @@
    a signature tree: sorted by size, nodes carry OR-combined bitmaps and a size range; a dual
    traversal prunes node pairs by size range, by the largest possible overlap, and where all
    documents are linked already. What is left is compared exactly.
-5. A component of more than ``block`` classes is dealt into blocks: links within blocks first, then
+5. A component of more than ``block`` classes (or ``BLOCK_BYTES``) is dealt into blocks: links within blocks first, then
    among a few delegates of every block-local component; documents still outside the component's
    largest group are compared with all its other blocks. A cluster of near copies of any size costs
    a linear number of rows.
@@ -51,6 +51,7 @@ from .components import components
 
 WORDS64 = 16  # of a bitmap: 1024 bits
 GROUP = 4096  # classes of one key that are compared in one task
+BLOCK_BYTES = 64 << 20  # of sets that one task of a dealt component holds on a side
 BANDS = 64  # of differences from a centre, each an eighth of what a link in the size class may have
 
 
@@ -95,7 +96,8 @@ def class_limit(c: int) -> int:
 
 
 def partition_keys(values: np.ndarray, threshold: Fraction) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(size class, keys, parity signature) of a sorted set, for the one or two classes it speaks.
+    """(size class, keys, parity signature) of a sorted set, for the classes it speaks: its own and
+    those of sets that are larger by up to one over the threshold.
 
     Two sets with at least that similarity have a class and in it a key in common: of the first d + 1
     parts with r elements or more, of whichever set gets there first, d at most differ. A set with too
@@ -108,8 +110,8 @@ def partition_keys(values: np.ndarray, threshold: Fraction) -> list[tuple[int, n
     while cls and class_limit(cls - 1) >= size:
         cls -= 1
     classes = [cls]
-    if size * q >= class_limit(cls) * p:
-        classes.append(cls + 1)
+    while size * q >= class_limit(classes[-1]) * p:  # a partner may be in that class
+        classes.append(classes[-1] + 1)
     spoken = []
     least, mean = part_plan(threshold)
     with np.errstate(over="ignore"):
@@ -175,6 +177,18 @@ def _described(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in DESCRIBED.split(", ")])
 
 
+def tell_apart(base: DataFrame) -> DataFrame:
+    """DESCRIBED with ``raw`` (the digest) and a ``node`` that differs where the second digest does."""
+    base = base.withColumn("raw", F.col("node"))
+    twice = base.where("n > 0 AND own").groupBy(F.col("raw").alias("same")).agg(F.min("node2").alias("one"), F.max("node2").alias("two"))
+    twice = materialize(twice.where("one < two").select("same"), "join-twice")
+    if twice.isEmpty():
+        return base
+    told = base.join(twice, base["raw"] == twice["same"], "left")
+    other = F.xxhash64("raw", "node2").bitwiseAND((1 << 63) - 1)
+    return materialize(told.withColumn("node", F.when(F.col("same").isNotNull(), other).otherwise(F.col("node"))).drop("same"), "join-told")
+
+
 def candidate_edges(base: DataFrame, threshold: Fraction, rounds: int) -> DataFrame:
     """DESCRIBED -> (u, v) between classes, such that every link's ends are connected."""
     known = base.where("n > 0")
@@ -351,14 +365,14 @@ SETS = "node long, comp long, shingles binary"
 
 
 def gather_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
-    """docs(id, text), members(rep, node, comp) -> one row per class: node, comp, its shingles."""
+    """docs(id, text), members(rep, node, raw, node2, comp) -> one row per class: node, comp, its shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, comps = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            nodes, comps, raw, second = (batch.column(i).to_pylist() for i in range(1, 5))
             rows, size = [], 0
             for row, values in _ids_and_sets(batch, 0, k):
-                if len(values) and digest(values)[0] == nodes[row]:
+                if len(values) and digest(values) == (raw[row], second[row]):
                     rows.append((nodes[row], comps[row], values.tobytes()))
                     size += values.nbytes
                     if size > 8 << 20:
@@ -368,7 +382,7 @@ def gather_sets(docs: DataFrame, members: DataFrame, k: int) -> DataFrame:
                 yield _sets(rows)
 
     joined = docs.join(members.hint("merge"), F.col("id").eqNullSafe(F.col("rep")))  # members grow with the corpus
-    return joined.select("text", "node", "comp").mapInArrow(run, SETS)
+    return joined.select("text", "node", "comp", "raw", "node2").mapInArrow(run, SETS)
 
 
 def _sets(rows: list[tuple]) -> pa.RecordBatch:
@@ -401,16 +415,16 @@ def link(sets: DataFrame, threshold: Fraction, block: int) -> DataFrame:
     """sets(node, comp, shingles) -> (node, label): nodes linked through any chain share a label."""
     spark = sets.sparkSession
     counts = materialize(sets.groupBy("comp").agg(F.count_distinct("node").alias("classes"), F.sum(F.octet_length("shingles")).alias("bytes")), "join-counts")
-    total = counts.agg(F.sum("bytes"), F.max("classes")).first()
-    if total[0] is None:
+    total = counts.agg(F.sum("bytes")).first()[0]
+    if total is None:
         return spark.createDataFrame([], "node long, label long")
-    tasks = max(parallelism(spark), math.ceil(total[0] / (8 << 20)))
-    parts = F.ceil(F.col("classes") / block).cast("int")
-    sized = sets.join(counts.select("comp", parts.alias("parts")), "comp")
+    tasks = max(parallelism(spark), math.ceil(total / (8 << 20)))
+    parts = F.greatest(F.ceil(F.col("classes") / block), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    sized = sets.join(materialize(counts.select("comp", parts.alias("parts")), "join-parts"), "comp")
     own = F.when(F.col("parts") > 1, F.xxhash64("comp", F.pmod(F.xxhash64("node"), F.col("parts")))).otherwise(F.pmod(F.xxhash64("comp"), F.lit(tasks)))
     start = sized.select(own.alias("task"), "comp", "node", F.col("node").alias("label"), F.lit(True).alias("apart"), "shingles")
     local = materialize(_verify(start, threshold), "join-local")
-    if total[1] <= block:
+    if counts.where(parts > 1).isEmpty():
         return local
     return _link_blocks(sized.where("parts > 1"), local, threshold, block)
 
@@ -422,9 +436,12 @@ def _link_blocks(large: DataFrame, local: DataFrame, threshold: Fraction, block:
     hashed = F.xxhash64("node", F.lit(7))
     slot = F.pmod(hashed, F.lit(8))
     chosen = nodes.groupBy("comp", "label", slot.alias("slot")).agg(F.min(F.struct(hashed.alias("h"), "node")).alias("pick"))
-    chosen = chosen.select(F.col("pick.node").alias("node"))
-    picked = large.join(chosen, "node").join(local, "node")
-    group = F.xxhash64("comp", F.pmod(F.xxhash64("label"), F.greatest(F.lit(1), F.col("parts") / 128).cast("int")))
+    chosen = materialize(chosen.select("comp", F.col("pick.node").alias("node")), "join-chosen")
+    picked = large.join(chosen.select("node"), "node").join(local, "node")
+    # few delegates, of a component that hangs together, meet in one task; many are dealt out again by label
+    most = picked.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / (8 * block)).alias("a"), F.ceil(F.sum(F.octet_length("shingles")) / BLOCK_BYTES).alias("b"))
+    picked = picked.join(materialize(most.select("comp", F.greatest("a", "b").alias("tables")), "join-tables"), "comp")
+    group = F.xxhash64("comp", F.pmod(F.xxhash64("label"), F.col("tables")))
     picked = picked.select(group.alias("task"), "comp", "node", "label", F.lit(True).alias("apart"), "shingles")
     second = materialize(_verify(picked, threshold), "join-delegates")
     edges = local.select(F.col("node").alias("u"), F.col("label").alias("v"))
@@ -439,9 +456,11 @@ def _link_blocks(large: DataFrame, local: DataFrame, threshold: Fraction, block:
         return local.join(current.select("node", F.col("label").alias("final")), "node", "left").select("node", F.coalesce("final", "label").alias("label"))
     open_ = current.join(main, "comp")
     rest = open_.where("label <> main")
-    piles = materialize(rest.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("piles")), "join-piles")
+    weights = large.groupBy("node").agg(F.first(F.octet_length("shingles")).alias("bytes"))
+    piles = rest.join(weights, "node").groupBy("comp").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("piles"))
+    piles = materialize(piles, "join-piles")
     rest = rest.join(piles, "comp")
-    pile = F.pmod(F.xxhash64("node", F.lit(3)), F.col("piles"))
+    pile = F.pmod(F.xxhash64("node", F.lit(3)), F.col("piles")).cast("int")  # the hash of a task depends on types
     bodies = large.select("node", "shingles").dropDuplicates(["node"])
     moving = rest.withColumn("pile", pile).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     standing = open_.join(piles, "comp").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
@@ -463,10 +482,10 @@ def jaccard_components(
     ship(df.sparkSession)
     t = Fraction(str(threshold))
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    base = materialize(describe(docs, k, t), "join-base", True)
+    base = tell_apart(materialize(describe(docs, k, t), "join-base", True))
     candidates = components(candidate_edges(base, t, rounds))
-    classes = materialize(base.where("n > 0 AND own").groupBy("node").agg(F.min("id").alias("rep")), "join-classes")
-    members = materialize(classes.join(candidates, "node").select("rep", "node", "comp"), "join-members")
+    classes = materialize(base.where("n > 0 AND own").groupBy("node", "raw", "node2").agg(F.min("id").alias("rep")), "join-classes")
+    members = materialize(classes.join(candidates, "node").select("rep", "node", "raw", "node2", "comp"), "join-members")
     sets = materialize(gather_sets(docs, members, k), "join-sets", True)
     labels = link(sets, t, block)
     known = members.select("rep", "node").join(labels, "node")

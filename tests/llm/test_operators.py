@@ -312,6 +312,58 @@ def test_jaccard_links_beyond_the_centre(spark):
     assert found == {i: i // 10 * 10 for i in range(len(chains))}
 
 
+def _chains(n, k, t, seed):
+    """Texts a, b, c with links a-b and b-c of about the least similarity, a-c below it; sizes 6 to 2,000 words."""
+    rng, texts = random.Random(seed), []
+    for i in range(n):
+        size = int(6 * (2000 / 6) ** (rng.random() ** 2))
+        w = [f"x{i}y{j}" for j in range(3 * size)]
+        step = max(1, int((size - k + 1) * (1 - t) / (1 + t)))  # both ends moved: shingles in common over all = t
+        start = [0, step, 2 * step]
+        rng.shuffle(start)
+        texts += [" ".join(w[at : at + size]) for at in start]
+    return texts
+
+
+def _brute_components(texts, k, t):
+    sets, holders = [], defaultdict(set)
+    for i, text in enumerate(texts):
+        w = tokens(text)
+        sets.append({tuple(w[j : j + k]) for j in range(max(1, len(w) - k + 1))} if w else set())
+        for g in sets[-1]:
+            holders[g].add(i)
+    label = list(range(len(texts)))
+    for i, own in enumerate(sets):
+        for j in {x for g in own for x in holders[g] if x < i}:
+            both = len(own & sets[j])
+            if both * t.denominator >= (len(own) + len(sets[j]) - both) * t.numerator:
+                a, b = sorted((label[i], label[j]))
+                label = [a if x == b else x for x in label]
+    return dict(enumerate(label))
+
+
+@pytest.mark.parametrize("k, threshold, block, group, small", [(4, "0.85", 1024, 4096, 500_000), (4, "0.85", 2, 2, 0), (5, "0.8", 2, 4096, 500_000), (5, "0.5", 1024, 4096, 500_000)])
+def test_jaccard_chains(spark, monkeypatch, k, threshold, block, group, small):
+    """Every link counts, on either side of the switches."""
+    monkeypatch.setattr(jaccard_join, "GROUP", group)
+    monkeypatch.setattr(jaccard_join, "components", lambda edges: components(edges, small=small))
+    t = jaccard_join.Fraction(threshold)
+    texts = _chains(300 if block > 2 else 60, k, float(t), block + k)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["id"]: r["component_id"] for r in jaccard_join.jaccard_components(docs, k=k, threshold=threshold, block=block).collect()}
+    assert found == _brute_components(texts, k, t)
+
+
+def test_jaccard_one_digest_is_not_enough(spark, monkeypatch):
+    """Sets whose first digests are the same are told apart by the second."""
+    plain = jaccard_join.digest
+    monkeypatch.setattr(jaccard_join, "digest", lambda values: (len(values) % 3, plain(values)[1]))
+    base = [(0, 7, 0, 5, True), (1, 7, 0, 5, True), (2, 7, 0, 6, True), (3, 7, 1, 8, True), (4, 0, None, None, True)]
+    told = jaccard_join.tell_apart(spark.createDataFrame(base, "id long, n long, node long, node2 long, own boolean")).collect()
+    node = {r["id"]: r["node"] for r in told}
+    assert node[0] == node[1] != node[2] and node[3] == 1 and {r["raw"] for r in told} == {0, 1, None}
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(7, 7)], "u long, v long")
     got = {(r["node"], r["comp"]) for r in components(edges).collect()}

@@ -27,7 +27,8 @@
 Defined results: null and empty texts have no shingles and link with nothing; fewer words than a
 shingle make one shingle of the whole sequence; rows that share an id or repeat are rows of their
 own; ids may be null (their component is the least id they reach, null if there is none); other
-columns play no part; an empty table gives an empty table.
+columns play no part; an empty table gives an empty table; thresholds of 1/2 or less are refused,
+for at those a set has too few elements for a part that must agree.
 """
 
 from __future__ import annotations
@@ -481,6 +482,8 @@ def jaccard_components(
     """One row per input row: ``id, n_shingles, component_id, node, linked`` (other classes it is joined with)."""
     ship(df.sparkSession)
     t = Fraction(str(threshold))
+    if not Fraction(1, 2) < t <= 1:
+        raise ValueError("partition keys need a threshold above 1/2 and at most 1")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     base = tell_apart(materialize(describe(docs, k, t), "join-base", True))
     candidates = components(candidate_edges(base, t, rounds))

@@ -280,6 +280,8 @@ def test_jaccard_components(docs, rows, block, k, threshold):
 def test_jaccard_odd_ids(odd_ids, empty):
     assert sorted((r["id"] or -1, r["component_id"]) for r in jaccard_join.jaccard_components(odd_ids).collect()) == [(-1, 5), (-1, 5), (5, 5), (5, 5), (5, 5), (6, 6)]
     assert jaccard_join.jaccard_components(empty).count() == 0
+    with pytest.raises(ValueError):
+        jaccard_join.jaccard_components(empty, threshold="0.5")
 
 
 def test_partition_keys_meet_every_link():
@@ -342,7 +344,7 @@ def _brute_components(texts, k, t):
     return dict(enumerate(label))
 
 
-@pytest.mark.parametrize("k, threshold, block, group, small", [(4, "0.85", 1024, 4096, 500_000), (4, "0.85", 2, 2, 0), (5, "0.8", 2, 4096, 500_000), (5, "0.5", 1024, 4096, 500_000)])
+@pytest.mark.parametrize("k, threshold, block, group, small", [(4, "0.85", 1024, 4096, 500_000), (4, "0.85", 2, 2, 0), (5, "0.8", 2, 4096, 500_000), (5, "0.6", 1024, 4096, 500_000)])
 def test_jaccard_chains(spark, monkeypatch, k, threshold, block, group, small):
     """Every link counts, on either side of the switches."""
     monkeypatch.setattr(jaccard_join, "GROUP", group)

@@ -85,23 +85,56 @@ def test_token_counts(spark, docs, rows):
         after = re.sub("alpha[0-9]*", "@@ x", t or "")
         assert counts[i]["n_tokens"] == len(reference.encode(t or "", add_special_tokens=False).ids)
         assert counts[i]["n_tokens_after"] == len(reference.encode(after, add_special_tokens=False).ids)
-    edits = spark.createDataFrame([(1, 0, 1, "Z"), (1, 2, 2, " new"), (2, -5, 10_000, "")], "doc_id long, start long, `end` long, new string")
-    got = {r["id"]: r["n_tokens_after"] for r in token_counts.edit_counts(docs, edits, queries.TOKENIZER).collect()}
+    assert {i for i in counts if counts[i]["n_reencoded"]} == {i for i, t, *_ in rows if re.search("alpha[0-9]*", t or "")}
+    edits = spark.createDataFrame([(1, 0, 1, "Z"), (1, 2, 2, " new"), (2, -5, 10_000, "")], "id long, start long, `end` long, new string")
+    state = token_counts.build_state(docs, queries.TOKENIZER)
+    got = {r["id"]: r for r in token_counts.edit_state(docs, state, edits, queries.TOKENIZER).collect()}
     t = rows[1][1] or ""
-    assert got[1] == len(reference.encode("Z" + t[1:2] + " new" + t[2:] if t else "Z new", add_special_tokens=False).ids)
-    assert got[2] == 0
+    assert set(got) == {1, 2} and got[1]["text"] == ("Z" + t[1:2] + " new" + t[2:] if t else "Z new")
+    assert got[1]["n_tokens"] == len(reference.encode(got[1]["text"], add_special_tokens=False).ids)
+    assert got[2]["n_tokens"] == 0
+
+
+def test_token_state_through_three_batches_of_edits(spark, docs, rows, empty, odd_ids):
+    reference = Tokenizer.from_file(queries.TOKENIZER)
+    rng = random.Random(8)
+    state = token_counts.build_state(docs, queries.TOKENIZER)
+    texts = {i: t or "" for i, t, *_ in rows}
+    for _ in range(3):
+        some = rng.sample(sorted(texts), 30)
+        edits = [(i, (a := rng.randint(0, len(texts[i]))), a + rng.randint(0, 9), rng.choice(["", " and more", "<|endoftext|>", "  ", "x1"])) for i in some for _ in range(3)]
+        table = spark.createDataFrame(edits, "id long, start long, `end` long, new string")
+        changed = spark.createDataFrame(token_counts.edit_state(docs, state, table, queries.TOKENIZER).collect(), token_counts.CHANGED)
+        assert {r["id"] for r in changed.collect()} == set(some)
+        docs, state = token_counts.next_documents(docs, changed), token_counts.next_state(state, changed)
+        texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+        for r in state.collect():
+            assert r["n_tokens"] == len(reference.encode(texts[r["id"]], add_special_tokens=False).ids) and r["n_chars"] == len(texts[r["id"]])
+    assert docs.columns == token_counts.next_documents(docs, changed).columns and state.count() == len(rows)
+    assert token_counts.redaction_counts(empty, queries.TOKENIZER).count() == 0
+    odd = token_counts.redaction_counts(odd_ids, queries.TOKENIZER, pattern="many").collect()
+    assert sorted((r["id"] or 0, r["n_edits"]) for r in odd) == [(0, 8), (0, 8), (5, 0), (5, 8), (5, 8), (6, 0)]
 
 
 def test_edits_equal_a_fresh_count():
     counter = token_counts.Counter(queries.TOKENIZER)
+    reference = Tokenizer.from_file(queries.TOKENIZER)
     rng = random.Random(2)
-    signs = ["a", "b", " ", "\n", "'s", "l", "é", "1", "!", "\t", " the", "  ", "'re"]
-    for _ in range(1500):
-        text = "".join(rng.choices(signs, k=rng.randint(0, 25)))
-        document = token_counts.Document(text, counter)
-        edits = [(a := rng.randint(0, len(text)), a + rng.randint(0, 4), "".join(rng.choices(signs, k=rng.randint(0, 3)))) for _ in range(rng.randint(1, 4))]
-        document.apply(edits)
-        assert document.tokens == len(counter.bpe.core.encode_ordinary(document.text))
+    signs = ["a", "b", " ", "\n", "'s", "l", "é", "1", "!", "\t", " the", "  ", "'re", "<|endoftext|>", "<|", "endoftext", "|>"]
+    for _ in range(700):
+        document = token_counts.Document("".join(rng.choices(signs, k=rng.randint(0, 25))), counter)
+        for _ in range(3):
+            text = document.text
+            edits = [(a := rng.randint(0, len(text)), a + rng.randint(0, 4), "".join(rng.choices(signs, k=rng.randint(0, 3)))) for _ in range(rng.randint(1, 4))]
+            document.apply(edits)
+            fresh = counter.split(document.text)
+            assert [x for x in document.tree.leaves[:, 0] if x] == [*map(len, fresh)]
+            assert document.tokens == len(reference.encode(document.text, add_special_tokens=False).ids)
+            document = token_counts.Document(document.text, counter, token_counts.SegmentTree.unpack(document.tree.pack()))
+    long = token_counts.Document("word and number 12345 " * 20_000, counter)
+    long.apply([(200_001, 200_003, "x"), (400_000, 400_000, " new")])
+    assert long.reencoded < 20 and long.tokens == len(reference.encode(long.text, add_special_tokens=False).ids)
+    assert re.findall(token_counts.PERSONAL, "a" * 500 + "@" + "b." * 400, re.ASCII) == ["a" * 500 + "@" + "b." * 400]
 
 
 def test_url_rules_and_model(spark):

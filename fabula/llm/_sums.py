@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -19,17 +21,26 @@ def slices(array: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["slice", "body"])
 
 
-def total(rows: DataFrame, dtype: str, length: int) -> np.ndarray:
-    """Adds up what the partitions yielded, in two levels; the result has a fixed length."""
+def parts(array: np.ndarray, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """``slices`` in batches that stay small however long the array is."""
+    whole = slices(array)
+    step = max(1, limit // max(1, array.nbytes // SLICES))
+    for at in range(0, SLICES, step):
+        yield whole.slice(at, step)
+
+
+def total(rows: DataFrame, dtype: str, length: int, salts: int = 64) -> np.ndarray:
+    """Adds up what the partitions yielded, in two levels (``salts`` sums for each slice first), in
+    double precision; ``length`` is that of one partition's array."""
 
     def add(table: pa.Table) -> pa.Table:
-        whole = np.zeros(length // SLICES, dtype)
+        whole = np.zeros(length // SLICES)
         for body in table["body"]:
             whole += np.frombuffer(body.as_buffer(), dtype)
-        return pa.table({"slice": table["slice"].slice(0, 1), "body": pa.array([whole.tobytes()], pa.binary())})
+        return pa.table({"slice": table["slice"].slice(0, 1), "body": pa.array([whole.astype(dtype).tobytes()], pa.binary())})
 
     ship(rows.sparkSession)
-    salted = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(64)))
+    salted = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     first = salted.groupBy("slice", "salt").applyInArrow(add, SCHEMA)
     out = np.zeros((SLICES, length // SLICES), dtype)
     for row in first.groupBy("slice").applyInArrow(add, SCHEMA).collect():

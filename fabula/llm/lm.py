@@ -1,19 +1,27 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). A word's class comes from its last two
-bytes, so it is known for any word. The first factor is a softmax over classes with one weight row
-for each hashed feature: the previous word, the word before it (a skip feature), and both together
-(an n-gram feature). The second is the smoothed share of the word among its class's tokens, with one
-place for unknown words.
+A word is a path of LEVELS classes of WIDTH each (from its last two bytes, then from its hash) and
+its place in the last one: P(word | history) = P(a | history) P(b | a, history) P(c | a, b, history)
+P(word | a, b, c). Each level is a softmax over WIDTH classes with one weight row for each hashed
+feature: the previous word, the word before it (a skip feature), and both together (an n-gram
+feature), each joined with the classes above. So the history reaches the word through WIDTH ** LEVELS
+classes. The last factor is the word's share (count + 0.5) of its class's mass, in which unknown words
+hold one place: all these places together weigh as much as the words seen once (Good and Turing).
+
+Size: feature rows grow with the square root of the distinct training words, and word counts with
+the words themselves; neither has a cap.
 
 Training: the words of all training documents are counted, map-side first. Weights start at zero
-with class shares as bias; there the expected feature counts have a closed form, so the first
-gradient update needs counts only. Further rounds send the weights (fixed size) to all partitions,
-which return observed minus expected counts; updates are scaled by what was seen of a feature.
+with class shares as bias. Training documents are dealt into ``rounds`` batches by a hash of the text;
+each round sends the weights to all partitions, which return observed and expected feature counts of
+its batch's documents. The gradient (observed minus expected) is scaled by what was seen of a feature.
+One training document in CHECK is in no batch and tells how good the weights are: training stops
+where they no longer get better, and the best ones are kept.
 
 Scoring: sparse numpy batches. Counts of the ``frequent`` most frequent words go to every task (a
-fixed number of rows); all other words go through an exact join by word. Both factors and the
-unigram base need the same sum of log10(count + 0.5) per document, so one join serves both.
+fixed number of rows); all other words go through an exact join by word. The model's last factor and
+the unigram base need the same sum of log10(count + 0.5) per document, so one join serves both; so
+does the number of a class's tokens, which comes with the model.
 
 Defined results: null and empty texts consist of the end token; without training documents every
 count is 0 and N = V = 0, so the base is log10(1) = 0 for each token; rows that repeat an id are
@@ -22,10 +30,12 @@ scored each; null ids fall into the fold of the empty text; other columns play n
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,30 +46,85 @@ from ._shared import materialize
 from ._text import _LOWER, blocks, mix64, words
 from .quality import fold
 
-CLASSES = 32
-FEATURE_BITS = 12
+LEVELS, WIDTH = 3, 16
+LEAVES = WIDTH**LEVELS
 KINDS = 3  # previous word, skip, both
-ROWS = KINDS << FEATURE_BITS
 END, BEGIN = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
+CHUNK = 8_192
+CHECK = 32
+
+
+def feature_rows(distinct: int) -> int:
+    """Rows for each level and kind of feature, from the number of distinct training words."""
+    return 512 + math.ceil(24 * math.sqrt(distinct))
 
 
-def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes with an end token per document, their classes, features (n, KINDS) and bounds."""
+def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes with an end token per document, their leaf classes, and bounds."""
     h, starts, ends, bounds = words(data, offsets)
     last = _LOWER[data[ends - 1]].astype(np.uint64) if len(ends) else np.zeros(0, np.uint64)
     before = np.where(ends - starts > 1, _LOWER[data[ends - 2]], 0).astype(np.uint64) if len(ends) else last
     with np.errstate(over="ignore"):
-        cls = (mix64(last * np.uint64(257) + before) % np.uint64(CLASSES - 1)).astype(np.int64) + 1
-        tokens, cls = np.insert(h, bounds[1:], END), np.insert(cls, bounds[1:], 0)
-        bounds = bounds + np.arange(len(bounds))
-        first = bounds[:-1]
-        one = np.concatenate(([BEGIN], tokens[:-1]))
-        one[first] = BEGIN
-        two = np.concatenate(([BEGIN], one[:-1]))
-        two[first] = BEGIN
-        shift = np.uint64(64 - FEATURE_BITS)
-        features = np.stack([mix64(one) >> shift, mix64(two + np.uint64(11)) >> shift, mix64(one * np.uint64(31) + two) >> shift], axis=1)
-    return tokens, cls, features.astype(np.int64) + (np.arange(KINDS) << FEATURE_BITS), bounds
+        top = (mix64(last * np.uint64(257) + before) % np.uint64(WIDTH - 1)).astype(np.int64) + 1  # 0 is the end token's
+    below = (h >> np.uint64(20)).astype(np.int64) & (LEAVES // WIDTH - 1)
+    leaf = np.insert(top * (LEAVES // WIDTH) + below, bounds[1:], 0)
+    return np.insert(h, bounds[1:], END), leaf, bounds + np.arange(len(bounds))
+
+
+def _histories(tokens: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """A hash for each kind of feature of every token."""
+    first = bounds[:-1]
+    one = np.concatenate(([BEGIN], tokens[:-1]))
+    one[first] = BEGIN
+    two = np.concatenate(([BEGIN], one[:-1]))
+    two[first] = BEGIN
+    with np.errstate(over="ignore"):
+        return [mix64(one), mix64(two + np.uint64(11)), mix64(one * np.uint64(31) + two)]
+
+
+class Model:
+    """Weights (LEVELS, KINDS, rows, WIDTH), and biases (LEVELS, LEAVES / WIDTH, WIDTH) of which a level uses
+    one row for each path above it."""
+
+    def __init__(self, weights: np.ndarray, bias: np.ndarray):
+        self.weights, self.bias = weights, bias
+
+    @staticmethod
+    def empty(n_rows: int, masses: np.ndarray) -> Model:
+        """No weights; without them a class has the share of its mass."""
+        bias = np.zeros((LEVELS, LEAVES // WIDTH, WIDTH), np.float32)
+        for level in range(LEVELS):
+            n = masses.reshape(WIDTH**level, WIDTH, -1).sum(axis=2)
+            bias[level, : len(n)] = np.log(n / n.sum(axis=1, keepdims=True))
+        return Model(np.zeros((LEVELS, KINDS, n_rows, WIDTH), np.float32), bias)
+
+    def rows(self, histories: list[np.ndarray], leaf: np.ndarray, level: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+        """For each token the path above a level, the weight row of each kind, and the class on the level."""
+        path = leaf // WIDTH ** (LEVELS - level)
+        n, half = np.uint64(self.weights.shape[2]), np.uint64(32)
+        with np.errstate(over="ignore"):
+            salt = mix64(path.astype(np.uint64) + np.uint64(1 + 977 * level))
+            rows = [(((h ^ salt) * np.uint64(0xD6E8FEB86659FD93) >> half) * n >> half).astype(np.int64) for h in histories]
+        return path, rows, leaf // WIDTH ** (LEVELS - 1 - level) % WIDTH
+
+    def log_shares(self, path: np.ndarray, rows: list[np.ndarray], level: int) -> np.ndarray:
+        """Natural log of the probability of each class on a level, a row for each token."""
+        z = self.bias[level].take(path, axis=0)
+        for kind in range(KINDS):
+            z += self.weights[level, kind].take(rows[kind], axis=0)
+        z -= z.max(axis=1, keepdims=True)
+        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
+        return z
+
+    def log_leaf(self, tokens: np.ndarray, leaf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Natural log of P(leaf class | history) of each token."""
+        histories, out = _histories(tokens, bounds), np.zeros(len(tokens))
+        for at in range(0, len(tokens), CHUNK):
+            part = slice(at, at + CHUNK)
+            for level in range(LEVELS):
+                path, rows, cls = self.rows([h[part] for h in histories], leaf[part], level)
+                out[part] += self.log_shares(path, rows, level)[np.arange(len(path)), cls]
+        return out
 
 
 def _train_blocks(batches: Iterator[pa.RecordBatch]):
@@ -69,114 +134,105 @@ def _train_blocks(batches: Iterator[pa.RecordBatch]):
 
 
 def count_words(texts: DataFrame) -> DataFrame:
-    """texts(text) -> h, cls, c: every word's count, a partial one for each batch of blocks."""
+    """texts(text) -> h, leaf, c: every word's count, a partial one for each batch of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def combine(parts):
-            h, cls, c = (np.concatenate(x) for x in zip(*parts))
+            h, leaf, c = (np.concatenate(x) for x in zip(*parts))
             order = np.argsort(h, kind="stable")
-            h, cls, c = h[order], cls[order], c[order]
+            h, leaf, c = h[order], leaf[order], c[order]
             first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
-            return h[first], cls[first], np.add.reduceat(c, first)
+            return h[first], leaf[first], np.add.reduceat(c, first)
 
-        for tokens, cls, _, _ in _train_blocks(batches):
+        for tokens, leaf, _ in _train_blocks(batches):
             if not len(tokens):
                 continue
-            held.append(combine([(tokens, cls, np.ones(len(tokens), np.int64))]))
+            held.append(combine([(tokens, leaf.astype(np.int32), np.ones(len(tokens), np.int64))]))
             size += len(held[-1][0])
-            if size > 3_000_000:
+            if size > 2_000_000:
                 yield _counts(combine(held))
                 held, size = [], 0
         if held:
             yield _counts(combine(held))
 
-    return texts.mapInArrow(run, "h long, cls int, c long").groupBy("h", "cls").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(run, "h long, leaf int, c long").groupBy("h", "leaf").agg(F.sum("c").alias("c"))
 
 
 def _counts(parts) -> pa.RecordBatch:
-    h, cls, c = parts
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(cls, pa.int32()), pa.array(c)], ["h", "cls", "c"])
+    h, leaf, c = parts
+    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(leaf, pa.int32()), pa.array(c)], ["h", "leaf", "c"])
 
 
-def observe(texts: DataFrame) -> np.ndarray:
-    """How often each class followed each feature."""
+def gradient(texts: DataFrame, model: Model, tasks: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """texts(text, checks) -> observed and expected feature counts, as arrays like the weights, over the
+    rows that train, and the mean log-likelihood of a token of those that check."""
+    shape = (2, *model.weights.shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(ROWS * CLASSES, np.float64)
-        for _, cls, features, _ in _train_blocks(batches):
-            for kind in range(KINDS):
-                seen += np.bincount(features[:, kind] * CLASSES + cls, minlength=len(seen))
-        yield _sums.slices(seen.astype(np.float32))
-
-    return _sums.total(texts.mapInArrow(run, _sums.SCHEMA), "float32", ROWS * CLASSES).reshape(ROWS, CLASSES).astype(np.float64)
-
-
-def log_classes(weights: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
-    """Natural log of P(class | history), a row for each token."""
-    z = weights[features[:, 0]]
-    for kind in range(1, KINDS):
-        z += weights[features[:, kind]]
-    z += bias
-    z -= z.max(axis=1, keepdims=True)
-    z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-    return z
-
-
-def expect(texts: DataFrame, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """The expected counterpart of ``observe`` under the model."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((ROWS, CLASSES), np.float32)
-        for _, _, features, _ in _train_blocks(batches):
-            for at in range(0, len(features), 16_384):
-                part = features[at : at + 16_384]
-                p = np.exp(log_classes(weights, bias, part))
-                for kind in range(KINDS):
-                    row = part[:, kind]
-                    order = np.argsort(row.astype(np.uint16), kind="stable")
-                    ranked = row[order]
-                    first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-                    sums[ranked[first]] += np.add.reduceat(p[order], first, axis=0)
-        yield _sums.slices(sums)
-
-    return _sums.total(texts.mapInArrow(run, _sums.SCHEMA), "float32", ROWS * CLASSES).reshape(ROWS, CLASSES).astype(np.float64)
-
-
-def _update(observed: np.ndarray, expected: np.ndarray, rate: float, ridge: float = 4.0) -> np.ndarray:
-    """The gradient (observed minus expected), each place scaled by its own mass."""
-    return rate * 2 * (observed - expected) / (observed + expected + ridge)
-
-
-def train(texts: DataFrame, totals: np.ndarray, rounds: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Weights (ROWS, CLASSES) and bias, from all training texts; ``totals``: tokens of each class."""
-    bias = np.log((totals + 0.5) / (totals.sum() + 0.5 * CLASSES))
-    observed = observe(texts)
-    weights = _update(observed, observed.sum(axis=1, keepdims=True) * np.exp(bias), 0.6)
-    for _ in range(rounds):
-        weights = weights + _update(observed, expect(texts, weights.astype(np.float32), bias.astype(np.float32)), 0.6)
-    return weights.astype(np.float32), bias.astype(np.float32)
+        sums, told, n = np.zeros(shape, np.float32), 0.0, 0
+        for batch in batches:
+            checks = batch.column(1)
+            for _, _, data, offsets in blocks(batch.column(0).filter(checks)):
+                tokens, leaf, bounds = _tokens(data, offsets)
+                told, n = told + model.log_leaf(tokens, leaf, bounds).sum(), n + len(tokens)
+            for _, _, data, offsets in blocks(batch.column(0).filter(pc.invert(checks))):
+                tokens, leaf, bounds = _tokens(data, offsets)
+                histories = _histories(tokens, bounds)
+                for at in range(0, len(tokens), CHUNK):
+                    _add_counts(sums, model, [h[at : at + CHUNK] for h in histories], leaf[at : at + CHUNK])
+        yield from _sums.parts(np.append(sums.reshape(-1), np.array([told, n] + [0] * (_sums.SLICES - 2), np.float32)))
+
+    out = _sums.total(texts.select("text", "checks").coalesce(tasks).mapInArrow(run, _sums.SCHEMA), "float32", int(np.prod(shape)) + _sums.SLICES, math.isqrt(tasks))
+    sums = out[: -_sums.SLICES].reshape(shape).astype(np.float64)
+    told, n = out[-_sums.SLICES :][:2]
+    return sums[0], sums[1], float(told / max(n, 1))
+
+
+def _add_counts(sums: np.ndarray, model: Model, histories: list[np.ndarray], leaf: np.ndarray) -> None:
+    for level in range(LEVELS):
+        path, rows, cls = model.rows(histories, leaf, level)
+        p = np.exp(model.log_shares(path, rows, level))
+        for kind in range(KINDS):
+            order = np.argsort(rows[kind].astype(np.uint32), kind="stable")
+            ranked = rows[kind][order]
+            first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+            sums[1, level, kind][ranked[first]] += np.add.reduceat(p[order], first, axis=0)
+            np.add.at(sums[0, level, kind].reshape(-1), rows[kind] * WIDTH + cls, np.float32(1))
+
+
+def train(texts: DataFrame, model: Model, rounds: int, tasks: int, rate: float = 0.4, ridge: float = 20.0) -> tuple[Model, list[float]]:
+    """The best model over the rounds, and the mean log-likelihood of a checked token before each and at the end."""
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    dealt = texts.select("text", (F.pmod(key, F.lit(CHECK)) == 0).alias("checks"), F.pmod(F.shiftright(key, 20), F.lit(max(rounds, 1))).alias("batch"))
+    best, told = model, []
+    for turn in range(rounds + 1):
+        observed, expected, likelihood = gradient(dealt.where(F.col("checks") | (F.col("batch") == turn)), model, tasks)
+        if told and likelihood < max(told):
+            return best, [*told, likelihood]
+        best = model
+        told.append(likelihood)
+        if turn < rounds:
+            step = 2 * rate * (observed - expected) / (observed + expected + ridge)
+            model = Model((model.weights + step).astype(np.float32), model.bias)
+    return best, told
 
 
 PARTIAL = "uid long, id long, n_tokens long, known long, sum10 double, model double, rare array<long>, times array<int>"
 
 
-def score_texts(docs: DataFrame, weights: np.ndarray, bias: np.ndarray, shares: np.ndarray, h: np.ndarray, logs: np.ndarray) -> DataFrame:
-    """docs(uid, id, text) -> PARTIAL rows. ``shares``: log10 of a class's denominator; ``h``: sorted
+def score_texts(docs: DataFrame, model: Model, shares: np.ndarray, h: np.ndarray, logs: np.ndarray) -> DataFrame:
+    """docs(uid, id, text) -> PARTIAL rows. ``shares``: log10 of a leaf class's mass; ``h``: sorted
     hashes of the frequent words, ``logs``: their log10(count + 0.5). Other words are listed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, end, data, offsets in blocks(batch.column(2)):
-                tokens, cls, features, bounds = _tokens(data, offsets)
+                tokens, leaf, bounds = _tokens(data, offsets)
                 n = len(tokens)
-                model = np.empty(n)
-                for at in range(0, n, 16_384):
-                    part = slice(at, at + 16_384)
-                    model[part] = log_classes(weights, bias, features[part])[np.arange(len(tokens[part])), cls[part]]
-                model = model / np.log(10) - shares[cls]
+                told = model.log_leaf(tokens, leaf, bounds) / np.log(10) - shares[leaf]
                 order = np.argsort(tokens)
                 ranked = tokens[order]
                 at = np.minimum(np.searchsorted(h, ranked), max(len(h) - 1, 0))
@@ -200,7 +256,7 @@ def score_texts(docs: DataFrame, weights: np.ndarray, bias: np.ndarray, shares:
                         pa.array(np.diff(bounds), pa.int64()),
                         pa.array(np.add.reduceat(known, first)),
                         pa.array(np.add.reduceat(value, first)),
-                        pa.array(np.add.reduceat(model, first)),
+                        pa.array(np.add.reduceat(told, first)),
                         pa.ListArray.from_arrays(ends, pa.array(np.concatenate(lists).view(np.int64))),
                         pa.ListArray.from_arrays(ends, pa.array(np.concatenate(times).astype(np.int32))),
                     ],
@@ -216,7 +272,7 @@ def lm_scores(
     text_col: str = "text",
     folds: int = 5,
     held_fold: int = 1,
-    rounds: int = 1,
+    rounds: int = 4,
     frequent: int = 1 << 19,
 ) -> DataFrame:
     """One row per input row: ``id, held_out, n_tokens, n_known, train_tokens, base_score, score``."""
@@ -224,17 +280,21 @@ def lm_scores(
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     training = docs.where(fold(F.col("id"), folds) != held_fold).select("text")
     counts = materialize(count_words(training), "lm-counts")
-    classes = counts.groupBy("cls").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()  # CLASSES rows
-    totals, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    for row in classes:
-        totals[row["cls"]], kinds[row["cls"]] = row["n"], row["v"]
+    classes = counts.groupBy("leaf").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v"), F.count_if(F.col("c") == 1).alias("once")).collect()
+    totals, kinds, once = np.zeros(LEAVES), np.zeros(LEAVES), 1
+    for row in classes:  # at most LEAVES
+        totals[row["leaf"]], kinds[row["leaf"]] = row["n"], row["v"]
+        once += row["once"]
     n, v = int(totals.sum()), int(kinds.sum())
-    weights, bias = train(training, totals, rounds)
+    unknown = once / LEAVES
+    masses = totals + 0.5 * kinds + unknown
+    # a task returns an array as large as the model, so it should read much more than that
+    tasks = max(1, min(df.sparkSession.sparkContext.defaultParallelism, n // 1_000_000 + 1))
+    model, _ = train(training, Model.empty(feature_rows(v), masses), rounds, tasks)
     top = counts.orderBy(F.desc("c"), "h").limit(frequent).select("h", "c").toArrow()  # at most ``frequent`` rows
     h, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()
     order = np.argsort(h)
-    shares = np.log10(totals + 0.5 * (kinds + 1))
-    scored = score_texts(docs.withColumn("uid", F.monotonically_increasing_id()), weights, bias, shares, h[order], np.log10(c[order] + 0.5))
+    scored = score_texts(docs.withColumn("uid", F.monotonically_increasing_id()), model, np.log10(masses), h[order], np.log10(c[order] + 0.5))
     partial = materialize(scored, "lm-partial")
     rare = partial.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("uid", F.col("w.rare").alias("h"), F.col("w.times").alias("t"))
     found = rare.join(counts.select("h", "c"), "h", "left").groupBy("uid").agg(
@@ -243,12 +303,13 @@ def lm_scores(
     )
     out = partial.join(found, "uid", "left")
     sum10 = F.col("sum10") + F.coalesce("more10", F.lit(0.0))
+    n_known = F.col("known") + F.coalesce("more", F.lit(0))
     return out.select(
         "id",
         (fold(F.col("id"), folds) == held_fold).alias("held_out"),
         "n_tokens",
-        (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
+        n_known.alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (sum10 - F.col("n_tokens") * F.log10(F.lit(n + 0.5 * (v + 1)))).alias("base_score"),
-        (sum10 + F.col("model")).alias("score"),
+        (sum10 + F.col("model") + (F.col("n_tokens") - n_known) * F.lit(float(np.log10(unknown / 0.5)))).alias("score"),
     )

@@ -418,7 +418,85 @@ def test_lm_scores(docs, rows, frequent):
         base = sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w)
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["id"]], len(w), sum(counts[x] > 0 for x in w), n)
         assert r["base_score"] == pytest.approx(base, rel=1e-9) and r["score"] < 0
-    assert sum(r["score"] for r in out) > sum(r["base_score"] for r in out)
+
+
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_lm_score_equals_plain_loops(docs, rows, rounds):
+    """The same model in dictionaries and loops over single tokens."""
+    texts = {i: (t or "").encode() for i, t, *_ in rows}
+    seen = {}
+    for i, raw in texts.items():
+        h, leaf, bounds = lm._tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)], np.int64))
+        history = list(zip(*(x.tolist() for x in lm._histories(h, bounds))))
+        ahead = [(lm.BEGIN, lm.BEGIN), *zip([*h[:-1]], [lm.BEGIN, *h[:-2]])][: len(h)]
+        assert [x[0] for x in history] == [int(lm.mix64(np.array([one], np.uint64))[0]) for one, _ in ahead]
+        seen[i] = list(zip(h.tolist(), leaf.tolist(), history))
+    training = [i for i in texts if zlib.crc32(str(i).encode()) % 5 != 1]
+    counts, leaf_of = Counter(), {}
+    for i in training:
+        for h, leaf, _ in seen[i]:
+            counts[h] += 1
+            leaf_of[h] = leaf
+    unknown = (1 + sum(c == 1 for c in counts.values())) / lm.LEAVES
+    mass = Counter({leaf: unknown for leaf in range(lm.LEAVES)})
+    for h, c in counts.items():
+        mass[leaf_of[h]] += c + 0.5
+    model = lm.Model.empty(lm.feature_rows(len(counts)), np.array([mass[x] for x in range(lm.LEAVES)]))
+    size = [lm.WIDTH ** (lm.LEVELS - 1 - level) for level in range(lm.LEVELS)]
+    sums = [Counter() for _ in size]
+    for leaf, m in mass.items():
+        for level, s in enumerate(size):
+            sums[level][leaf // s] += m
+    weights = defaultdict(float)
+
+    def steps(leaf, history):
+        for level, s in enumerate(size):
+            path, cls = leaf // s // lm.WIDTH, leaf // s % lm.WIDTH
+            _, at, _ = model.rows([np.array([x], np.uint64) for x in history], np.array([leaf]), level)
+            at = [(level, kind, int(x[0])) for kind, x in enumerate(at)]
+            z = [math.log(sums[level][path * lm.WIDTH + c] / sum(sums[level][path * lm.WIDTH + d] for d in range(lm.WIDTH))) + sum(weights[*x, c] for x in at) for c in range(lm.WIDTH)]
+            total = sum(map(math.exp, z))
+            yield at, cls, [math.exp(x) / total for x in z]
+
+    keys = dict(docs.sparkSession.createDataFrame([(i, raw.decode()) for i, raw in texts.items()], "i long, t string").selectExpr("i", "xxhash64(t)").collect())
+    told = []
+    for turn in range(rounds + 1):
+        checked = [sum(math.log(p[cls]) for _, cls, p in steps(leaf, hist)) for i in training if keys[i] % lm.CHECK == 0 for _, leaf, hist in seen[i]]
+        told.append(sum(checked) / max(1, len(checked)))
+        assert told == sorted(told)
+        if turn == rounds:
+            break
+        observed, expected = Counter(), Counter()
+        for i in training:
+            if keys[i] % lm.CHECK and (keys[i] >> 20) % rounds == turn:
+                for _, leaf, hist in seen[i]:
+                    for at, cls, p in steps(leaf, hist):
+                        for x in at:
+                            observed[*x, cls] += 1
+                            for c in range(lm.WIDTH):
+                                expected[*x, c] += p[c]
+        for x in expected:
+            weights[x] += 2 * 0.4 * (observed[x] - expected[x]) / (observed[x] + expected[x] + 20)
+    for r in lm.lm_scores(docs, rounds=rounds).collect():
+        score = 0.0
+        for h, leaf, hist in seen[r["id"]]:
+            share = (counts[h] + 0.5 if h in counts else unknown) / mass[leaf]
+            score += math.log10(share) + sum(math.log10(p[cls]) for _, cls, p in steps(leaf, hist))
+        assert r["score"] == pytest.approx(score, rel=1e-4)
+
+
+def test_lm_gains_from_histories(spark):
+    """Held-out text in which a word tells the next: the model beats the base, and more so with training."""
+    rng = random.Random(6)
+    texts = []
+    for _ in range(400):
+        w = [rng.randrange(60)]
+        for _ in range(60):
+            w.append((w[-1] * 7 + rng.choice([1, 2])) % 60)
+        texts.append(" ".join(f"w{x}" for x in w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sums = {n: sum(r["score"] - r["base_score"] for r in lm.lm_scores(df, rounds=n).collect() if r["held_out"]) for n in (0, 4)}
+    assert abs(sums[0]) < 50 and sums[4] > 1000
 
 
 def test_lm_empty(empty, odd_ids):

@@ -380,7 +380,8 @@ def kg_quality_score(spark, d):
 @query(r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(trim(text), '\s+'), lambda x: x <> '') AS w FROM documents)
     SELECT doc_id, (i // 80)::INT AS chunk_order, len(w[i + 1:i + 100]) AS tokens, md5(array_to_string(w[i + 1:i + 100], ' ')) AS chunk_id FROM w, unnest(range(0, greatest(len(w), 1), 80)) AS r(i) WHERE len(w) > 0""")
 def chunk_windows(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.explode(tx.chunk_windows(F.col("text"), 100, 20)).alias("c"))
+    words = table(spark, d, "documents").select("doc_id", tx.word_list(F.col("text")).alias("w"))
+    rows = words.select("doc_id", F.explode(tx.chunk_windows(F.col("w"), 100, 20)).alias("c"))
     return rows.select("doc_id", "c.chunk_order", "c.tokens", F.md5(F.col("c.content").cast("binary")).alias("chunk_id"))
 
 
@@ -391,23 +392,6 @@ def clean_and_split(spark, d):
     return pages.select("page_id", F.length(tx.clean(F.col("html"))).alias("n"), F.size(tx.split_markers(F.col("html"), ["<p>", "</p>"])).alias("parts"))
 
 
-@query("""WITH w AS (SELECT conv_id, turn, lower(text) AS t FROM conversations), s AS (SELECT *, """ + " + ".join(f"contains(t, '{w}')::INT" for w in tx.POSITIVE) + " AS up, " + " + ".join(f"contains(t, '{w}')::INT" for w in tx.NEGATIVE) + """ AS down FROM w)
-    SELECT conv_id, turn, CASE WHEN up > down THEN 'positive' WHEN down > up THEN 'negative' ELSE 'neutral' END AS sentiment FROM s""")
-def sentiment_lexicon(spark, d):
-    return table(spark, d, "conversations").select("conv_id", "turn", tx.sentiment(F.col("text")).alias("sentiment"))
-
-
-def _intent_sql() -> str:
-    hits = [f"{{'hits': {' + '.join(f'''contains(lower(text), '{w}')::INT''' for w in words)}, 'o': {-i}, 'name': '{name}'}}" for i, (name, words) in enumerate(tx.INTENTS.items())]
-    return rf"""WITH s AS (SELECT conv_id, turn, list_max([{', '.join(hits)}]) AS b, greatest(len(string_split_regex(trim(text), '\s+')), 1) AS n FROM conversations)
-        SELECT conv_id, turn, CASE WHEN b.hits = 0 THEN 'general_qa' ELSE b.name END AS intent, CASE WHEN b.hits = 0 THEN .5 ELSE round(least(greatest(b.hits / n, .6), 1), 6) END AS confidence FROM s"""
-
-
-@query(_intent_sql())
-def intent_classification(spark, d):
-    return table(spark, d, "conversations").withColumn("i", tx.intent(F.col("text"))).select("conv_id", "turn", "i.intent", F.round("i.confidence", 6).alias("confidence"))
-
-
 @query(r"""WITH a AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS s, source FROM documents), b AS (SELECT doc_id, s, lead(s) OVER (PARTITION BY source ORDER BY doc_id) AS t FROM a)
     SELECT doc_id, round(len(list_intersect(s, t)) / (len(s) + len(t) - len(list_intersect(s, t))), 9) AS jaccard FROM b WHERE t IS NOT NULL""")
 def word_set_jaccard(spark, d):

@@ -48,6 +48,35 @@ def follows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Short news and questions in two scripts: input data for the text functions, one for each event by its id.
+HEADLINES = [
+    "中芯科技公司宣布扩产，产能增长15%，投资20.5亿美元，2023年投产", "缺芯危机导致供应链风险，订单下降8.5%，比2022年少3%", "华微电子（600360）发布业绩，净利润增长，市场改善", "Apple Inc and Foxconn Technology announce cooperation in Shanghai",
+    "政府出台半导体补贴政策，行业监管加强", "由于原材料涨价，成本上升，企业困难，前景黯淡", "与长江存储集团合作，合资建设工艺研发中心", "市场需求衰退，库存失败，冲突不断，军队介入",
+    "新品发布，解决方案推出", "plain text without any signal", "", "价格维持，库存稳定，2021年下跌有限",
+]
+QUESTIONS = [
+    "2023年5月  发生了什么事件？", "为什么 价格上涨，原因是什么", "2024-01-15之后的趋势！", "最近7天公司的投资", "最近2个月的情况。", "去年的收购关系", "who knows", "2024-13-45 无效",
+]
+
+
+def _pick(texts: list[str]) -> str:
+    """A text for each event, in words that both engines read alike."""
+    return "CASE " + " ".join(f"WHEN event_id % {len(texts)} = {i} THEN '{t}'" for i, t in enumerate(texts)) + " END"
+
+
+#: id, event_type, ts, user_id, value, k, content, question, category ('' where unknown).
+NEWS = f"""(SELECT event_id AS id, event_type, ts, user_id, value, {_pick(HEADLINES)} AS content, {_pick(QUESTIONS)} AS question,
+    CASE event_type WHEN 'purchase' THEN '经济' WHEN 'signup' THEN '科技' WHEN 'view' THEN '体育' ELSE '' END AS category FROM events)"""
+
+
+def news(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events")
+    return rows.selectExpr(
+        "event_id AS id", "event_type", "ts", "user_id", "value", f"{_pick(HEADLINES)} AS content", f"{_pick(QUESTIONS)} AS question",
+        "CASE event_type WHEN 'purchase' THEN '经济' WHEN 'signup' THEN '科技' WHEN 'view' THEN '体育' ELSE '' END AS category",
+    )
+
+
 #: The same bindings as SQL.
 EVENTS = "(SELECT event_id, event_type, ts, user_id, value, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events)"
 STATES = """(SELECT d.doc_id AS id, text AS source_text, CASE WHEN l.doc_id IS NULL THEN 'pending_triage'

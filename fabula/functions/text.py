@@ -67,7 +67,7 @@ def clean(text: Column) -> Column:
 def split_markers(text: Column, markers: Sequence[str]) -> Column:
     """Non-blank trimmed pieces between any of the markers."""
     pattern = "|".join("\\Q" + m + "\\E" for m in markers)
-    return F.filter(F.transform(F.split(text, pattern), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, pattern), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def is_number(text: Column) -> Column:

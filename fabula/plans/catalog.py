@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import analysis_queries, event_queries, prediction_queries, relational_queries, report_queries, text_queries  # noqa: F401  they register themselves
+from . import analysis_queries, event_queries, nested_queries, prediction_queries, relational_queries, report_queries, text_queries  # noqa: F401  they register themselves
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

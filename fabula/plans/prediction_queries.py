@@ -133,21 +133,6 @@ def extract_by_rules(spark, d):
     return ne.extract_by_rules(table(spark, d, "documents"), "doc_id", "text", _RULES, _NAMES)
 
 
-@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, 1.0 AS confidence FROM events")
-def tolerant_json(spark, d):
-    parsed = table(spark, d, "events").withColumn("j", ne.tolerant_json(F.col("props"), "struct<k: int>"))
-    return parsed.select("event_id", F.col("j.value.k").alias("k"), F.col("j.confidence").alias("confidence"))
-
-
-@query("""WITH s AS (SELECT user_id, event_id, event_type, value, ts, lead(event_id) OVER w AS o, lead(event_type) OVER w AS ot, lead(value) OVER w AS ov, lead(ts) OVER w AS ots FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
-    SELECT event_id, o AS other, round(least(.3 * CASE WHEN event_type = ot THEN 1 ELSE .3 END + .25 + .1 * exp(-abs(floor((epoch_us(ots) - epoch_us(ts)) / 86400000000)) / 30) + .1 * .5, 1), 9) AS similarity FROM s WHERE o IS NOT NULL""")
-def event_similarity(spark, d):
-    pairs = seq.consecutive_pairs(events(spark, d), ["user_id"], ["ts", "event_id"], ["event_id", "event_type", "ts"])
-    kind = F.when(F.col("event_type") == F.col("next_event_type"), 1.0).otherwise(0.3)
-    score = scores.event_similarity(kind, F.lit(1.0), F.lit(0.0), scores.time_similarity(F.col("ts"), F.col("next_ts")), F.lit(0.5), F.lit(0.0))
-    return pairs.select("event_id", F.col("next_event_id").alias("other"), F.round(score, 9).alias("similarity"))
-
-
 @query("""SELECT doc_id, 'Document ' || doc_id || ' (' || lang || ')' AS title, CASE WHEN length(text) > 100 THEN replace(text, chr(10), ' ')[1:100] || '...' ELSE replace(text, chr(10), ' ') END AS line,
     CASE WHEN regexp_matches(trim(n_chars::VARCHAR), '^[-+]?[0-9]*\\.?[0-9]+$') THEN true ELSE false END AS numeric_size FROM documents""")
 def render_templates(spark, d):

@@ -17,11 +17,13 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (local tests) a temporary folder is set.
+    Only where the session names none and all runs on one machine (tests) a temporary folder is set.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="fabula-")
         sc.setCheckpointDir(named)
         named = sc.getCheckpointDir()
@@ -45,11 +47,16 @@ def materialize(df: DataFrame, label: str, tidy: bool = False) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     if tidy:
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
+        collect_garbage(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def collect_garbage(spark: SparkSession) -> None:
+    """Let go of finished jobs, upon which Spark deletes their shuffle files."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Delete every scratch table this process wrote. Call when results have been consumed."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()

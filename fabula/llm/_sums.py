@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from fabula.session import ship
 
+from ._shared import collect_garbage
+
 SLICES = 32
 SCHEMA = "slice int, body binary"
 
@@ -45,4 +47,6 @@ def total(rows: DataFrame, dtype: str, length: int, salts: int = 64) -> np.ndarr
     out = np.zeros((SLICES, length // SLICES), dtype)
     for row in first.groupBy("slice").applyInArrow(add, SCHEMA).collect():
         out[row["slice"]] = np.frombuffer(row["body"], dtype)
+    del salted, first
+    collect_garbage(rows.sparkSession)  # iterations would pile up shuffle files as large as the array times the tasks
     return out.reshape(-1)

@@ -125,8 +125,8 @@ def _earliest(seed, run, o, a, m) -> tuple[np.ndarray, np.ndarray]:
     return order, later
 
 
-def find_runs(docs: DataFrame, length: int, gram: int, marks_only: bool) -> DataFrame:
-    """docs(o, text) -> RUNS: the earliest run of each kind in a task, or the marks of the others."""
+def find_runs(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """docs(o, text) -> RUNS: of equal runs in a task the earliest, and the others as marks (without their hashes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -147,11 +147,11 @@ def find_runs(docs: DataFrame, length: int, gram: int, marks_only: bool) -> Data
     def emit(held) -> Iterator[pa.RecordBatch]:
         seed, digest, o, a, m = (np.concatenate(x) for x in zip(*held))
         order, later = _earliest(seed, digest, o, a, m)
-        order = order[later == marks_only]
         for at in range(0, len(order), 100_000):
-            part = order[at : at + 100_000]
+            part, mark = order[at : at + 100_000], later[at : at + 100_000]
+            hashes = [pa.array(x[part].view(np.int64), mask=mark) for x in (seed, digest)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(seed[part].view(np.int64)), pa.array(digest[part].view(np.int64)), pa.array(o[part]), pa.array(a[part].astype(np.int64)), pa.array(m[part]), pa.array(np.full(len(part), marks_only))],
+                [*hashes, pa.array(o[part]), pa.array(a[part].astype(np.int64)), pa.array(m[part]), pa.array(mark)],
                 ["seed", "run", "o", "a", "m", "mark"],
             )
 
@@ -295,8 +295,9 @@ def ordered(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int, gram: int, hot: int, shard_bytes: int) -> DataFrame:
     """docs(o, text) -> MARKS: starts [a, a + m) of windows that also start earlier."""
     spark = docs.sparkSession
-    local = materialize(find_runs(docs, length, gram, True).select("o", "a", F.col("m").cast("long").alias("m")), "substr-local", True)
-    seeds = find_runs(docs, length, gram, False)
+    found = materialize(find_runs(docs, length, gram), "substr-found", True)
+    local = found.where("mark").select("o", "a", F.col("m").cast("long").alias("m"))
+    seeds = found.where("NOT mark")
     often = seeds.groupBy("seed").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     often = materialize(often, "substr-seeds", True)
     runs = materialize(seeds.join(often, "seed").select("seed", "run", "o", "a", "m", "n"), "substr-runs", True)

@@ -2,20 +2,26 @@
 
 Rules (host, path) fit a host and its subdomains where the path starts with the rule's; the longest
 wins. URLs that a rule decides are the training data: two variable-order Markov models of bytes, one
-of allowed and one of blocked URLs. Contexts of up to ``ORDER`` bytes share a hashed table of fixed
-size; a byte's probability is interpolated from order 0 upward, each order weighted by how often its
-context was seen (Witten-Bell). A URL's value is the difference of both log-likelihoods divided by
-its length. A fifth of the training URLs is kept out of the counts and calibrates the threshold.
+of allowed and one of blocked URLs. Contexts of up to ORDER bytes share a hashed table whose size
+grows with the training data; a byte's probability is (count + 4 p) / (seen + 4), where p is its
+probability under the context that is a byte shorter (Dirichlet smoothing, order by order). A URL's
+value is the difference of both log-likelihoods divided by its length. A fifth of the training URLs
+is kept out of the counts and calibrates the threshold.
 
-Only URL bytes are looked at: host and path are modelled after the scheme, A-Z lower-cased.
+What the rules look at is not modelled, or the models would only repeat the rules: of a host the
+longest end that is some rule's host is left out, of a path the start that the deciding rule asks
+for. Only URL bytes are looked at: what is left of host and path, A-Z lower-cased.
+``rule_errors`` tells how well the URLs of each rule are judged by models that know only the others.
 
 Defined results: null URLs and those without ``://`` have an empty host and path and fit no rule;
 they are scored as empty, value 0; where one class has no training URLs the other class's verdict is
-given, and "allow" without any; rows that repeat are judged each; extra columns are carried along.
+given, and "allow" without any; rows that repeat are judged each; extra columns are not looked at;
+an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -30,8 +36,7 @@ from ._shared import materialize
 from ._text import mix64, stretched
 
 ORDER = 5
-CONTEXT_BITS = 16  # contexts seen, one table for all orders; the table of (context, byte) pairs is 4 times as large
-PAIR_BITS = 18
+PAIRS = 2  # the table of (context, byte) pairs is so many bits larger than that of contexts
 BINS = 4096
 
 Rule = tuple[str, str]  # ("example.net/en/", "allow")
@@ -49,18 +54,30 @@ def path_of(url: Column) -> Column:
 
 
 def with_rules(df: DataFrame, url_col: str, rules: Sequence[Rule]) -> DataFrame:
-    """Adds __fb_host, __fb_path, __fb_rule and __fb_verdict; the rule list is short and becomes one CASE."""
+    """Adds __fb_host, __fb_path, __fb_rule, __fb_verdict and __fb_site (what the rules do not look at);
+    the rule list is short and becomes one CASE."""
     df = df.withColumn("__fb_url", F.col(url_col).cast("string"))
     df = df.withColumns({"__fb_host": host_of(F.col("__fb_url")), "__fb_path": path_of(F.col("__fb_url"))})
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
+    end, start = F.lit(0), F.lit(0)
     for name, decision in sorted(rules, key=lambda r: len(r[0])):  # later ones, the longer, come outermost
         host, _, path = name.partition("/")
-        fits = ((F.col("__fb_host") == host) | F.endswith("__fb_host", F.lit("." + host))) & F.startswith("__fb_path", F.lit("/" + path))
+        within = (F.col("__fb_host") == host) | F.endswith("__fb_host", F.lit("." + host))
+        fits = within & F.startswith("__fb_path", F.lit("/" + path))
+        end = F.greatest(end, F.when(within, F.lit(len(host))).otherwise(0))
+        start = F.when(fits, F.lit(len(path) + 1)).otherwise(start)
         rule, verdict = F.when(fits, F.lit(name)).otherwise(rule), F.when(fits, F.lit(decision)).otherwise(verdict)
-    return df.withColumns({"__fb_rule": rule, "__fb_verdict": verdict})
+    rest = F.substr("__fb_host", F.lit(1), F.length("__fb_host") - end)
+    lowered = F.translate(F.substr("__fb_path", start + 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return df.withColumns({"__fb_rule": rule, "__fb_verdict": verdict, "__fb_site": F.concat(rest, F.lit("/"), lowered)})
 
 
-def _contexts(column: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+def context_bits(size: int) -> int:
+    """Places for contexts, as a power of two, from the bytes of the training URLs."""
+    return max(12, math.ceil(math.log2(128 * max(size, 1) ** 0.4)))
+
+
+def _contexts(column: pa.Array, bits: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
     """For each order the table places of a byte's context and of context and byte, and URL offsets;
     the last byte of a URL is an end mark, places before its start are zero."""
     data, offsets = stretched(column)
@@ -74,52 +91,51 @@ def _contexts(column: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], np.
                 earlier = np.zeros(len(data), np.uint64)
                 earlier[order:] = data[:-order] if len(data) > order else 0
                 context = mix64(context * np.uint64(257) + np.where(place >= order, earlier, 0) + np.uint64(order))
-            contexts.append((mix64(context + np.uint64(order)) >> np.uint64(64 - CONTEXT_BITS)).astype(np.int64))
-            pairs.append((mix64(context * np.uint64(263) + data + np.uint64(1 << 20)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64))
+            contexts.append((mix64(context + np.uint64(order)) >> np.uint64(64 - bits)).astype(np.int64))
+            pairs.append((mix64(context * np.uint64(263) + data + np.uint64(1 << 20)) >> np.uint64(64 - bits - PAIRS)).astype(np.int64))
     return contexts, pairs, offsets
 
 
 class Markov:
     """Two interpolated models over shared hashed tables; counts[(class, 0)] contexts, [(class, 1)] pairs."""
 
-    SIZE = 2 * ((1 << CONTEXT_BITS) + (1 << PAIR_BITS))
-
-    def __init__(self, counts: np.ndarray):
+    def __init__(self, counts: np.ndarray, bits: int):
         counts = counts.reshape(2, -1).astype(np.float64)
-        self.context, self.pair = counts[:, : 1 << CONTEXT_BITS], counts[:, 1 << CONTEXT_BITS :]
+        self.bits, self.context, self.pair = bits, counts[:, : 1 << bits], counts[:, 1 << bits :]
 
     def value(self, column: pa.Array) -> np.ndarray:
         """Log-likelihood under class 1 minus that under class 0, per byte."""
-        contexts, pairs, offsets = _contexts(column)
+        contexts, pairs, offsets = _contexts(column, self.bits)
         sums = []
         for cls in (0, 1):
             p = np.full(len(contexts[0]), 1 / 257)
             for c, w in zip(contexts, pairs):
                 seen = self.context[cls][c]
-                trust = seen / (seen + 4)
-                p = (1 - trust) * p + trust * np.minimum(1, self.pair[cls][w] / np.maximum(seen, 1))
-            sums.append(np.add.reduceat(np.log(np.maximum(p, 1e-12)), offsets[:-1]))
+                p = (np.minimum(self.pair[cls][w], seen) + 4 * p) / (seen + 4)
+            sums.append(np.add.reduceat(np.log(p), offsets[:-1]))
         return (sums[1] - sums[0]) / np.diff(offsets)
 
 
-def train(known: DataFrame) -> np.ndarray:
-    """known(label, site) -> the counts of both models."""
+def train(known: DataFrame, bits: int, tasks: int) -> Markov:
+    """known(label, site) -> both models."""
+    length = (1 << bits) + (1 << bits + PAIRS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, (1 << CONTEXT_BITS) + (1 << PAIR_BITS)), np.float32)
+        counts = np.zeros((2, length))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            contexts, pairs, offsets = _contexts(batch.column(1))
+            contexts, pairs, offsets = _contexts(batch.column(1), bits)
             label = np.repeat(batch.column(0).to_numpy(), np.diff(offsets))
             for cls in (0, 1):
                 own = label == cls
                 for c, w in zip(contexts, pairs):
-                    counts[cls, : 1 << CONTEXT_BITS] += np.bincount(c[own], minlength=1 << CONTEXT_BITS)
-                    counts[cls, 1 << CONTEXT_BITS :] += np.bincount(w[own], minlength=1 << PAIR_BITS)
-        yield _sums.slices(counts)
+                    np.add.at(counts[cls], c[own], 1)
+                    np.add.at(counts[cls], w[own] + (1 << bits), 1)
+        yield from _sums.parts(counts)
 
-    return _sums.total(known.mapInArrow(run, _sums.SCHEMA), "float32", Markov.SIZE)
+    rows = known.select("label", "site").coalesce(tasks).mapInArrow(run, _sums.SCHEMA)
+    return Markov(_sums.total(rows, "float64", 2 * length, math.isqrt(tasks)), bits)
 
 
 def valued(sites: DataFrame, model: Markov, keep: str) -> DataFrame:
@@ -149,25 +165,54 @@ def threshold(judged: DataFrame) -> float:
     return float(least[np.argmin(np.abs(least - BINS / 2))] * (8 / BINS) - 4)
 
 
-def judge(df: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """One row per input row: ``id, host, path, rule, verdict, value``."""
+def fit(known: DataFrame) -> tuple[Markov, float] | str:
+    """The models and the threshold from known(label, site), or the only verdict there is."""
+    sizes = {r["label"]: r["size"] for r in known.groupBy("label").agg(F.sum(F.octet_length("site") + 1).alias("size")).collect()}  # two rows at most
+    if len(sizes) < 2:
+        return "block" if 0 in sizes else "allow"
+    size = sum(sizes.values())
+    tasks = max(1, min(known.sparkSession.sparkContext.defaultParallelism, size // (1 << 22) + 1))
+    held = F.pmod(F.xxhash64("site"), F.lit(5)) == 0
+    model = train(known.where(~held), context_bits(size), tasks)
+    return model, threshold(valued(known.where(held).select("label", "site"), model, "label int"))
+
+
+def _sites(df: DataFrame, rules: Sequence[Rule], id_col: str, url_col: str) -> DataFrame:
     ship(df.sparkSession)
     ruled = with_rules(df.select(F.col(id_col).alias("__fb_id"), F.col(url_col).alias("__fb_in")), "__fb_in", rules)
-    lowered = F.translate("__fb_path", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sites = ruled.select(
         F.col("__fb_id").alias("id"), F.col("__fb_host").alias("host"), F.col("__fb_path").alias("path"), F.col("__fb_rule").alias("rule"),
-        F.col("__fb_verdict").alias("decided"), F.concat("__fb_host", lowered).alias("site"),
+        F.col("__fb_verdict").alias("decided"), (F.col("__fb_verdict") == "allow").cast("int").alias("label"), F.col("__fb_site").alias("site"),
     )
-    sites = materialize(sites, "url-sites")
-    known = sites.where("decided IS NOT NULL").select((F.col("decided") == "allow").cast("int").alias("label"), "site")
-    held = F.pmod(F.xxhash64("site"), F.lit(5)) == 0
-    labels = [r["label"] for r in known.select("label").distinct().collect()]  # at most two rows
-    if len(labels) < 2:
-        only = "block" if labels == [0] else "allow"
-        return sites.select("id", "host", "path", "rule", F.coalesce("decided", F.lit(only)).alias("verdict"), F.lit(0.0).alias("value"))
-    model = Markov(train(known.where(~held)))
-    cut = threshold(valued(known.where(held), model, "label int"))
+    return materialize(sites, "url-sites")
+
+
+def judge(df: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """One row per input row: ``id, host, path, rule, verdict, value``."""
+    sites = _sites(df, rules, id_col, url_col)
+    fitted = fit(sites.where("decided IS NOT NULL"))
+    if isinstance(fitted, str):
+        return sites.select("id", "host", "path", "rule", F.coalesce("decided", F.lit(fitted)).alias("verdict"), F.lit(0.0).alias("value"))
+    model, cut = fitted
     kind = sites.schema["id"].dataType.simpleString()
-    out = valued(sites, model, f"id {kind}, host string, path string, rule string, decided string")
-    verdict = F.coalesce("decided", F.when(F.col("value") >= cut, "allow").otherwise("block"))
-    return out.select("id", "host", "path", "rule", verdict.alias("verdict"), "value")
+    out = valued(sites.drop("label"), model, f"id {kind}, host string, path string, rule string, decided string")
+    value = F.when(F.col("host") == "", F.lit(0.0)).otherwise(F.col("value"))
+    verdict = F.coalesce("decided", F.when(value >= cut, "allow").otherwise("block"))
+    return out.select("id", "host", "path", "rule", verdict.alias("verdict"), value.alias("value"))
+
+
+def rule_errors(df: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url") -> list[tuple[str, int, int]]:
+    """(rule, its URLs, how many of them get the other verdict) under models that know only the other rules' URLs."""
+    known = _sites(df, rules, id_col, url_col).where("decided IS NOT NULL")
+    out = []
+    for name, decision in rules:
+        fitted = fit(known.where(F.col("rule") != name))
+        own = known.where(F.col("rule") == name)
+        if isinstance(fitted, str):
+            n = own.count()
+            out.append((name, n, 0 if fitted == decision else n))
+            continue
+        wrong = F.col("value") >= fitted[1] if decision == "block" else F.col("value") < fitted[1]
+        row = valued(own.select("label", "site"), fitted[0], "label int").agg(F.count(F.lit(1)), F.count_if(wrong)).first()
+        out.append((name, row[0], row[1]))
+    return out

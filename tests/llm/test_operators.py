@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -148,6 +149,56 @@ def test_url_rules_and_model(spark):
     assert got[131]["verdict"] == "allow" and got[132]["verdict"] == "block"
     assert url_filter.judge(df.where("page_id < 3"), queries.URL_RULES).select("verdict").distinct().collect()[0][0] == "allow"
     assert url_filter.judge(df.limit(0), queries.URL_RULES).count() == 0
+    assert got[0]["value"] == got[2]["value"] == 0.0
+    twice = url_filter.judge(df.unionByName(df), queries.URL_RULES)
+    assert twice.count() == 2 * len(urls) and twice.distinct().count() == len(urls)
+    # the rest of the URL decides, not the rule's own host: words of good and bad pages under other hosts
+    more = [(200 + i, u) for i, u in enumerate(["http://example.com/good-page-9", "http://other.org/spam/cheap-77"])]
+    both = df.select("page_id", "url").unionByName(spark.createDataFrame(more, "page_id long, url string"))
+    late = {r["id"]: r["verdict"] for r in url_filter.judge(both, queries.URL_RULES).collect()}
+    assert (late[200], late[201]) == ("allow", "block")
+    rules = [("org/fr/", "allow"), ("net/spam/", "block"), ("net/good/", "allow"), ("com/spam/", "block")]
+    known = [f"http://h{i}.{site}{i}" for site in ("org/fr/good-page-", "net/spam/cheap-", "net/good/good-page-", "com/spam/cheap-") for i in range(60)]
+    table = spark.createDataFrame(list(enumerate(known)), "page_id long, url string")
+    assert all(n == 60 and wrong <= 6 for _, n, wrong in url_filter.rule_errors(table, rules))
+
+
+def test_url_model_equals_plain_counts():
+    """The models against dictionaries of contexts, in a table large enough for contexts not to meet."""
+    rng = random.Random(1)
+    sites = ["".join(rng.choices("abc/-", k=rng.randint(0, 12))) for _ in range(80)]
+    label = [rng.randint(0, 1) for _ in sites]
+    bits = 22
+    contexts, pairs, offsets = url_filter._contexts(pa.array(sites), bits)
+    counts = np.zeros((2, (1 << bits) + (1 << bits + url_filter.PAIRS)))
+    own = np.repeat(label, np.diff(offsets))
+    for c, w in zip(contexts, pairs):
+        np.add.at(counts, (own, c), 1)
+        np.add.at(counts, (own, w + (1 << bits)), 1)
+    seen, follow = [Counter(), Counter()], [Counter(), Counter()]
+
+    def context(raw, at, order):
+        return order, "^" * max(0, order - at) + raw[max(0, at - order) : at]
+
+    for site, cls in zip(sites, label):
+        raw = site + "\0"
+        for at, byte in enumerate(raw):
+            for order in range(url_filter.ORDER + 1):
+                seen[cls][context(raw, at, order)] += 1
+                follow[cls][context(raw, at, order), byte] += 1
+
+    def plain(site):
+        value, raw = 0.0, site + "\0"
+        for at, byte in enumerate(raw):
+            for cls, sign in ((1, 1), (0, -1)):
+                p = 1 / 257
+                for order in range(url_filter.ORDER + 1):
+                    p = (follow[cls][context(raw, at, order), byte] + 4 * p) / (seen[cls][context(raw, at, order)] + 4)
+                value += sign * math.log(p)
+        return value / len(raw)
+
+    asked = [*sites, "", "zz", "abc/abc"]
+    assert url_filter.Markov(counts, bits).value(pa.array(asked)).tolist() == pytest.approx([plain(x) for x in asked], abs=1e-9)
 
 
 def test_packing(docs, rows, empty, odd_ids):

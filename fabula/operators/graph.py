@@ -194,3 +194,219 @@ def shortest_hops(edges: DataFrame, pairs: DataFrame, longest: int = 3, source:
     """(a, b, hops): least number of undirected steps between given ends (columns a, b), up to ``longest``."""
     reached = k_hop(edges, pairs.select(F.col("a").alias("seed")).distinct(), longest, source, target)
     return pairs.join(reached.select(F.col("seed").alias("a"), F.col("id").alias("b"), "hops"), ["a", "b"])
+
+
+def unified(layers: dict[str, DataFrame]) -> DataFrame:
+    """(src, dst, weight, layer) of several edge tables, each of columns src, dst, weight; an edge's ends belong to its layer."""
+    rows = None
+    for name, df in layers.items():
+        one = df.select("src", "dst", F.col("weight").cast("double").alias("weight"), F.lit(name).alias("layer"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def has_nodes(edges: DataFrame, asked: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
+    """asked(id) -> (id, found)."""
+    known = edges.select(F.col(source).alias("id")).union(edges.select(target)).distinct().withColumn("found", F.lit(True))
+    return asked.select("id").join(known, "id", "left").fillna(False, ["found"])
+
+
+def edges_between(edges: DataFrame, asked: DataFrame, directed: bool = False, source: str = "src", target: str = "dst") -> DataFrame:
+    """asked(a, b) -> (a, b, n): how many edges join them, in either direction unless ``directed``."""
+    counts = edges.groupBy(F.col(source).alias("a"), F.col(target).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    if not directed:
+        back = counts.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"), "n")
+        counts = counts.unionByName(back).groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return asked.select("a", "b").join(counts, ["a", "b"], "left").fillna(0, ["n"])
+
+
+def node_edges(edges: DataFrame, asked: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
+    """Edges that begin or end at one of the asked ids, each once."""
+    ids = asked.select("id").distinct()
+    out = edges.join(ids, edges[source] == ids["id"], "left_semi")
+    into = edges.join(ids, edges[target] == ids["id"], "left_semi").join(ids.withColumnRenamed("id", "__a"), F.col(source) == F.col("__a"), "left_anti")
+    return out.unionByName(into)
+
+
+def typed_paths(edges: DataFrame, starts: DataFrame, longest: int, source: str = "src", target: str = "dst", kind: str = "kind", confidence: str = "confidence") -> DataFrame:
+    """(path, kinds, sure, length) of directed paths without repeated nodes; each length is written before the next grows."""
+    e = edges.select(F.col(source).alias("__s"), F.col(target).alias("__t"), F.col(kind).alias("__k"), F.col(confidence).cast("double").alias("__c"))
+    paths = starts.select(F.array("id").alias("path"), F.array().cast("array<string>").alias("kinds"), F.array().cast("array<double>").alias("sure"))
+    out = None
+    for n in range(1, longest + 1):
+        grown = paths.join(e, F.element_at("path", -1) == F.col("__s")).where(~F.array_contains("path", F.col("__t")))
+        paths = grown.select(F.array_append("path", F.col("__t")).alias("path"), F.array_append("kinds", F.col("__k")).alias("kinds"), F.array_append("sure", F.col("__c")).alias("sure"))
+        paths = materialize(paths, "graph-paths")
+        level = paths.withColumn("length", F.lit(n))
+        out = level if out is None else out.unionByName(level)
+    return out
+
+
+def path_scores(paths: DataFrame) -> DataFrame:
+    """Adds what typed paths are: ``causal`` or ``temporal`` where every edge is, else ``mixed``; mean confidence and summed weight."""
+    every = lambda word: F.forall("kinds", lambda k: F.contains(k, F.lit(word)))
+    total = F.aggregate("sure", F.lit(0.0), lambda s, x: s + x)
+    kind = F.when(every("causal"), "causal").when(every("temporal"), "temporal").otherwise("mixed")
+    return paths.withColumns({"path_kind": kind, "confidence": total / F.size("sure"), "weight": total})
+
+
+def causal_chains(paths: DataFrame, k: int = 10) -> DataFrame:
+    """The k surest causal paths of three nodes or more, ties to the path that sorts first."""
+    return path_scores(paths).where("path_kind = 'causal' AND length >= 2").orderBy(F.desc(F.round("confidence", 9)), F.array_join("path", "-")).limit(k)
+
+
+def distances(edges: DataFrame, sources: DataFrame | None = None, source: str = "src", target: str = "dst") -> DataFrame:
+    """(s, v, d, n): undirected distance from each source (all nodes without a table of ids) and the number of shortest
+    paths. One round for each distance, on the frontier only; the result has a row for each pair that is connected."""
+    near = materialize(undirected(edges, source, target), "graph-near")
+    ids = near.select(F.col("a").alias("id")).distinct() if sources is None else sources.select("id")
+    seen = materialize(ids.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(0).alias("d"), F.lit(1).cast("double").alias("n")), "graph-front")
+    frontier, d = seen, 0
+    while True:
+        d += 1
+        step = frontier.join(near, frontier["v"] == near["a"]).groupBy("s", F.col("b").alias("v")).agg(F.sum("n").alias("n"))
+        frontier = materialize(step.join(seen.select("s", "v"), ["s", "v"], "left_anti").select("s", "v", F.lit(d).alias("d"), "n"), "graph-front")
+        if frontier.isEmpty():
+            return seen
+        seen = seen.unionByName(frontier)
+
+
+def closeness(edges: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
+    """(id, closeness): reached nodes over their summed distance, scaled by the share of all nodes that is reached."""
+    sums = distances(edges, None, source, target).groupBy(F.col("s").alias("id")).agg((F.count(F.lit(1)) - 1).alias("r"), F.sum("d").alias("far"))
+    n = sums.count()
+    return sums.select("id", F.when(F.col("far") > 0, F.col("r") / F.col("far") * F.col("r") / F.lit(max(n - 1, 1))).otherwise(0.0).alias("closeness"))
+
+
+def betweenness(edges: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
+    """(id, betweenness): the share of shortest paths between others that pass, normalised. Distances and path numbers
+    first, then dependencies from the farthest level back (one round a level, linear in sources times edges)."""
+    near = materialize(undirected(edges, source, target), "graph-near")
+    found = materialize(distances(edges, None, source, target), "graph-distances")
+    n, far = found.select("v").distinct().count(), found.agg(F.max("d")).first()[0] or 0
+    total, behind = None, None
+    for d in range(far, 0, -1):
+        level = found.where(F.col("d") == d)
+        if behind is not None:
+            level = level.join(behind.select("s", "v", "delta"), ["s", "v"], "left")
+        else:
+            level = level.withColumn("delta", F.lit(0.0))
+        share = level.select("s", F.col("v").alias("w"), ((1 + F.coalesce("delta", F.lit(0.0))) / F.col("n")).alias("share"))
+        above = found.where(F.col("d") == d - 1).select("s", "v", "n")
+        passed = share.join(near, share["w"] == near["a"]).select("s", F.col("b").alias("v"), "share").join(above, ["s", "v"])
+        behind = materialize(passed.groupBy("s", "v").agg(F.sum(F.col("share") * F.col("n")).alias("delta")), "graph-delta")
+        total = behind if total is None else total.unionByName(behind)
+    ids = found.select(F.col("v").alias("id")).distinct()
+    if total is None:
+        return ids.withColumn("betweenness", F.lit(0.0))
+    sums = total.where("s <> v").groupBy(F.col("v").alias("id")).agg(F.sum("delta").alias("sum"))
+    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 0.0
+    return ids.join(sums, "id", "left").select("id", (F.coalesce("sum", F.lit(0.0)) * scale).alias("betweenness"))
+
+
+def path_lengths(edges: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
+    """One row: whether the graph hangs together, and if so mean path length and diameter."""
+    found = distances(edges, None, source, target)
+    out = found.agg(F.count_distinct("v").alias("n"), F.count(F.lit(1)).alias("pairs"), F.sum("d").alias("far"), F.max("d").alias("most"))
+    whole = F.col("pairs") == F.col("n") * F.col("n")
+    return out.select(whole.alias("connected"), F.when(whole & (F.col("n") > 1), F.col("far") / (F.col("n") * (F.col("n") - 1))).alias("mean_length"), F.when(whole, F.col("most")).alias("diameter"))
+
+
+def louvain(edges: DataFrame, levels: int = 3, sweeps: int = 3, parts: int = 2, source: str = "src", target: str = "dst") -> DataFrame:
+    """(id, community) by modularity: nodes move to the neighbouring community of largest gain, a hash part of them at a
+    time so that neighbours do not swap; then communities become nodes. Ties go to the least community."""
+    near = materialize(undirected(edges, source, target).withColumn("w", F.lit(1.0)), "louvain-near")
+    home = materialize(near.select(F.col("a").alias("id"), F.col("a").alias("community")).distinct(), "louvain-home")
+    for _ in range(levels):
+        degree = materialize(near.groupBy("a").agg(F.sum("w").alias("k")), "louvain-degree")
+        m2 = degree.agg(F.sum("k")).first()[0] or 1.0
+        labels, moved = degree.select("a", "k", F.col("a").alias("c")), 0
+        for turn in range(sweeps * parts):
+            tied = near.where("a <> b").join(labels.select(F.col("a").alias("b"), "c"), "b").groupBy("a", "c").agg(F.sum("w").alias("w"))
+            mass = labels.groupBy("c").agg(F.sum("k").alias("mass"))
+            own = labels.select("a", "k", F.col("c").alias("own"))
+            options = tied.unionByName(labels.select("a", "c", F.lit(0.0).alias("w"))).groupBy("a", "c").agg(F.sum("w").alias("w")).join(own, "a").join(mass, "c")
+            gain = F.col("w") - F.col("k") * (F.col("mass") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / F.lit(m2)
+            best = options.groupBy("a", "k", "own").agg(F.min(F.struct((-F.round(gain, 12)).alias("g"), (F.col("c") != F.col("own")).alias("other"), "c")).alias("m"))
+            mine = F.pmod(F.xxhash64("a", F.lit(7)), F.lit(parts)) == turn % parts
+            new = best.select("a", "k", F.when(mine, F.col("m.c")).otherwise(F.col("own")).alias("c"), "own")
+            new = materialize(new, "louvain-labels")
+            moved += new.where("c <> own").count()
+            labels = new.drop("own")
+        if not moved:
+            break
+        to = labels.select(F.col("a").alias("from"), "c")
+        home = materialize(home.join(to, home["community"] == to["from"]).select("id", F.col("c").alias("community")), "louvain-home")
+        ends = near.join(labels.select("a", F.col("c").alias("ca")), "a").join(labels.select(F.col("a").alias("b"), F.col("c").alias("cb")), "b")
+        near = materialize(ends.groupBy(F.col("ca").alias("a"), F.col("cb").alias("b")).agg(F.sum("w").alias("w")), "louvain-near")
+    names = home.groupBy("community").agg(F.min("id").alias("name"))
+    return home.join(names, "community").select("id", F.col("name").alias("community"))
+
+
+def modularity(edges: DataFrame, labels: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
+    """One row: modularity of labels(id, community) on the undirected graph."""
+    near = undirected(edges, source, target)
+    a, b = labels.select(F.col("id").alias("a"), F.col("community").alias("ca")), labels.select(F.col("id").alias("b"), F.col("community").alias("cb"))
+    ends = near.join(a, "a").join(b, "b")
+    inside = ends.agg(F.count(F.lit(1)).alias("m2"), F.count_if(F.col("ca") == F.col("cb")).alias("inside"))
+    squares = ends.groupBy("ca").agg(F.count(F.lit(1)).alias("k")).agg(F.sum(F.col("k") * F.col("k")).alias("squares"))
+    return inside.join(F.broadcast(squares)).select((F.col("inside") / F.col("m2") - F.col("squares") / (F.col("m2") * F.col("m2"))).alias("modularity"))  # one row each
+
+
+def hyper_relations(facts: DataFrame, key: str, subject: str, object_: str, auxiliary: str) -> DataFrame:
+    """(relation, id, role, place): ends of n-ary facts; ``auxiliary`` is an array of (role, ids), roles may be null."""
+    ends = F.array(F.struct(F.lit("subject").alias("role"), F.array(subject).alias("ids")), F.struct(F.lit("object").alias("role"), F.array(object_).alias("ids")))
+    more = F.transform(auxiliary, lambda x, i: F.struct(F.coalesce(x["role"], F.concat(F.lit("aux_"), (i + 1).cast("string"))).alias("role"), x["ids"].alias("ids")))
+    rows = facts.select(F.col(key).alias("relation"), F.posexplode(F.concat(ends, more)).alias("place", "end"))
+    return rows.select("relation", F.explode("end.ids").alias("id"), "end.role", "place").where("id IS NOT NULL")
+
+
+def create_or_get(df: DataFrame, kind: str, name: str, order: str) -> DataFrame:
+    """(kind, name, id): each distinct pair once, with id ``kind_n`` numbered from 0 as it first appears within its kind."""
+    from pyspark.sql import Window
+
+    first = df.groupBy(kind, name).agg(F.min(order).alias("__first"))
+    at = F.row_number().over(Window.partitionBy(kind).orderBy("__first", name)) - 1
+    return first.select(kind, name, F.concat(F.col(kind), F.lit("_"), at.cast("string")).alias("id"))
+
+
+def related_edges(edges: DataFrame, seeds: DataFrame, budget: int, weight: str = "weight", source: str = "src", target: str = "dst") -> DataFrame:
+    """(seed, src, dst, degree, weight, rank): each seed's edges, those of the best connected ends first, then the heaviest,
+    as many as the budget allows."""
+    from pyspark.sql import Window
+
+    ranks = degrees(edges, source, target).select("id", "degree")
+    ends = edges.select(F.col(source).alias("seed"), source, target, weight).unionByName(edges.where(F.col(source) != F.col(target)).select(F.col(target).alias("seed"), source, target, weight))
+    mine = ends.join(seeds.select(F.col("id").alias("seed")).distinct(), "seed", "left_semi")
+    scored = mine.join(ranks.select(F.col("id").alias(source), F.col("degree").alias("__d1")), source).join(ranks.select(F.col("id").alias(target), F.col("degree").alias("__d2")), target)
+    scored = scored.withColumn("degree", F.col("__d1") + F.col("__d2"))
+    rank = F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("degree"), F.desc(weight), source, target))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= budget).select("seed", source, target, "degree", weight, "rank")
+
+
+def subgraph(edges: DataFrame, seeds: DataFrame, depth: int, source: str = "src", target: str = "dst") -> DataFrame:
+    """Edges among all nodes within ``depth`` steps of any seed (column ``id``)."""
+    reached = k_hop(edges, seeds.select(F.col("id").alias("seed")), depth, source, target)
+    return induced(edges, reached.select("id").distinct(), source, target)
+
+
+def random_walks(edges: DataFrame, length: int, walks: int, seed: int = 0, source: str = "src", target: str = "dst") -> DataFrame:
+    """(start, walk, path): uniform walks from every node; steps are drawn by hash, so reruns agree."""
+    near = materialize(undirected(edges, source, target), "walk-near")
+    lists = materialize(near.groupBy("a").agg(F.array_sort(F.collect_list("b")).alias("next")), "walk-lists")
+    rows = lists.select(F.col("a").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk")).withColumn("path", F.array("start"))
+    for step in range(length - 1):
+        here = rows.join(lists, F.element_at("path", -1) == F.col("a"))
+        at = F.pmod(F.xxhash64("start", "walk", F.lit(step), F.lit(seed)), F.size("next")).cast("int")
+        rows = materialize(here.select("start", "walk", F.array_append("path", F.get("next", at)).alias("path")), "walk-rows")
+    return rows
+
+
+def node_vectors(edges: DataFrame, size: int = 16, length: int = 10, walks: int = 5, seed: int = 0, source: str = "src", target: str = "dst") -> DataFrame:
+    """(id, vector): skip-gram vectors of nodes over random walks, by the built-in Word2Vec."""
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+
+    paths = random_walks(edges, length, walks, seed, source, target).select(F.transform("path", lambda x: x.cast("string")).alias("path"))
+    model = Word2Vec(vectorSize=size, minCount=0, seed=seed, inputCol="path", outputCol="v", windowSize=3).fit(paths)
+    return model.getVectors().select(F.col("word").alias("id"), vector_to_array("vector").alias("vector"))

@@ -45,7 +45,7 @@ def total(rows: DataFrame, dtype: str, length: int, salts: int = 64) -> np.ndarr
     salted = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts)))
     first = salted.groupBy("slice", "salt").applyInArrow(add, SCHEMA)
     out = np.zeros((SLICES, length // SLICES), dtype)
-    for row in first.groupBy("slice").applyInArrow(add, SCHEMA).collect():
+    for row in first.groupBy("slice").applyInArrow(add, SCHEMA).toLocalIterator():  # a few slices at a time
         out[row["slice"]] = np.frombuffer(row["body"], dtype)
     del salted, first
     collect_garbage(rows.sparkSession)  # iterations would pile up shuffle files as large as the array times the tasks

@@ -14,7 +14,9 @@ the words themselves; neither has a cap.
 Training: the words of all training documents are counted, map-side first. Weights start at zero
 with class shares as bias. Training documents are dealt into ``rounds`` batches by a hash of the text;
 each round sends the weights to all partitions, which return observed and expected feature counts of
-its batch's documents. The gradient (observed minus expected) is scaled by what was seen of a feature.
+its batch's documents; a token's expectation is one class drawn from the model (by a hash of the token
+and its place, so reruns agree), which has the gradient's mean at a fraction of its cost. The gradient
+(observed minus expected) is scaled by what was seen of a feature.
 One training document in CHECK is in no batch and tells how good the weights are: training stops
 where they no longer get better, and the best ones are kept.
 
@@ -50,13 +52,13 @@ LEVELS, WIDTH = 3, 16
 LEAVES = WIDTH**LEVELS
 KINDS = 3  # previous word, skip, both
 END, BEGIN = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
-CHUNK = 8_192
+CHUNK = 32_768
 CHECK = 32
 
 
 def feature_rows(distinct: int) -> int:
     """Rows for each level and kind of feature, from the number of distinct training words."""
-    return 512 + math.ceil(24 * math.sqrt(distinct))
+    return 512 + math.ceil(16 * math.sqrt(distinct))
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -107,13 +109,12 @@ class Model:
             rows = [(((h ^ salt) * np.uint64(0xD6E8FEB86659FD93) >> half) * n >> half).astype(np.int64) for h in histories]
         return path, rows, leaf // WIDTH ** (LEVELS - 1 - level) % WIDTH
 
-    def log_shares(self, path: np.ndarray, rows: list[np.ndarray], level: int) -> np.ndarray:
-        """Natural log of the probability of each class on a level, a row for each token."""
+    def logits(self, path: np.ndarray, rows: list[np.ndarray], level: int) -> np.ndarray:
+        """Natural logs of the classes' shares on a level, a row for each token, up to a common term; the largest is 0."""
         z = self.bias[level].take(path, axis=0)
         for kind in range(KINDS):
             z += self.weights[level, kind].take(rows[kind], axis=0)
         z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
         return z
 
     def log_leaf(self, tokens: np.ndarray, leaf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -123,7 +124,8 @@ class Model:
             part = slice(at, at + CHUNK)
             for level in range(LEVELS):
                 path, rows, cls = self.rows([h[part] for h in histories], leaf[part], level)
-                out[part] += self.log_shares(path, rows, level)[np.arange(len(path)), cls]
+                z = self.logits(path, rows, level)
+                out[part] += z[np.arange(len(path)), cls] - np.log(np.exp(z).sum(axis=1))
         return out
 
 
@@ -166,8 +168,8 @@ def _counts(parts) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(leaf, pa.int32()), pa.array(c)], ["h", "leaf", "c"])
 
 
-def gradient(texts: DataFrame, model: Model, tasks: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """texts(text, checks) -> observed and expected feature counts, as arrays like the weights, over the
+def gradient(texts: DataFrame, model: Model, tasks: int) -> tuple[np.ndarray, float]:
+    """texts(text, checks) -> observed and expected feature counts, two arrays like the weights, over the
     rows that train, and the mean log-likelihood of a token of those that check."""
     shape = (2, *model.weights.shape)
 
@@ -180,27 +182,40 @@ def gradient(texts: DataFrame, model: Model, tasks: int) -> tuple[np.ndarray, np
                 told, n = told + model.log_leaf(tokens, leaf, bounds).sum(), n + len(tokens)
             for _, _, data, offsets in blocks(batch.column(0).filter(pc.invert(checks))):
                 tokens, leaf, bounds = _tokens(data, offsets)
-                histories = _histories(tokens, bounds)
+                histories, keys = _histories(tokens, bounds), draw_keys(tokens, bounds)
                 for at in range(0, len(tokens), CHUNK):
-                    _add_counts(sums, model, [h[at : at + CHUNK] for h in histories], leaf[at : at + CHUNK])
+                    part = slice(at, at + CHUNK)
+                    _add_counts(sums, model, [h[part] for h in histories], leaf[part], keys[part])
         yield from _sums.parts(np.append(sums.reshape(-1), np.array([told, n] + [0] * (_sums.SLICES - 2), np.float32)))
 
     out = _sums.total(texts.select("text", "checks").coalesce(tasks).mapInArrow(run, _sums.SCHEMA), "float32", int(np.prod(shape)) + _sums.SLICES, math.isqrt(tasks))
-    sums = out[: -_sums.SLICES].reshape(shape).astype(np.float64)
     told, n = out[-_sums.SLICES :][:2]
-    return sums[0], sums[1], float(told / max(n, 1))
+    return out[: -_sums.SLICES].reshape(shape), float(told / max(n, 1))
 
 
-def _add_counts(sums: np.ndarray, model: Model, histories: list[np.ndarray], leaf: np.ndarray) -> None:
+def draw_keys(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A hash of each token and its place in its document."""
+    place = np.arange(len(tokens)) - np.repeat(bounds[:-1], np.diff(bounds))
+    with np.errstate(over="ignore"):
+        return mix64(tokens * np.uint64(0x9E3779B97F4A7C15) + place.astype(np.uint64))
+
+
+def drawn(z: np.ndarray, keys: np.ndarray, level: int) -> np.ndarray:
+    """A class for each row of logits, drawn by its key."""
+    with np.errstate(over="ignore"):
+        u = (mix64(keys + np.uint64(level + 1)) >> np.uint64(40)).astype(np.float32) * np.float32(2**-24)
+    c = np.cumsum(np.exp(z), axis=1)
+    return np.minimum((c <= (u * c[:, -1])[:, None]).sum(axis=1), WIDTH - 1)
+
+
+def _add_counts(sums: np.ndarray, model: Model, histories: list[np.ndarray], leaf: np.ndarray, keys: np.ndarray) -> None:
+    n = sums.shape[3] * WIDTH
     for level in range(LEVELS):
         path, rows, cls = model.rows(histories, leaf, level)
-        p = np.exp(model.log_shares(path, rows, level))
+        guess = drawn(model.logits(path, rows, level), keys, level)
         for kind in range(KINDS):
-            order = np.argsort(rows[kind].astype(np.uint32), kind="stable")
-            ranked = rows[kind][order]
-            first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-            sums[1, level, kind][ranked[first]] += np.add.reduceat(p[order], first, axis=0)
-            np.add.at(sums[0, level, kind].reshape(-1), rows[kind] * WIDTH + cls, np.float32(1))
+            for side, chosen in enumerate((cls, guess)):
+                sums[side, level, kind] += np.bincount(rows[kind] * WIDTH + chosen, minlength=n).reshape(-1, WIDTH)
 
 
 def train(texts: DataFrame, model: Model, rounds: int, tasks: int, rate: float = 0.4, ridge: float = 20.0) -> tuple[Model, list[float]]:
@@ -209,14 +224,17 @@ def train(texts: DataFrame, model: Model, rounds: int, tasks: int, rate: float =
     dealt = texts.select("text", (F.pmod(key, F.lit(CHECK)) == 0).alias("checks"), F.pmod(F.shiftright(key, 20), F.lit(max(rounds, 1))).alias("batch"))
     best, told = model, []
     for turn in range(rounds + 1):
-        observed, expected, likelihood = gradient(dealt.where(F.col("checks") | (F.col("batch") == turn)), model, tasks)
+        sums, likelihood = gradient(dealt.where(F.col("checks") | (F.col("batch") == turn)), model, tasks)
         if told and likelihood < max(told):
             return best, [*told, likelihood]
         best = model
         told.append(likelihood)
         if turn < rounds:
-            step = 2 * rate * (observed - expected) / (observed + expected + ridge)
-            model = Model((model.weights + step).astype(np.float32), model.bias)
+            weights = model.weights.copy()
+            for part, observed, expected in zip(*(x.reshape(-1, *weights.shape[2:]) for x in (weights, sums[0], sums[1]))):  # in place
+                part += np.float32(2 * rate) * (observed - expected) / (observed + expected + np.float32(ridge))
+            model = Model(weights, model.bias)
+        del sums
     return best, told
 
 

@@ -481,11 +481,11 @@ def test_lm_score_equals_plain_loops(docs, rows, rounds):
         history = list(zip(*(x.tolist() for x in lm._histories(h, bounds))))
         ahead = [(lm.BEGIN, lm.BEGIN), *zip([*h[:-1]], [lm.BEGIN, *h[:-2]])][: len(h)]
         assert [x[0] for x in history] == [int(lm.mix64(np.array([one], np.uint64))[0]) for one, _ in ahead]
-        seen[i] = list(zip(h.tolist(), leaf.tolist(), history))
+        seen[i] = list(zip(h.tolist(), leaf.tolist(), history, lm.draw_keys(h, bounds).tolist()))
     training = [i for i in texts if zlib.crc32(str(i).encode()) % 5 != 1]
     counts, leaf_of = Counter(), {}
     for i in training:
-        for h, leaf, _ in seen[i]:
+        for h, leaf, *_ in seen[i]:
             counts[h] += 1
             leaf_of[h] = leaf
     unknown = (1 + sum(c == 1 for c in counts.values())) / lm.LEAVES
@@ -512,7 +512,7 @@ def test_lm_score_equals_plain_loops(docs, rows, rounds):
     keys = dict(docs.sparkSession.createDataFrame([(i, raw.decode()) for i, raw in texts.items()], "i long, t string").selectExpr("i", "xxhash64(t)").collect())
     told = []
     for turn in range(rounds + 1):
-        checked = [sum(math.log(p[cls]) for _, cls, p in steps(leaf, hist)) for i in training if keys[i] % lm.CHECK == 0 for _, leaf, hist in seen[i]]
+        checked = [sum(math.log(p[cls]) for _, cls, p in steps(leaf, hist)) for i in training if keys[i] % lm.CHECK == 0 for _, leaf, hist, _ in seen[i]]
         told.append(sum(checked) / max(1, len(checked)))
         assert told == sorted(told)
         if turn == rounds:
@@ -520,22 +520,28 @@ def test_lm_score_equals_plain_loops(docs, rows, rounds):
         observed, expected = Counter(), Counter()
         for i in training:
             if keys[i] % lm.CHECK and (keys[i] >> 20) % rounds == turn:
-                for _, leaf, hist in seen[i]:
-                    for at, cls, p in steps(leaf, hist):
+                for _, leaf, hist, key in seen[i]:
+                    for level, (at, cls, p) in enumerate(steps(leaf, hist)):
+                        guess = int(lm.drawn(np.log(np.array([p], np.float32)), np.array([key], np.uint64), level)[0])
                         for x in at:
                             observed[*x, cls] += 1
-                            for c in range(lm.WIDTH):
-                                expected[*x, c] += p[c]
-        for x in expected:
+                            expected[*x, guess] += 1
+        for x in observed.keys() | expected.keys():
             weights[x] += 2 * 0.4 * (observed[x] - expected[x]) / (observed[x] + expected[x] + 20)
     for r in lm.lm_scores(docs, rounds=rounds).collect():
         score = 0.0
-        for h, leaf, hist in seen[r["id"]]:
+        for h, leaf, hist, _ in seen[r["id"]]:
             share = (counts[h] + 0.5 if h in counts else unknown) / mass[leaf]
             score += math.log10(share) + sum(math.log10(p[cls]) for _, cls, p in steps(leaf, hist))
         assert r["score"] == pytest.approx(score, rel=1e-4)
 
 
+def test_lm_draws_have_the_models_shares():
+    z = np.log(np.array([[0.5, 0.25, 0.125, 0.125] + [1e-9] * (lm.WIDTH - 4)] * 40_000, np.float32))
+    guess = lm.drawn(z, lm.mix64(np.arange(len(z), dtype=np.uint64)), 1)
+    assert np.abs(np.bincount(guess, minlength=lm.WIDTH)[:4] / len(z) - [0.5, 0.25, 0.125, 0.125]).max() < 0.01
+
+
 def test_lm_gains_from_histories(spark):
     """Held-out text in which a word tells the next: the model beats the base, and more so with training."""
     rng = random.Random(6)

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fabula.functions import text as tx
+from fabula.sources.scratch import materialize
+
 from .graph import components
+from .relational import numbered
 
 
 def dbscan(neighbours: DataFrame, points: DataFrame, min_points: int) -> DataFrame:
@@ -51,27 +55,112 @@ def profile(df: DataFrame, cluster: str, kind: str, value: str) -> DataFrame:
     return stats.join(mode, cluster).select(cluster, "size", F.col("m.k").alias("main_kind"), "mean", "deviation")
 
 
-def slices(df: DataFrame, by: str, order: list, size: int) -> DataFrame:
-    """Contiguous slices of ``size`` rows within each group, numbered from 0."""
-    at = F.row_number().over(Window.partitionBy(by).orderBy(*order)) - 1
-    return df.withColumn("slice", F.floor(at / size))
+def slices(df: DataFrame, by: str, order: list[str], size: int) -> DataFrame:
+    """Contiguous slices of ``size`` rows within each group, numbered from 0; a group may be of any size."""
+    return numbered(df, [by], order, "__at").withColumn("slice", F.floor((F.col("__at") - 1) / size)).drop("__at")
+
+
+def tfidf(df: DataFrame, doc: str, text: str, pattern: str = "[^a-z0-9]+") -> DataFrame:
+    """(doc, w, x): unit tf-idf vectors with smoothed idf, as rows; written once, for whoever reads them again."""
+    words = df.select(doc, F.explode(F.filter(F.split(F.lower(text), pattern), lambda x: F.length(x) > 1)).alias("w"))
+    tf = materialize(words.groupBy(doc, "w").agg(F.count(F.lit(1)).alias("tf")), "tfidf-counts")
+    n = df.select(doc).distinct().count()
+    idf = tf.groupBy("w").agg((F.log(F.lit(1.0 + n) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
+    weights = materialize(tf.join(idf, "w").select(doc, "w", (F.col("tf") * F.col("idf")).alias("x")), "tfidf-weights")
+    norm = weights.groupBy(doc).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
+    return weights.join(norm, doc).select(doc, "w", (F.col("x") / F.col("norm")).alias("x"))
+
+
+def _sums(df: DataFrame, doc: str, cluster: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Unit vectors with their cluster, each cluster's vector sum, and the clusters' sizes."""
+    unit = materialize(tfidf(df, doc, text).join(df.select(doc, cluster), doc), "tfidf-unit")
+    sums = materialize(unit.groupBy(cluster, "w").agg(F.sum("x").alias("s")), "tfidf-sums")
+    return unit, sums, unit.groupBy(cluster).agg(F.count_distinct(doc).alias("size"))
 
 
 def tfidf_cohesion(df: DataFrame, doc: str, cluster: str, text: str) -> DataFrame:
-    """Mean similarity of a cluster's documents to its centre, from unit tf-idf vectors with smoothed idf.
+    """Mean similarity of a cluster's documents to its centre.
 
     For unit vectors that is the length of their sum over their number: sum |sum_d w|^2 = n^2 * cohesion^2.
     """
-    words = df.select(doc, cluster, F.explode(F.filter(F.split(F.lower(text), r"[^a-z0-9]+"), lambda x: F.length(x) > 1)).alias("w"))
-    tf = words.groupBy(doc, cluster, "w").agg(F.count(F.lit(1)).alias("tf"))
-    n = df.select(doc).distinct().count()
-    idf = tf.groupBy("w").agg((F.log(F.lit(1.0 + n) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
-    weights = tf.join(idf, "w").withColumn("x", F.col("tf") * F.col("idf"))
-    norm = weights.groupBy(doc).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
-    unit = weights.join(norm, doc).withColumn("x", F.col("x") / F.col("norm"))
-    sums = unit.groupBy(cluster, "w").agg(F.sum("x").alias("s")).groupBy(cluster).agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("length"))
-    sizes = unit.groupBy(cluster).agg(F.count_distinct(doc).alias("size"))
-    return sums.join(sizes, cluster).select(cluster, "size", (F.col("length") / F.col("size")).alias("cohesion"))
+    _, sums, sizes = _sums(df, doc, cluster, text)
+    length = sums.groupBy(cluster).agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("length"))
+    return length.join(sizes, cluster).select(cluster, "size", (F.col("length") / F.col("size")).alias("cohesion"))
+
+
+def evaluate(df: DataFrame, doc: str, cluster: str, text: str) -> DataFrame:
+    """For each cluster: size, cohesion, exact mean cosine silhouette of its documents, and mean similarity of its centre
+    to the others'.
+
+    Distances of unit vectors to a whole cluster follow from its vector sum, so a document meets clusters, never documents.
+    """
+    unit, sums, sizes = _sums(df, doc, cluster, text)
+    other = sums.select(F.col(cluster).alias("__c"), "w", "s")
+    dots = unit.join(other, "w").groupBy(doc, cluster, "__c").agg(F.sum(F.col("x") * F.col("s")).alias("dot"))
+    every = unit.select(doc, cluster).distinct().join(F.broadcast(sizes.select(F.col(cluster).alias("__c"), "size")))  # clusters are few
+    far = every.join(dots, [doc, cluster, "__c"], "left").fillna(0.0, ["dot"])
+    own = F.col("__c") == F.col(cluster)
+    mean = F.when(own, F.when(F.col("size") > 1, (F.col("size") - F.col("dot")) / (F.col("size") - 1))).otherwise(1 - F.col("dot") / F.col("size"))
+    sides = far.withColumn("mean", mean).groupBy(doc, cluster).agg(F.max(F.when(own, F.col("mean"))).alias("a"), F.min(F.when(~own, F.col("mean"))).alias("b"))
+    top = F.greatest("a", "b")
+    width = F.when(F.col("a").isNull() | F.col("b").isNull() | (top <= 0), 0.0).otherwise((F.col("b") - F.col("a")) / top)
+    widths = sides.groupBy(cluster).agg(F.avg(width).alias("silhouette"))
+    length = materialize(sums.groupBy(cluster).agg(F.sqrt(F.sum(F.col("s") * F.col("s"))).alias("length")), "tfidf-lengths")
+    total = sums.join(length, cluster).groupBy("w").agg(F.sum(F.col("s") / F.col("length")).alias("t"))
+    toward = sums.join(length, cluster).join(total, "w").groupBy(cluster).agg(F.sum(F.col("s") / F.col("length") * F.col("t")).alias("toward"))
+    k = length.agg(F.count(F.lit(1)).alias("k"))
+    out = sizes.join(length, cluster).join(widths, cluster).join(toward, cluster).join(F.broadcast(k))  # one row
+    inter = F.when(F.col("k") > 1, (F.col("toward") - 1) / (F.col("k") - 1)).otherwise(0.0)
+    return out.select(cluster, "size", (F.col("length") / F.col("size")).alias("cohesion"), "silhouette", inter.alias("inter"))
+
+
+def rule_clusters(df: DataFrame, key: str, text: str, kind: str, mode: str = "hybrid") -> DataFrame:
+    """(key, cluster): by the first firm named (in code-point order), the first theme, or both; rows without any by kind."""
+    firm, theme = F.get(tx.firms(F.col(text)), F.lit(0)), F.get(tx.themes(F.col(text)), F.lit(0))
+    other = F.concat(F.lit("其他_"), F.coalesce(kind, F.lit("其他")))
+    if mode == "company":
+        cluster = F.coalesce(firm, F.lit("其他公司"))
+    elif mode == "theme":
+        cluster = F.coalesce(theme, other)
+    elif mode == "hybrid":
+        cluster = F.coalesce(F.when(firm.isNotNull(), F.concat(firm, F.lit("_"), F.coalesce(theme, F.lit("综合事件")))), F.concat(F.lit("行业_"), theme), other)
+    else:
+        raise ValueError(f"unknown mode {mode}")
+    return df.select(key, cluster.alias("cluster"))
+
+
+def relabelled(clusters: DataFrame, cluster: str, old: int, new: int) -> DataFrame:
+    return clusters.withColumn(cluster, F.when(F.col(cluster) == old, new).otherwise(F.col(cluster)))
+
+
+def sample_each(df: DataFrame, cluster: str, key: str, k: int, seed: int = 0) -> DataFrame:
+    """k rows of each cluster, those of least hash: the same ones each time."""
+    at = F.row_number().over(Window.partitionBy(cluster).orderBy(F.xxhash64(key, F.lit(seed)), key))
+    return df.withColumn("rank", at).where(F.col("rank") <= k)
+
+
+def scaled(df: DataFrame, key: str, columns: list[str], weight: float = 1.0) -> DataFrame:
+    """(key, v): columns less their mean over their population deviation (0 where that is 0), times a weight."""
+    stats = df.agg(*[f(c).alias(f"__{n}_{c}") for c in columns for n, f in (("m", F.avg), ("d", F.stddev_pop))])
+    rows = df.join(F.broadcast(stats))  # one row
+    parts = [F.when(F.col(f"__d_{c}") > 0, (F.col(c) - F.col(f"__m_{c}")) / F.col(f"__d_{c}") * weight).otherwise(0.0) for c in columns]
+    return rows.select(key, F.array(*parts).alias("v"))
+
+
+def best_k(df: DataFrame, key: str, vector: str, least: int = 2, most: int = 20, seed: int = 42) -> DataFrame:
+    """(k, silhouette, best): K-means for each k up to ``most`` and half the rows, and the one of largest silhouette."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    rows = materialize(df.where(F.col(vector).isNotNull()).select(key, F.col(vector).cast("array<double>").alias("v")), "kmeans-rows").select(key, array_to_vector("v").alias("features"))
+    top = max(least, min(most, rows.count() // 2))
+    tried = []
+    for k in range(least, top + 1):
+        placed = KMeans(k=k, seed=seed, maxIter=10).fit(rows).transform(rows)
+        tried.append((k, float(ClusteringEvaluator(featuresCol="features").evaluate(placed)) if placed.select("prediction").distinct().count() > 1 else -1.0))
+    best = max(tried, key=lambda t: (t[1], -t[0]))[0]
+    return df.sparkSession.createDataFrame([(k, s, k == best) for k, s in tried], "k int, silhouette double, best boolean")
 
 
 def kmeans(df: DataFrame, key: str, vector: str, k: int, seed: int = 42) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fabula.sources.scratch import materialize
+from fabula.sources.scratch import drop, materialize
 
 
 def undirected(edges: DataFrame, source: str = "src", target: str = "dst") -> DataFrame:
@@ -62,6 +62,7 @@ def components(edges: DataFrame, source: str = "src", target: str = "dst", limit
         jumped = low.join(hop, F.col("component") == F.col("p"), "left").select("id", F.least("component", "pc").alias("component"))
         new = materialize(jumped, "graph-labels")
         changed = new.join(labels.withColumnRenamed("component", "old"), "id").where("component <> old").limit(1).count()
+        drop(labels)
         labels = new
         if not changed:
             return labels
@@ -82,7 +83,9 @@ def page_rank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, source:
         loose = ranks.where("out IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         base = (1 - damping) / n + damping * loose / n
         new = nodes.join(flow, nodes["id"] == flow["t"], "left")
+        old = ranks
         ranks = materialize(new.select("id", "out", (F.lit(base) + damping * F.coalesce("flow", F.lit(0.0))).alias("rank")), "rank-round")
+        drop(old)
     return ranks.select("id", "rank")
 
 
@@ -171,9 +174,11 @@ def communities(edges: DataFrame, rounds: int = 5, smallest: int = 3, source: st
     near = materialize(near.unionByName(near.select("a", F.col("a").alias("b")).distinct()), "graph-near")
     labels = near.select(F.col("a").alias("id"), F.col("a").alias("community")).distinct()
     for _ in range(rounds):
+        old = labels
         votes = near.join(labels.select(F.col("id").alias("b"), "community"), "b").groupBy("a", "community").agg(F.count(F.lit(1)).alias("n"))
         best = votes.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("m"))
         labels = materialize(best.select(F.col("a").alias("id"), F.col("m.community").alias("community")), "graph-labels")
+        drop(old)
     large = labels.groupBy("community").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= smallest).select("community")
     return labels.join(large, "community", "left_semi").select("id", "community")
 
@@ -332,7 +337,9 @@ def louvain(edges: DataFrame, levels: int = 3, sweeps: int = 3, parts: int = 2,
             new = best.select("a", "k", F.when(mine, F.col("m.c")).otherwise(F.col("own")).alias("c"), "own")
             new = materialize(new, "louvain-labels")
             moved += new.where("c <> own").count()
-            labels = new.drop("own")
+            if turn:
+                drop(written)
+            written, labels = new, new.drop("own")
         if not moved:
             break
         to = labels.select(F.col("a").alias("from"), "c")

@@ -2,31 +2,23 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def type_combinations(df: DataFrame, group: str, kind: str, size: int) -> DataFrame:
-    """Every combination of types: rows whose type is in it, and groups that hold all of its types.
+    """Every combination of types that some group holds: rows whose type is in it, and groups that hold all of its types.
 
-    The set of types is small (it is an enumeration), so a group's distinct types fit one array.
+    Combinations grow from a group's own distinct types, so their number follows what occurs, whatever types there are.
     """
-    per_type = df.groupBy(kind).agg(F.count(F.lit(1)).alias("n"))
-    types = sorted(r[kind] for r in per_type.select(kind).where(F.col(kind).isNotNull()).collect())
-    if len(types) > 64:
-        raise ValueError("more types than an enumeration of event types may have")
-    combos = [list(c) for c in combinations(types, size)]
-    if not combos:
-        return df.sparkSession.createDataFrame([], "combo string, member_rows long, together long")
-    held = df.groupBy(group).agg(F.array_sort(F.collect_set(kind)).alias("types"))
-    holds = F.array(*[F.when(F.size(F.array_intersect("types", F.array(*map(F.lit, c)))) == size, F.lit("+".join(c))) for c in combos])
-    together = held.select(F.explode(holds).alias("combo")).where("combo IS NOT NULL").groupBy("combo").agg(F.count(F.lit(1)).alias("together"))
-    parts = F.array(*[F.struct(F.lit("+".join(c)).alias("combo"), F.array(*map(F.lit, c)).alias("members")) for c in combos])
-    rows = per_type.select(kind, "n", F.explode(parts).alias("c")).where(F.array_contains("c.members", F.col(kind)))
-    members = rows.groupBy("c.combo").agg(F.sum("n").alias("member_rows"))
-    return members.join(together, "combo", "left").select("combo", "member_rows", F.coalesce("together", F.lit(0)).alias("together"))
+    per_type = df.where(F.col(kind).isNotNull()).groupBy(kind).agg(F.count(F.lit(1)).alias("n"))
+    held = df.where(F.col(kind).isNotNull()).groupBy(group).agg(F.array_sort(F.collect_set(kind)).alias("types"))
+    combos = F.transform("types", lambda t: F.array(t))
+    for _ in range(size - 1):
+        combos = F.flatten(F.transform(combos, lambda c: F.transform(F.filter("types", lambda t: t > F.element_at(c, -1)), lambda t: F.array_append(c, t))))
+    together = held.select(F.explode(combos).alias("members")).groupBy("members").agg(F.count(F.lit(1)).alias("together"))
+    rows = together.select("members", "together", F.explode("members").alias(kind)).join(per_type, kind)
+    return rows.groupBy(F.array_join("members", "+").alias("combo")).agg(F.sum("n").alias("member_rows"), F.max("together").alias("together"))
 
 
 def edge_patterns(edges: DataFrame, nodes: DataFrame, source: str, target: str, relation: str, confidence: str, node_id: str, node_type: str) -> DataFrame:

@@ -8,6 +8,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fabula.sources.scratch import materialize
+
 
 def conjunction(conditions: Mapping[str, tuple[str, Any]]) -> Column:
     """A predicate from ``column -> (operator, value)``; an unknown operator raises, none is dropped."""
@@ -76,14 +78,30 @@ def fuse_scores(left: DataFrame, right: DataFrame, key: str, a: str, b: str, wei
 def renumbered_union(parts: Sequence[DataFrame], columns: Sequence[str]) -> DataFrame:
     """Distinct rows of all parts, numbered from 1 in order of their first part and then their values.
 
-    Numbers come from counts per (part, hash bucket), so no task sorts everything.
+    Numbers come from ranges and their counts, so no task sorts everything.
     """
     tagged = [p.select(*columns).withColumn("__part", F.lit(i)) for i, p in enumerate(parts)]
     rows = tagged[0]
     for p in tagged[1:]:
         rows = rows.unionByName(p)
     rows = rows.groupBy(*columns).agg(F.min("__part").alias("__part"))
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy("__part").orderBy(*columns)))
+    return numbered(rows, ["__part"], list(columns), "position")
+
+
+def numbered(df: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+    """Adds each row's place (from 1) in its group: rows are sorted in ranges, a range's rows are numbered where they lie,
+    and a group's earlier ranges are added from their counts. A group of any size is spread over as many tasks."""
+    spark = df.sparkSession
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keys = [*by, *order]
+    sorted_ = df.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys)
+    sorted_ = materialize(sorted_.withColumns({"__range": F.spark_partition_id(), "__at": F.monotonically_increasing_id()}), "numbered")
+    parts = sorted_.groupBy(*by, "__range").agg(F.min("__at").alias("__low"), F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("__before", F.coalesce(before, F.lit(0)))
+    parts = parts.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], F.col("__range").alias("__r"), "__low", "__before")
+    on = " AND ".join(["__range = __r", *(f"`{c}` <=> __k{i}" for i, c in enumerate(by))])
+    return sorted_.join(parts, F.expr(on)).select(*df.columns, (F.col("__at") - F.col("__low") + F.col("__before") + 1).alias(name))
 
 
 def set_jaccard(df: DataFrame, key: str, items: str, threshold: float) -> DataFrame:
@@ -96,10 +114,13 @@ def set_jaccard(df: DataFrame, key: str, items: str, threshold: float) -> DataFr
     counts = sets.select(F.explode("s").alias("i")).groupBy("i").agg(F.count(F.lit(1)).alias("c"))
     ranked = sets.select(key, F.size("s").alias("n"), F.explode("s").alias("i")).join(counts, "i")
     at = F.row_number().over(Window.partitionBy(key).orderBy("c", "i"))
-    prefix = ranked.withColumn("at", at).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
-    a, b = prefix.select(F.col(key).alias("a"), "i", F.col("n").alias("na")), prefix.select(F.col(key).alias("b"), "i", F.col("n").alias("nb"))
-    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb"))
-    pairs = a.join(b, "i").where(near).select("a", "b").distinct()
+    prefix = ranked.withColumn("at", at).where(F.col("at") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+    prefix = materialize(prefix, "jaccard-prefix")
+    a, b = (prefix.select(F.col(key).alias(x), "i", F.col("n").alias(f"n{x}"), F.col("at").alias(f"x{x}")) for x in ("a", "b"))
+    # a common item at places x and y leaves at most min(n - place) more in common
+    reach = 1 + F.least(F.col("na") - F.col("xa"), F.col("nb") - F.col("xb"))
+    near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= threshold * F.greatest("na", "nb")) & (reach * (1 + threshold) >= threshold * (F.col("na") + F.col("nb")) - 1e-9)
+    pairs = a.join(b, "i").where(near).groupBy("a", "b").agg(F.min("xa").alias("x")).select("a", "b")
     full = pairs.join(sets.select(F.col(key).alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col(key).alias("b"), F.col("s").alias("sb")), "b")
     inter = F.size(F.array_intersect("sa", "sb"))
     score = inter / (F.size("sa") + F.size("sb") - inter)

@@ -470,10 +470,9 @@ def stream_keyed_merge(spark, d):
     path = new_path(spark, "stream-in")
     like.select("event_id", "event_type", "user_id").repartitionByRange(3, "event_id").write.parquet(path)
     stream = mb.file_stream(spark, path, spark.read.parquet(path))
-    state, n = new_path(spark, "stream-state"), []
-    each = mb.merge_into(state, "user_id", "event_id")
-    mb.run_available(stream, lambda batch, i: (each(batch, i), n.append(i))[0], new_path(spark, "stream-checkpoint"))
-    return mb.latest(spark, state, len(n)).select("user_id", "event_id", "event_type")
+    state = new_path(spark, "stream-state")
+    mb.run_available(stream, mb.merge_into(state, "user_id", "event_id"), new_path(spark, "stream-checkpoint"))
+    return mb.latest(spark, state).select("user_id", "event_id", "event_type")
 
 
 @query("""SELECT time_bucket(INTERVAL 6 HOURS, ts, TIMESTAMP '1970-01-01') AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS v FROM events GROUP BY ALL""")

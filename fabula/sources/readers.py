@@ -19,6 +19,28 @@ def json_lines(spark: SparkSession, path: str, schema: StructType | str, tag: st
     return rows.where(kind == tag)
 
 
+def first_lines(spark: SparkSession, path: str, schema: StructType | str, n: int) -> DataFrame:
+    """The first n well-formed JSON lines, in order of files and lines."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("__f"), F.monotonically_increasing_id().alias("__i"), F.from_json("value", schema).alias("v"), F.try_parse_json("value").isNotNull().alias("__ok"))
+    return lines.where("__ok").orderBy("__f", "__i").limit(n).select("v.*")
+
+
+def default_graph(spark: SparkSession, nodes: DataFrame, edges: DataFrame, key: str, source: str, target: str, limit: int = 1000) -> DataFrame:
+    """Edges with both their nodes as structs ``n`` and ``m``, the first ``limit`` by ends."""
+    node = lambda name: nodes.select(F.col(key).alias(f"__{name}"), F.struct(*nodes.columns).alias(name))
+    rows = edges.join(node("n"), F.col(source) == F.col("__n")).join(node("m"), F.col(target) == F.col("__m"))
+    return rows.orderBy(source, target).limit(limit).drop("__n", "__m")
+
+
+def latest_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, modified, report..., latest): every JSON report under a folder, newest first; ``latest`` marks the newest."""
+    from pyspark.sql import Window
+
+    rows = spark.read.schema(schema).json(path).select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
+    newest = F.max(F.struct("modified", "file")).over(Window.partitionBy())  # reports are few
+    return rows.withColumn("latest", F.struct("modified", "file") == newest).orderBy(F.desc("modified"), F.desc("file"))
+
+
 def text_array(spark: SparkSession, path: str) -> DataFrame:
     """(id, source_text, current_status) of a JSON array of strings: trimmed, blank ones skipped, first of equal ones kept; id is the MD5."""
     whole = spark.read.text(path, wholetext=True)

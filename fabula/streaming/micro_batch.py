@@ -11,9 +11,10 @@ from fabula.operators.state import upsert
 from fabula.sources.scratch import new_path
 
 
-def file_stream(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
-    """New parquet files under ``path`` as a stream with the schema of ``like``."""
-    return spark.readStream.schema(like.schema).parquet(path)
+def file_stream(spark: SparkSession, path: str, like: DataFrame, files: int | None = None) -> DataFrame:
+    """New parquet files under ``path`` as a stream with the schema of ``like``, at most so many in a batch."""
+    reader = spark.readStream.schema(like.schema)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path)
 
 
 def run_available(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
@@ -39,8 +40,14 @@ def merge_into(path: str, key: str, order: str) -> Callable[[DataFrame, int], No
     return each
 
 
-def latest(spark: SparkSession, path: str, batches: int) -> DataFrame:
-    return spark.read.parquet(f"{path}/v{batches - 1}")
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The last version that was written whole, found in the folder itself, so a restart loses no count."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(folder)]
+    whole = [int(n[1:]) for n in names if n[0] == "v" and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))]
+    return spark.read.parquet(f"{path}/v{max(whole)}")
 
 
 def windowed_counts(stream: DataFrame, ts: str, by: str, value: str, late: str = "1 day", window: str = "6 hours", slide: str | None = None) -> DataFrame:
@@ -78,3 +85,35 @@ def recommend(state: DataFrame, status: str = "current_status") -> str:
     """The first step in order of priority for which a row waits."""
     waiting = {r[status] for r in state.groupBy(status).count().collect()}  # a few statuses
     return next((step for name, step in STEPS if name in waiting), "none")
+
+
+# What the steps of a row's life lead to.
+MOVES = {
+    "pending_triage": ["pending_review", "pending_extraction", "rejected"], "pending_review": ["pending_extraction", "pending_learning"],
+    "pending_learning": ["pending_triage"], "pending_extraction": ["pending_clustering", "failed"], "pending_clustering": ["pending_relationship"],
+    "pending_relationship": ["completed", "failed"], "failed": ["pending_triage"],
+}
+
+
+def moves(state: DataFrame, wanted: DataFrame, key: str, status: str) -> DataFrame:
+    """wanted(key, to) -> (key, status, moved): the new status where the old one may lead to it, else the old one."""
+    allowed = F.create_map(*[x for k, v in MOVES.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    rows = state.select(key, status).join(wanted.select(key, "to"), key, "left")
+    may = F.coalesce(F.array_contains(F.element_at(allowed, F.col(status)), F.col("to")), F.lit(False))
+    return rows.select(key, F.when(may, F.col("to")).otherwise(F.col(status)).alias(status), may.alias("moved"))
+
+
+def run_stages(state: DataFrame, stages: list[tuple[str, Callable[[DataFrame], DataFrame]]]) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """Hands a table through named stages, each written before the next; stops at the first that fails and returns what
+    the one before it left, with a log of (stage, "done" or the error)."""
+    from fabula.sources.scratch import materialize
+
+    log = []
+    for name, stage in stages:
+        try:
+            state = materialize(stage(state), f"stage-{name}")
+        except Exception as error:  # the log tells; the caller decides whether to go on from here
+            log.append((name, type(error).__name__))
+            break
+        log.append((name, "done"))
+    return state, log

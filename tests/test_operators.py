@@ -1,6 +1,8 @@
 """Small cases with results worked out by hand."""
 
 import datetime as dt
+import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,3 +153,59 @@ def test_contained_terms_of_any_length(spark):
     known = [t for t in terms if t is not None]
     want = {(a, b, 4) for a in known for b in known if a != b and a in b}
     assert {tuple(r) for r in rel.contained_terms(df, "term", "term").collect()} == want
+
+
+def _shortest(adjacent, s):
+    """Distances and numbers of shortest paths from one node, breadth first."""
+    far, ways, front = {s: 0}, {s: 1}, [s]
+    while front:
+        step = []
+        for v in front:
+            for w in adjacent[v]:
+                if w not in far:
+                    far[w], ways[w] = far[v] + 1, 0
+                    step.append(w)
+                if far[w] == far[v] + 1:
+                    ways[w] += ways[v]
+        front = step
+    return far, ways
+
+
+def test_centralities_equal_brute_force(spark):
+    rng = random.Random(5)
+    edges = sorted({tuple(sorted(rng.sample(range(18), 2))) for _ in range(24)} | {(30, 31), (31, 32)})
+    adjacent = defaultdict(set)
+    for a, b in edges:
+        adjacent[a].add(b)
+        adjacent[b].add(a)
+    table = spark.createDataFrame(edges, "src long, dst long")
+    n, found = len(adjacent), {s: _shortest(adjacent, s) for s in adjacent}
+    got = {(r["s"], r["v"]): (r["d"], r["n"]) for r in gr.distances(table).collect()}
+    assert got == {(s, v): (d, found[s][1][v]) for s in found for v, d in found[s][0].items()}
+    close = {r["id"]: r["closeness"] for r in gr.closeness(table).collect()}
+    passed = {r["id"]: r["betweenness"] for r in gr.betweenness(table).collect()}
+    for v in adjacent:
+        far = found[v][0]
+        assert close[v] == pytest.approx((len(far) - 1) / sum(far.values()) * (len(far) - 1) / (n - 1))
+        share = sum(
+            found[s][1][v] * found[v][1][t] / found[s][1][t] for s in found for t in found[s][0]
+            if v not in (s, t) and s != t and v in found[s][0] and found[s][0][v] + found[v][0][t] == found[s][0][t]
+        )
+        assert passed[v] == pytest.approx(share / ((n - 1) * (n - 2)))
+    assert not gr.path_lengths(table).first()["connected"]
+
+
+def test_communities_by_modularity(spark):
+    cliques = [(c * 10 + i, c * 10 + j) for c in range(4) for i in range(6) for j in range(i)] + [(0, 10), (10, 20), (20, 30)]
+    table = spark.createDataFrame(cliques, "src long, dst long")
+    found = {r["id"]: r["community"] for r in gr.louvain(table).collect()}
+    assert found == {c * 10 + i: c * 10 for c in range(4) for i in range(6)}
+    whole = gr.modularity(table, gr.louvain(table)).first()[0]
+    assert whole > 0.65 > gr.modularity(table, gr.undirected(table).select(F.col("a").alias("id"), F.lit(1).alias("community")).distinct()).first()[0]
+
+
+def test_walks_follow_edges(spark):
+    table = spark.createDataFrame([(i, (i + 1) % 7) for i in range(7)], "src long, dst long")
+    rows = gr.random_walks(table, 5, 3).collect()
+    assert len(rows) == 21 and all(abs(a - b) in (1, 6) for r in rows for a, b in zip(r["path"], r["path"][1:]))
+    assert {(r["start"], r["walk"]): r["path"] for r in rows} == {(r["start"], r["walk"]): r["path"] for r in gr.random_walks(table, 5, 3).collect()}

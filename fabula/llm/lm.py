@@ -307,7 +307,7 @@ def lm_scores(
     unknown = once / LEAVES
     masses = totals + 0.5 * kinds + unknown
     # a task returns an array as large as the model, so it should read much more than that
-    tasks = max(1, min(df.sparkSession.sparkContext.defaultParallelism, n // 4_000_000 + 1))
+    tasks = n // 12_000_000 + 1
     model, _ = train(training, Model.empty(feature_rows(v), masses), rounds, tasks)
     top = counts.orderBy(F.desc("c"), "h").limit(frequent).select("h", "c").toArrow()  # at most ``frequent`` rows
     h, c = top["h"].to_numpy().view(np.uint64), top["c"].to_numpy()

@@ -216,10 +216,15 @@ def cluster_centroids(spark, d):
 
 
 @query("""WITH q AS (SELECT vec_id, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi, embedding::DOUBLE[] AS v FROM embeddings)
-    SELECT vec_id, list_sum(list_transform(v, lambda x: floor((x - lo) / ((hi - lo) / 255) + .5)))::BIGINT AS code_sum FROM q""")
+    SELECT vec_id, list_sum(list_transform(v, lambda x: floor((x - lo) / ((hi - lo) / 255) + .5)))::BIGINT AS code_sum, array_to_string(list_transform(v[1:4], lambda x: floor((x - lo) / ((hi - lo) / 255) + .5)::INT), ',') AS codes,
+    round(lo + floor((v[5] - lo) / ((hi - lo) / 255) + .5) * (hi - lo) / 255, 6) AS fifth, true AS near FROM q""")
 def quantise_embeddings(spark, d):
-    q = scores.quantise(F.col("embedding").cast("array<double>"))
-    return table(spark, d, "embeddings").select("vec_id", F.aggregate(q["codes"], F.lit(0).cast("long"), lambda s, x: s + x).alias("code_sum"))
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v")).withColumn("q", scores.quantise(F.col("v"))).withColumn("back", scores.dequantise(F.col("q")))
+    off = F.array_max(F.zip_with("v", "back", lambda x, y: F.abs(x - y)))
+    return rows.select(
+        "vec_id", F.aggregate("q.codes", F.lit(0).cast("long"), lambda s, x: s + x).alias("code_sum"), F.array_join(F.slice("q.codes", 1, 4), ",").alias("codes"),
+        F.round(F.col("back")[4], 6).alias("fifth"), (off <= (F.col("q.hi") - F.col("q.lo")) / 509).alias("near"),
+    )
 
 
 @query(f"""WITH RECURSIVE n AS (SELECT a.vec_id AS a, b.vec_id AS b FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE {_COS} >= .3),
@@ -312,11 +317,14 @@ def normalise_names(spark, d):
     return part.select("p_partkey", tx.company_base(F.col("p_name")).alias("base"), context.alias("context_id"))
 
 
-@query("""WITH p AS (SELECT n_nationkey AS id, lower(n_name) AS n, n_regionkey AS k FROM nation), e AS (SELECT a.id AS a, b.id AS b, round(1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)), 9) AS s, a.n AS x, b.n AS y FROM p a JOIN p b ON a.k = b.k AND a.id < b.id)
-    SELECT a, b, CASE WHEN x = y THEN 1.0 ELSE s END AS score, CASE WHEN x = y OR s >= .95 THEN 'merge' ELSE 'review' END AS decision FROM e WHERE list_has_any(string_split(x, ' '), string_split(y, ' ')) AND (x = y OR s >= .3)""")
+@query("""WITH p AS (SELECT c_custkey AS id, 'alpha' || (c_custkey // 2 % 50) || ' beta' || (c_custkey // 6) AS n, c_custkey // 2 % 2 AS k FROM customer), e AS (SELECT a.id AS a, b.id AS b, round(1 - levenshtein(a.n, b.n) / greatest(length(a.n), length(b.n)), 9) AS s, a.n AS x, b.n AS y FROM p a JOIN p b ON a.k = b.k AND a.id < b.id)
+    SELECT a, b, CASE WHEN x = y THEN 1.0 ELSE s END AS score, CASE WHEN x = y OR s >= .95 THEN 'merge' ELSE 'review' END AS decision FROM e WHERE list_has_any(string_split(x, ' '), string_split(y, ' ')) AND (x = y OR s >= .7)""")
 def entity_duplicates(spark, d):
-    pairs = er.duplicate_pairs(table(spark, d, "nation"), "n_nationkey", "n_name", "n_regionkey", threshold=0.3)
-    return er.decide(pairs.withColumn("score", F.round("score", 9)))
+    key = F.col("c_custkey")
+    part = lambda n, m=None: (F.floor(key / n) if m is None else F.floor(key / n) % m).cast("string")
+    suffix = F.when(key % 2 == 0, " Inc.").otherwise(" Co")
+    rows = table(spark, d, "customer").select("c_custkey", F.concat(F.lit("Alpha"), part(2, 50), F.lit(" Beta"), part(6), suffix).alias("name"), (F.floor(key / 2) % 2).alias("kind"))
+    return er.decide(er.duplicate_pairs(rows, "c_custkey", "name", "kind").withColumn("score", F.round("score", 9)))
 
 
 @query("""WITH p AS (SELECT o_custkey AS id, o_orderstatus || '-' || o_orderpriority AS name, o_orderkey AS k FROM orders), g AS (SELECT id, name, count(*) AS events FROM p GROUP BY ALL), e AS (SELECT name, min(id) AS entity FROM g GROUP BY 1)

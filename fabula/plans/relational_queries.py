@@ -38,15 +38,15 @@ def first_wins_dedup(spark, d):
     return rel.first_wins(events(spark, d), [F.col("user_id")], ["ts", "event_id"]).select("user_id", "event_id", "ts")
 
 
-@query("""SELECT min(user_id) AS user_id, signature FROM (SELECT user_id, string_agg(DISTINCT event_type, '_' ORDER BY event_type) AS signature FROM events GROUP BY 1) GROUP BY 2""")
+@query("""SELECT signature, unnest(min({'user_id': user_id, 'day': day})) FROM (SELECT user_id, ts::DATE AS day, string_agg(DISTINCT event_type, '_' ORDER BY event_type) AS signature FROM events GROUP BY 1, 2) GROUP BY 1""")
 def signature_dedup(spark, d):
-    types = events(spark, d).groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("event_type")), "_").alias("signature"))
-    return rel.first_wins(types, [F.col("signature")], ["user_id"])
+    types = events(spark, d).groupBy("user_id", F.to_date("ts").alias("day")).agg(F.array_join(F.array_sort(F.collect_set("event_type")), "_").alias("signature"))
+    return rel.first_wins(types, [F.col("signature")], ["user_id", "day"])
 
 
-@query("""SELECT s.id, s.source FROM (SELECT * FROM """ + STATES + """ WHERE current_status = 'completed') s WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = s.id AND l.quality = 1 AND l.toxic = 0)""")
+@query("""SELECT s.id, s.source FROM (SELECT * FROM """ + STATES + """ WHERE current_status = 'completed') s WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = s.id AND l.quality = 1 AND l.doc_id % 3 > 0)""")
 def anti_join_orphans(spark, d):
-    done = table(spark, d, "labels").where("quality = 1 AND toxic = 0").select(F.col("doc_id").alias("id"))
+    done = table(spark, d, "labels").where("quality = 1 AND doc_id % 3 > 0").select(F.col("doc_id").alias("id"))
     return rel.orphans(states(spark, d).where("current_status = 'completed'"), done, "id").select("id", "source")
 
 

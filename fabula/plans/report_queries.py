@@ -16,7 +16,7 @@ _PARTS = {
     "kind": "CASE c_custkey % 7 WHEN 0 THEN 'person' WHEN 1 THEN 'company' WHEN 2 THEN 'organization' WHEN 3 THEN 'event' WHEN 4 THEN 'product' WHEN 5 THEN 'firm' ELSE 'alien' END",
     "founded": "CASE c_custkey % 4 WHEN 0 THEN '2020-01-01' WHEN 1 THEN '1.1.2020' WHEN 2 THEN '2020-02-30' ELSE '2021-03-04T10:00:00Z' END",
     "shown": "CASE WHEN c_custkey % 5 = 0 THEN 'shown' END",
-    "alias": "CASE WHEN c_custkey % 11 < 9 THEN 'Also ' || (c_custkey % 80) ELSE 'Only ' || c_custkey END",
+    "alias": "CASE WHEN c_custkey % 11 < 9 THEN 'Also ' || (c_custkey % 80) ELSE 'Pair ' || cast(floor(c_custkey / 2) AS int) END",
     "plain": "'acme ' || (c_custkey % 40)",
 }
 ENTITIES = "(SELECT c_custkey AS id, c_mktsegment, c_acctbal, " + ", ".join(f"{v} AS {k}" for k, v in _PARTS.items()) + ", CASE WHEN c_custkey % 7 IN (1, 2, 5) THEN 'company' ELSE kind END AS family FROM customer)"

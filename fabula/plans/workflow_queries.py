@@ -158,13 +158,13 @@ def best_number_of_clusters(spark, d):
     return cl.best_k(table(spark, d, "embeddings"), "vec_id", "embedding", 2, 6)
 
 
-@query("""WITH c AS (SELECT user_id AS id, CASE WHEN user_id % 3 = 0 THEN -1 ELSE user_id % 3 END AS cluster FROM (SELECT DISTINCT user_id FROM events)), o AS (SELECT a.id AS a, b.id AS b, ((a.id * b.id) % 10) / 10.0 AS j FROM c a JOIN c b ON a.id <> b.id),
+@query("""WITH c AS (SELECT user_id AS id, CASE WHEN user_id % 3 = 0 THEN -1 ELSE user_id % 3 END AS cluster FROM (SELECT DISTINCT user_id FROM events)), o AS (SELECT a.id AS a, b.id AS b, ((a.id * b.id) % 8) / 8::DOUBLE AS j FROM c a JOIN c b ON a.id <> b.id),
     m AS (SELECT a, cluster, sum(j) / (SELECT count(*) FROM c x WHERE x.cluster = c.cluster) AS m FROM o JOIN c ON c.id = b WHERE cluster <> -1 AND a IN (SELECT id FROM c WHERE cluster = -1) GROUP BY 1, 2)
     SELECT id, CASE WHEN cluster <> -1 THEN cluster ELSE coalesce((SELECT cluster FROM m WHERE m.a = c.id AND m > .1 ORDER BY m DESC, cluster LIMIT 1), id) END AS cluster FROM c""")
 def noise_reattached(spark, d):
     ids = events(spark, d).select(F.col("user_id").alias("id")).distinct()
     clusters = ids.withColumn("cluster", F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id") % 3))
-    overlap = ids.select(F.col("id").alias("a")).join(ids.select(F.col("id").alias("b")), F.col("a") != F.col("b")).withColumn("jaccard", ((F.col("a") * F.col("b")) % 10).cast("double") / 10)
+    overlap = ids.select(F.col("id").alias("a")).join(ids.select(F.col("id").alias("b")), F.col("a") != F.col("b")).withColumn("jaccard", ((F.col("a") * F.col("b")) % 8).cast("double") / 8)
     return cl.reattach_noise(clusters, overlap, 0.1)
 
 

@@ -48,7 +48,21 @@ def materialize(df: DataFrame, label: str, tidy: bool = False) -> DataFrame:
     df.write.parquet(path)
     if tidy:
         collect_garbage(df.sparkSession)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back._fabula_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more: what was made from them is written itself."""
+    for df in tables:
+        path = getattr(df, "_fabula_path", None)
+        at = next((i for i, (_, p) in enumerate(_WRITTEN) if p == path), None)
+        if at is not None:
+            spark = df.sparkSession
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _WRITTEN.pop(at)
 
 
 def collect_garbage(spark: SparkSession) -> None:

@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from fabula.session import ship
 
-from ._shared import materialize, parallelism
+from ._shared import discard, materialize, parallelism
 from ._text import blocks, mix64, shingles, words
 from .components import components
 
@@ -197,13 +197,15 @@ def candidate_edges(base: DataFrame, threshold: Fraction, rounds: int) -> DataFr
     met = spoken.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     met = materialize(met.select("key"), "join-keys", True)
     rows = materialize(spoken.join(met, "key").distinct(), "join-met", True)
+    discard(met)
     signatures = materialize(known.select("node", "c", "n", "signature").dropDuplicates(["node", "c"]), "join-signatures")
     p, q = threshold.numerator, threshold.denominator
     edges = signatures.select(F.col("node").alias("u"), F.col("node").alias("v")).limit(0)
     signatures = signatures.withColumn("limit", F.ceil(F.pow(F.lit(2.0), F.col("c") / 2)))  # class_limit
     for _ in range(rounds):
         low = rows.groupBy("key", "c").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key", "c", "low")
-        around = rows.join(materialize(low, "join-low"), ["key", "c"]).where("node > low")
+        low = materialize(low, "join-low")
+        around = rows.join(low, ["key", "c"]).where("node > low")
         a = signatures.select("node", "c", "limit", "n", F.col("signature").alias("s_a"))
         b = signatures.select(F.col("node").alias("low"), "c", F.col("signature").alias("s_b"), F.col("n").alias("n_low"))
         pairs = around.select("c", "node", "low").distinct().join(a, ["node", "c"]).join(b, ["low", "c"])
@@ -218,8 +220,10 @@ def candidate_edges(base: DataFrame, threshold: Fraction, rounds: int) -> DataFr
         inner = F.aggregate(F.array_sort("bands"), F.lit(0), lambda s, x: F.when(x - s - 1 >= F.col("most"), s).otherwise(x))
         apart = materialize(apart.join(bounds.select("key", "c", inner.alias("inner")), ["key", "c"]), "join-apart")
         near = apart.where("band <= inner").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()
-        edges = edges.unionByName(near)
-        rows = materialize(apart.where("band > inner").select("key", "c", "node"), "join-left", True)
+        edges = edges.unionByName(materialize(near, "join-near"))
+        left = materialize(apart.where("band > inner").select("key", "c", "node"), "join-left", True)
+        discard(low, far, apart, rows)
+        rows = left
         if rows.isEmpty():
             return edges
     sizes = rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("low")).where("size > 1")

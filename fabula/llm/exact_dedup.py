@@ -43,13 +43,15 @@ def digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def tree_merge(docs: DataFrame, keep: str, runs: int, bits: int) -> DataFrame:
-    """docs(run, id, KEY) -> docs + keep_id, group_size by merging runs in binomial rounds."""
+    """docs(run, id, KEY) -> docs + keep_id, group_size by merging runs in binomial rounds; every level is
+    written once, for the next one up and for the way down."""
     best = F.max if keep == "max" else F.min
-    levels = [docs.groupBy("run", *KEY).agg(best("id").alias("best"), F.count(F.lit(1)).alias("n"))]
+    level = lambda df: materialize(df, "exact-level")
+    levels = [level(docs.groupBy("run", *KEY).agg(best("id").alias("best"), F.count(F.lit(1)).alias("n")))]
     left = runs
     while left > 1:
         below = levels[-1].withColumn("run", F.shiftright("run", bits))
-        levels.append(below.groupBy("run", *KEY).agg(best("best").alias("best"), F.sum("n").alias("n")))
+        levels.append(level(below.groupBy("run", *KEY).agg(best("best").alias("best"), F.sum("n").alias("n"))))
         left = -(-left >> bits) if left >= 1 << bits else 1
     verdict = levels.pop().select("run", *KEY, F.col("best").alias("keep_id"), F.col("n").alias("group_size"))
     while levels:

@@ -25,13 +25,21 @@ from pyspark.sql import functions as F
 from ._shared import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-SALTS = 64
+SALTS = 64  # parts of a (source, size class), up to 2**33 rows; more rows have more parts
+
+
+def salts_for(rows: int) -> int:
+    return min(1 << 16, SALTS << (rows >> 33).bit_length())
 
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def source_key(source: Column) -> Column:
     """Sorts as the sources do by code point, with null after all others."""
     return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("t"))
@@ -88,10 +96,10 @@ def systematic_copies(
     """One row per input row: ``id, size, source_size, target, copies, taken`` (taken = copies * size)."""
     ident = F.col(id_col)
     tag = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.lit("null"))).cast("binary"))
-    docs = df.select(ident.alias("id"), source_key(F.col(source_col)).alias("src"), word_count(F.col(text_col)).alias("size"), tag.alias("tag"))
-    docs = materialize(docs, "mix-sizes").withColumns(
-        {"cls": size_class(F.col("size")), "salt": F.pmod(F.conv(F.substring("tag", 1, 4), 16, 10).cast("int"), F.lit(SALTS))}
-    )
+    docs = df.select(ident.alias("id"), source_key(F.col(source_col)).alias("src"), word_count(F.col(text_col)).alias("size"), tag.alias("tag"), text_hash(F.col(text_col)).alias("text_hash"))
+    docs = materialize(docs, "mix-sizes")
+    salt = F.pmod(F.conv(F.substring("tag", 1, 4), 16, 10).cast("int"), F.lit(salts_for(docs.count())))
+    docs = docs.withColumns({"cls": size_class(F.col("size")), "salt": salt})
     targets = source_targets(docs.select("src", "size"), weights, share, ceiling)
     cell = ["src", "cls", "salt"]
     ahead = Window.partitionBy("src").orderBy("cls", "salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -100,21 +108,28 @@ def systematic_copies(
     offset = unit_hash(F.concat(F.lit(f"{seed}/"), F.col("src")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     cells = cells.select(*cell, "ahead", "source_size", "target", rate.alias("rate"), offset.alias("offset"))
-    within = Window.partitionBy(*cell).orderBy("size", "tag", "id")
+    within = Window.partitionBy(*cell).orderBy("size", "tag", "id", "text_hash")
     rows = docs.withColumn("nth", F.row_number().over(within)).join(cells, cell)
     rank = F.col("ahead") + F.col("nth")
     crossed = F.floor(rank * F.col("rate") + F.col("offset")) - F.floor((rank - 1) * F.col("rate") + F.col("offset"))
     rows = rows.withColumn("copies", crossed.cast("long"))
-    return rows.select("id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return rows.select("id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "src", "text_hash")
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """The mixture itself: the rows of ``df``, each as often as it was drawn.
 
-    Rows that share an id (null included) are emitted equally often: as the one drawn most.
+    Rows that share id, text and source (null ids included) stand for each other: what they were drawn
+    in all is dealt evenly among them.
     """
-    drawn = systematic_copies(df, id_col=id_col, **how).where("copies > 0")
-    drawn = drawn.groupBy(F.col("id").alias("__fb_id")).agg(F.max("copies").alias("__fb_copies"))
-    joined = df.withColumn("__fb_key", F.col(id_col)).join(drawn, F.expr("__fb_key <=> __fb_id"))
-    copies = joined.withColumn("__fb_each", F.explode(F.array_repeat(F.lit(0), F.col("__fb_copies").cast("int"))))
-    return copies.select(*[F.col(f"`{c}`") for c in df.columns])
+    key = ["__fb_id", "__fb_text", "__fb_src"]
+    drawn = systematic_copies(df, id_col=id_col, text_col=text_col, source_col=source_col, **how)
+    drawn = drawn.groupBy("id", "text_hash", "src").agg(F.sum("copies").alias("__fb_total"), F.count(F.lit(1)).alias("__fb_n")).where("__fb_total > 0")
+    rows = df.withColumns({"__fb_id": F.col(id_col), "__fb_text": text_hash(F.col(text_col)), "__fb_src": source_key(F.col(source_col))})
+    drawn = drawn.select(F.col("id").alias("__fb_i"), F.col("text_hash").alias("__fb_t"), F.col("src").alias("__fb_s"), "__fb_total", "__fb_n")
+    joined = rows.join(drawn, F.expr("__fb_id <=> __fb_i AND __fb_text = __fb_t AND __fb_src = __fb_s"))
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1)))
+    share = lambda at: F.floor(at * F.col("__fb_total") / F.col("__fb_n"))
+    copies = joined.withColumn("__fb_nth", nth).withColumn("__fb_copies", (share(F.col("__fb_nth")) - share(F.col("__fb_nth") - 1)).cast("int"))
+    each = copies.withColumn("__fb_each", F.explode(F.array_repeat(F.lit(0), F.col("__fb_copies"))))
+    return each.select(*[F.col(f"`{c}`") for c in df.columns])

@@ -74,10 +74,10 @@ def s_types(text: np.ndarray) -> np.ndarray:
     return np.repeat(rising, np.diff(np.concatenate(([-1], last)))) if n else np.zeros(0, bool)
 
 
-def induce(text: np.ndarray, stype: np.ndarray, lms: list[np.ndarray | None], symbols: int) -> tuple[list, list]:
+def induce(text: np.ndarray, stype: np.ndarray, lms: list[np.ndarray | None], symbols: int, memory: int) -> tuple[list, list]:
     """Sorted L-type and S-type positions of every symbol from left-most-S positions in each."""
     n = len(text)
-    queues = BucketQueues(symbols)
+    queues = BucketQueues(symbols, memory)
     larger: list[np.ndarray | None] = [None] * symbols
     empty = np.zeros(0, np.int32)
     queues.push(int(text[n - 1]), np.array([n - 1], np.int32))  # induced by the end of the text, always L-type
@@ -96,7 +96,7 @@ def induce(text: np.ndarray, stype: np.ndarray, lms: list[np.ndarray | None], sy
             before = lms[c][lms[c] > 0] - 1
             queues.scatter(text[before], before)
     smaller: list[np.ndarray | None] = [None] * symbols
-    queues = BucketQueues(symbols)
+    queues = BucketQueues(symbols, memory)
     for c in range(symbols - 1, -1, -1):
         batches = []
         batch = queues.pop(c)
@@ -163,21 +163,25 @@ def _rank_suffixes(names: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def suffix_array(text: np.ndarray, depth: int, symbols: int = 257) -> np.ndarray:
-    """Start positions in the order of the suffixes' first ``depth`` symbols at least."""
+def suffix_array(text: np.ndarray, depth: int, symbols: int = 257, memory: int = 48 << 20, recursive: bool = False) -> np.ndarray:
+    """Start positions in the order of the suffixes' first ``depth`` symbols at least; queues hold ``memory`` bytes."""
     text = np.ascontiguousarray(text, np.int16 if symbols <= 1 << 15 else np.int32)
     if len(text) < 2:
         return np.arange(len(text), dtype=np.int32)
     stype = s_types(text)
     lms = np.flatnonzero(stype[1:] & ~stype[:-1]).astype(np.int32) + 1
-    larger, smaller = induce(text, stype, _by_symbol(text, lms, symbols), symbols)
+    larger, smaller = induce(text, stype, _by_symbol(text, lms, symbols), symbols, memory)
     if len(lms) > 1:
         first = np.zeros(len(text), bool)
         first[lms] = True
         sorted_s = np.concatenate(smaller)
         names = _names(text, lms, sorted_s[first[sorted_s]])
-        order = _rank_suffixes(names, depth // 2 + 1)  # a substring covers two symbols at least
-        larger, smaller = induce(text, stype, _by_symbol(text, lms[order], symbols), symbols)
+        kinds = int(names.max()) + 1
+        if recursive and kinds < len(names):
+            order = suffix_array(names, len(names), kinds, memory, True)
+        else:
+            order = _rank_suffixes(names, depth // 2 + 1)  # a substring covers two symbols at least
+        larger, smaller = induce(text, stype, _by_symbol(text, lms[order], symbols), symbols, memory)
     return np.concatenate([part for c in range(symbols) for part in (larger[c], smaller[c])])
 
 

@@ -14,6 +14,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from fabula.llm import ann, exact_dedup, jaccard_join, lm, mixing, packing, quality, queries, substring_dedup, token_counts, url_filter
+from fabula.llm import suffix_array as suffix_module
 from fabula.llm.suffix_array import suffix_array
 from fabula.llm.components import components
 
@@ -291,6 +292,20 @@ def test_mixing(docs, rows, empty):
     assert mixing.systematic_copies(empty).count() == 0
 
 
+def test_mixing_odd_rows(spark):
+    """Null and repeated ids, rows that repeat, sources without a word: targets hold and nothing is drawn too often."""
+    rows = [(None, "a b c", "s"), (None, "a b c", "s"), (7, "a b c d", "s"), (7, "e f", "s"), (7, "e f", "t"), (8, "", "empty"), (9, None, "empty"), (10, "x y z", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.systematic_copies(df).collect()
+    assert len(out) == len(rows) and all(r["taken"] <= 2 * r["size"] for r in out)
+    drawn, mixed = Counter(), Counter()
+    for r in out:
+        drawn[r["id"], r["size"], r["src"]] += r["copies"]
+    for r in mixing.mix(df).collect():
+        mixed[r["doc_id"], len((r["text"] or "").split()), "t" if r["source"] is None else "s" + r["source"]] += 1
+    assert +drawn == mixed
+
+
 def test_suffix_array():
     rng = np.random.default_rng(1)
     for _ in range(300):
@@ -298,6 +313,42 @@ def test_suffix_array():
         assert suffix_array(t, 1000).tolist() == sorted(range(len(t)), key=lambda i: tuple(t[i:]))
 
 
+def test_suffix_array_recursion_and_spill(monkeypatch):
+    """The recursive order is complete, and queues that hold almost nothing go through their file."""
+    spilled = []
+    plain = suffix_module.BucketQueues._spill
+    monkeypatch.setattr(suffix_module.BucketQueues, "_spill", lambda self: (spilled.append(1), plain(self))[1])
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 30, 400, 3000):
+        t = np.tile(rng.integers(0, 3, max(1, n // 3)), 3)
+        want = sorted(range(len(t)), key=lambda i: t[i:].tolist())
+        assert suffix_array(t, 10, 3, memory=256, recursive=True).tolist() == want
+        assert suffix_array(t, len(t), 3, memory=256).tolist() == want
+    assert spilled
+
+
+def test_repeats_in_texts_over_a_megabyte(spark):
+    """Texts that are cut into pieces: repeats within one, across pieces and across documents."""
+    rng = random.Random(12)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(150_000)]
+    long = " ".join(words)
+    again = long[600_000:600_500]
+    texts = [long + again + "x" * 300, "start " + long[1_048_500:1_048_900], "nothing here"]
+    assert len(long) > 1 << 20
+    seen, want = set(), []
+    for i, t in enumerate(texts):
+        b, gone = t.encode(), bytearray(len(t))
+        for s in range(len(b) - 99):
+            h = hash(b[s : s + 100])
+            if h in seen:
+                gone[s : s + 100] = b"\1" * 100
+            seen.add(h)
+        want.append((i, sum(gone), hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest()))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = substring_dedup.remove_repeats(docs).collect()
+    assert sorted((r["id"], r["n_removed"], r["kept_sha256"]) for r in got) == want
+
+
 @pytest.mark.parametrize("hot", [2000, 2])
 def test_repeats_are_cut(docs, rows, hot):
     seen, want = set(), {}
@@ -556,6 +607,55 @@ def test_lm_gains_from_histories(spark):
     assert abs(sums[0]) < 50 and sums[4] > 1000
 
 
+def test_neighbours_repeated_ids_and_index_alone(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(40, 8))
+    df = spark.createDataFrame([(i // 2, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.neighbours(df, df.where("vec_id % 5 = 0"), k=5).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    for q in range(0, 20, 5):
+        asked = min(x[2 * q].tolist(), x[2 * q + 1].tolist())
+        best = {v: max(float(x[2 * v] @ asked), float(x[2 * v + 1] @ asked)) for v in range(20) if v != q}
+        want = sorted(best, key=lambda v: (-best[v], v))[:5]
+        assert [v for _, v, _ in sorted(got[q])] == want
+    # most of what is found is not in the sample: an eighth of the rows is
+    y = rng.normal(size=(4000, 16))
+    many = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "vec_id long, embedding array<double>")
+    found = ann.neighbours(many, many.where("vec_id % 100 = 0"), k=20).collect()
+    hits = 0
+    for q in range(0, 4000, 100):
+        scores = y @ y[q]
+        scores[q] = -np.inf
+        hits += len(set(np.argsort(-scores)[:20].tolist()) & {r["vec_id"] for r in found if r["query_id"] == q})
+    assert len(found) == 800 and hits >= 0.9 * 800
+
+
+def test_quality_odd_rows(spark):
+    """Null and empty texts, repeated ids, labels that contradict: every row gets a score, equal texts the same."""
+    rows = [(i, f"plain words number {i % 7} " * 5) for i in range(60)] + [(60, None), (61, ""), (62, "  "), (5, "plain words"), (5, "plain words"), (None, "plain words")]
+    labels = [(i, int(i % 2)) for i in range(60)] + [(3, 0), (3, 1), (4, None)]
+    out = quality.quality_scores(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert len(out) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in out)
+    same = {round(r["score"], 9) for r in out if r["id"] in (60, 61, 62)}
+    assert len(same) == 1 and len({round(r["score"], 9) for r in out if r["id"] is None or r["id"] == 5}) <= 2
+
+
+def test_very_long_texts(spark):
+    """Two texts of over two million characters through every operator on texts."""
+    text = " ".join(f"word{i % 9000} {i}" for i in range(160_000))
+    df = spark.createDataFrame([(1, text), (2, text.upper()), (3, "short one")], "doc_id long, text string").selectExpr("*", "'s' AS source")
+    assert len(text) > 2_000_000
+    assert {(r["id"], r["keep_id"]) for r in exact_dedup.exact_groups(df).collect()} == {(1, 1), (2, 1), (3, 3)}
+    assert {(r["id"], r["component_id"]) for r in jaccard_join.jaccard_components(df).collect()} == {(1, 1), (2, 1), (3, 3)}
+    tokens_ = {r["id"]: r["n_tokens"] for r in token_counts.redaction_counts(df, queries.TOKENIZER).collect()}
+    pieces = packing.pack(df, queries.TOKENIZER).groupBy("id").sum("length").collect()
+    assert {r["id"]: r["sum(length)"] - 1 for r in pieces} == tokens_
+    assert {r["id"]: r["n_tokens"] for r in lm.lm_scores(df, rounds=1).collect()} == {1: 320_001, 2: 320_001, 3: 3}
+    assert {r["id"]: r["size"] for r in mixing.systematic_copies(df).collect()} == {1: 320_000, 2: 320_000, 3: 2}
+    assert quality.quality_scores(df, spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, quality int")).count() == 3
+
+
 def test_lm_empty(empty, odd_ids):
     assert lm.lm_scores(empty).count() == 0
     assert lm.lm_scores(odd_ids).count() == 6

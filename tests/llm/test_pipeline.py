@@ -65,3 +65,18 @@ def test_stages(spark):
     assert max(fill.values()) <= 2048
     assert len(fill) <= 1.02 * sum(fill.values()) / 2048 + 2
     assert corpus_pipeline.ORACLE_SQL is None
+
+
+def test_stages_on_odd_rows(spark):
+    """Nulls in any column, empty texts, repeated rows, columns with names that operators use, and no rows at all."""
+    rows = [(None, None, None, None, None), (1, "", "en", "s", 0), (1, "", "en", "s", 0), (2, None, "de", None, 3), (3, "some words that are there " * 9, None, "s", 1), (3, "some words that are there " * 9, None, "s", 1), (None, "x", "en", "", 2)]
+    odd = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    odd = odd.selectExpr("*", "1 AS id", "2 AS score", "'n' AS node", "'u' AS uid", "3 AS copies", "'k' AS kept", "4 AS size", "'t' AS tag", "5 AS run")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, SF)
+        if name != "pack":
+            assert out.columns == odd.columns
+        assert out.count() <= 2 * len(rows)
+        assert stage(spark, odd.limit(0), SF).count() == 0
+    kept = corpus_pipeline.STAGES[1][1](spark, odd, SF).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [(0, "x"), (2, ""), (3, rows[4][1])]

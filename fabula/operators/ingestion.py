@@ -117,3 +117,78 @@ def complete_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     none names is a group of its own (its key, negative)."""
     first = groups.groupBy(key).agg(F.min("group").alias("group"))
     return rows.select(key).join(first, key, "left").select(key, F.coalesce("group", -F.col(key) - 1).alias("group"))
+
+
+def embed(df: DataFrame, key: str, text: str, vectors: Callable[[list[str]], list[list[float]]], size: int, batch: int = 32) -> DataFrame:
+    """(key, vector): an injected embedding over Arrow batches; texts that are null or fail get zeros of that size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, out = b.column(1).to_pylist(), []
+            for at in range(0, len(texts), batch):
+                part = texts[at : at + batch]
+                try:
+                    made = vectors([t or "" for t in part])
+                except Exception:  # without a model there are zeros
+                    made = [None] * len(part)
+                out += [v if t and v is not None else [0.0] * size for t, v in zip(part, made)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.float64()))], [key, "vector"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, F.col(text).cast("string")).mapInArrow(run, f"{key} {kind}, vector array<double>")
+
+
+def called_once(df: DataFrame, key: str, text: str, answer: Callable[[list[str]], list[str]], batch: int = 32) -> DataFrame:
+    """(key, answer) where every distinct text is asked once, however many rows hold it."""
+    from fabula.sources.scratch import materialize
+
+    hashed = df.select(key, F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("__h"), text)
+    asked = hashed.groupBy("__h").agg(F.first(text).alias("__t"))
+    told = materialize(call(asked, "__h", "__t", answer, batch), "answers")
+    return hashed.select(key, "__h").join(told, "__h").drop("__h")
+
+
+def learn_schema(df: DataFrame, by: str, json: str, share: float = 0.5) -> DataFrame:
+    """(by, field, type, share, required): fields that enough of a group's JSON objects have, with their commonest type."""
+    from fabula.functions.nested import value_type
+
+    pairs = df.select(by, F.explode(F.from_json(json, "map<string,string>")).alias("field", "value"))
+    n = df.where(F.from_json(json, "map<string,string>").isNotNull()).groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    kinds = pairs.groupBy(by, "field", value_type(F.col("value")).alias("type")).agg(F.count(F.lit(1)).alias("c"))
+    best = kinds.groupBy(by, "field").agg(F.sum("c").alias("c"), F.min(F.struct((-F.col("c")).alias("x"), "type")).alias("m")).join(n, by)
+    part = F.col("c") / F.col("n")
+    return best.select(by, "field", F.col("m.type").alias("type"), part.alias("share"), (part >= 1).alias("required")).where(F.col("share") >= share)
+
+
+def kept_entries(cache: DataFrame, age: str, used: str, ttl: float, most: int) -> DataFrame:
+    """The entries of a cache that stay: not older than ``ttl`` seconds, and of these the most recently used."""
+    return cache.where(F.col(age) <= ttl).orderBy(F.col(used).asc(), F.col("key")).limit(most)
+
+
+def with_retries(work: Callable[[], DataFrame], times: int = 3, wait: float = 1.0) -> DataFrame:
+    """Runs work again after a failure, waiting twice as long each time; the last failure is raised."""
+    import time
+
+    for at in range(times):
+        try:
+            return work()
+        except Exception:
+            if at + 1 == times:
+                raise
+            time.sleep(wait * 2**at)
+    raise ValueError("times must be positive")
+
+
+def extracted_graph(answers: DataFrame, key: str, answer: str) -> tuple[DataFrame, DataFrame]:
+    """(entities(name, kind, descriptions, n), edges(relation, name, weight)) of delimited answers: an entity's kind is the
+    commonest, its descriptions are a sorted set, edges of the same ends add up."""
+    from fabula.functions.nested import delimited_records
+
+    from .aggregates import mode_merge
+    from .statistics import merge_edges
+
+    records = delimited_records(answers, key, answer)
+    entities = records.where("kind = 'entity'").select(F.upper(F.col("fields")[1]).alias("name"), F.get("fields", F.lit(2)).alias("type"), F.coalesce(F.get("fields", F.lit(3)), F.lit("")).alias("description"), F.col(key).cast("string").alias("source"), "relation")
+    merged = mode_merge(entities, ["name"], "type", "description", "source")
+    edges = merge_edges(entities.where("relation IS NOT NULL").withColumn("weight", F.lit(1)), "relation", "name", "weight", "source")
+    return merged, edges

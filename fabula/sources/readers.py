@@ -79,3 +79,52 @@ def sql(spark: SparkSession, text: str, views: Mapping[str, DataFrame], **argume
     for name, df in views.items():
         df.createOrReplaceTempView(name)
     return spark.sql(text, args=arguments)
+
+
+def checked_lines(spark: SparkSession, path: str, required: Sequence[str]) -> DataFrame:
+    """One row: lines, blank ones, broken ones, those that lack a required key, and good ones."""
+    value = F.trim("value")
+    parsed = F.try_parse_json(value).isNotNull() & F.startswith(value, F.lit("{"))
+    lacks = F.lit(False)
+    for key in required:
+        lacks = lacks | F.get_json_object(value, f"$.{key}").isNull()
+    blank = value == ""
+    return spark.read.text(path).agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(blank).alias("blank"), F.count_if(~blank & ~parsed).alias("broken"), F.count_if(parsed & lacks).alias("lacking"), F.count_if(parsed & ~lacks).alias("good")
+    )
+
+
+def checked_sheet(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """One row: data lines of CSV files with a header, and those with another number of cells (quotes are minded)."""
+    cells = F.size(F.split(F.regexp_replace("value", '"([^"]|"")*"', "x"), ","))
+    lines = spark.read.text(path).where(F.col("value") != ",".join(columns))
+    return lines.agg(F.count(F.lit(1)).alias("lines"), F.count_if(cells != len(columns)).alias("ragged"))
+
+
+def checked_graph(spark: SparkSession, path: str) -> DataFrame:
+    """One row for GraphML or GEXF files of an element a line: nodes, repeated ids, edges, edges without one of their nodes."""
+    lines = spark.read.text(path)
+    ids = lines.where(F.startswith("value", F.lit("<node "))).select(F.regexp_extract("value", 'id="([^"]*)"', 1).alias("id"))
+    edges = lines.where(F.startswith("value", F.lit("<edge "))).select(F.regexp_extract("value", 'source="([^"]*)"', 1).alias("s"), F.regexp_extract("value", 'target="([^"]*)"', 1).alias("t"))
+    known = ids.distinct()
+    loose = edges.join(known.select(F.col("id").alias("s"), F.lit(1).alias("a")), "s", "left").join(known.select(F.col("id").alias("t"), F.lit(1).alias("b")), "t", "left")
+    nodes = ids.agg(F.count(F.lit(1)).alias("nodes"), (F.count(F.lit(1)) - F.count_distinct("id")).alias("repeated"))
+    return nodes.join(F.broadcast(loose.agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("loose"))))  # one row each
+
+
+def folder(spark: SparkSession, path: str) -> DataFrame:
+    """(name, size, modified) of the files under a folder, without their contents."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
+
+
+def older_than(spark: SparkSession, path: str, before) -> int:
+    """Deletes the files under a folder that were last written before a time; how many went."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs, limit, gone = root.getFileSystem(conf), int(before.timestamp() * 1000), 0
+    for status in fs.listStatus(root):
+        if status.isFile() and status.getModificationTime() < limit:
+            fs.delete(status.getPath(), False)
+            gone += 1
+    return gone

@@ -12,6 +12,8 @@ from fabula.functions import text as tx
 from fabula.operators import aggregates as agg
 from fabula.operators import clustering as cl
 from fabula.operators import graph as gr
+from fabula.operators import ingestion as ing
+from fabula.operators import nearby as nb
 from fabula.operators import relational as rel
 from fabula.operators import sequences as seq
 from fabula.operators import state as st
@@ -209,3 +211,62 @@ def test_walks_follow_edges(spark):
     rows = gr.random_walks(table, 5, 3).collect()
     assert len(rows) == 21 and all(abs(a - b) in (1, 6) for r in rows for a, b in zip(r["path"], r["path"][1:]))
     assert {(r["start"], r["walk"]): r["path"] for r in rows} == {(r["start"], r["walk"]): r["path"] for r in gr.random_walks(table, 5, 3).collect()}
+
+
+def _common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = row[:]
+        for j, y in enumerate(b):
+            row[j + 1] = before[j] + 1 if x == y else max(row[j], before[j + 1])
+    return row[-1]
+
+
+def test_first_unlike_equals_brute_force(spark, monkeypatch):
+    rng = random.Random(3)
+    base = ["".join(rng.choices("abcdé", k=rng.randint(0, 14))) for _ in range(25)]
+    texts = [t if rng.random() < 0.4 else t[:4] + rng.choice("xyz") + t[5:] for t in base * 3] + ["", None, ""]
+    for a, b in zip(texts[:40], texts[7:47]):
+        assert nb.common_length(a or "", b or "") == _common(a or "", b or "")
+    kept = []
+    for i, t in enumerate(texts):
+        t = t or ""
+        if not any((2 * _common(t, texts[j] or "") / (len(t) + len(texts[j] or "")) if t or texts[j] else 1.0) > 0.6 for j in kept):
+            kept.append(i)
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, t string")
+    assert sorted(r["k"] for r in nb.first_unlike(df, "k", "t", 0.6).collect()) == kept
+    assert nb.first_unlike(df.limit(0), "k", "t").count() == 0
+
+
+def test_blocks_meet_every_pair_once(spark, monkeypatch):
+    rng = random.Random(1)
+    points = [(i, [rng.random(), rng.random()]) for i in range(120)]
+    df = spark.createDataFrame(points, "k long, v array<double>")
+    near = lambda most: {(a, b) for a, x in points for b, y in points if a < b and (x[0] - y[0]) ** 2 + (x[1] - y[1]) ** 2 <= most * most}
+    for block in (4096, 17):
+        monkeypatch.setattr(ve, "BLOCK", block)
+        got = [tuple(r) for r in nb.within_distance(df, "k", "v", 0.2).collect()]
+        assert len(got) == len(set(got)) and set(got) == near(0.2)
+        top = ve.knn(df, df.where("k < 5"), "k", "v", 4).collect()
+        assert len(top) == 20 and all(r["query_id"] != r["id"] for r in top)
+
+
+def test_models_that_fail_leave_rows(spark):
+    df = spark.createDataFrame([(1, "good"), (2, "bad"), (3, None)], "k long, t string")
+
+    def answer(texts):
+        if "bad" in texts:
+            raise RuntimeError
+        return [f"<{t}>" for t in texts]
+
+    assert {r["k"]: r["answer"] for r in ing.call(df, "k", "t", answer, batch=1).collect()} == {1: "<good>", 2: None, 3: "<>"}
+    assert {r["k"]: r["vector"] for r in ing.embed(df, "k", "t", lambda texts: [[1.0, 2.0] for _ in answer(texts)], 2, batch=1).collect()} == {1: [1.0, 2.0], 2: [0.0, 0.0], 3: [0.0, 0.0]}
+
+
+def test_numbering_over_ranges(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice([None, "a", "b"]) if i % 3 else "hot", rng.randint(0, 50), i) for i in range(500)]
+    out = rel.numbered(spark.createDataFrame(rows, "g string, o int, i int"), ["g"], ["o", "i"], "n").collect()
+    for g in {r[0] for r in rows}:
+        own = sorted((o, i) for x, o, i in rows if x == g)
+        assert {(r["o"], r["i"]): r["n"] for r in out if r["g"] == g} == {key: at + 1 for at, key in enumerate(own)}

@@ -22,21 +22,11 @@ from fabula.streaming import micro_batch as mb
 from .binding import EVENTS, FOLLOWS, STATES, events, follows, order_events, states, table
 from .registry import query
 
-# -- graphs: customers' nations joined by trade with suppliers' nations; suppliers by shared orders ---------
+# -- graphs: users whose events follow each other, over every event; suppliers by shared orders ---------------
 
-TRADE = """(SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-    JOIN supplier ON l_suppkey = s_suppkey WHERE l_returnflag = 'R' AND o_orderpriority = '1-URGENT' AND l_quantity > 47 AND c_nationkey <> s_nationkey)"""
 PEERS = """(SELECT DISTINCT user_id AS src, other AS dst FROM (SELECT user_id, lead(user_id) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS other FROM events) WHERE other IS NOT NULL AND other <> user_id)"""
 
 
-def _trade(spark, d):
-    lines = table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity > 47").select("l_orderkey", "l_suppkey")
-    orders = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey")
-    rows = lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    rows = rows.join(table(spark, d, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).where("c_nationkey <> s_nationkey")
-    return rows.select(F.col("c_nationkey").alias("src"), F.col("s_nationkey").alias("dst")).distinct()
-
-
 def _peers(spark, d):
     """Users whose events follow each other within a type."""
     after = F.lead("user_id").over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
@@ -44,11 +34,6 @@ def _peers(spark, d):
     return rows.where("dst IS NOT NULL AND src <> dst").distinct()
 
 
-@query(f"SELECT id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree, sum(o + i)::BIGINT AS degree FROM (SELECT src AS id, 1 AS o, 0 AS i FROM {TRADE} UNION ALL SELECT dst, 0, 1 FROM {TRADE}) GROUP BY 1")
-def node_degree(spark, d):
-    return gr.degrees(_trade(spark, d))
-
-
 @query("""WITH m AS (SELECT DISTINCT l_orderkey AS e, l_suppkey AS s FROM lineitem), h0 AS (SELECT 1 AS id), h1 AS (SELECT DISTINCT m2.s AS id FROM m JOIN m m2 USING (e) WHERE m.s IN (SELECT id FROM h0)),
     h2 AS (SELECT DISTINCT m2.s AS id FROM m JOIN m m2 USING (e) WHERE m.s IN (SELECT id FROM h1))
     SELECT id, min(h) AS hops FROM (SELECT id, 0 AS h FROM h0 UNION ALL SELECT id, 1 FROM h1 UNION ALL SELECT id, 2 FROM h2) GROUP BY 1""")
@@ -56,20 +41,6 @@ def hypergraph_bfs(spark, d):
     return gr.hyper_bfs(order_events(spark, d), spark.createDataFrame([(1,)], "id long"), 2)
 
 
-@query(f"""WITH e AS (SELECT src AS a, dst AS b FROM {TRADE} UNION SELECT dst, src FROM {TRADE}),
-    h1 AS (SELECT b AS id, 1 AS h FROM e WHERE a = 3), h2 AS (SELECT e.b, 2 FROM e JOIN h1 ON e.a = h1.id)
-    SELECT 3 AS seed, id, min(h) AS hops FROM (SELECT 3 AS id, 0 AS h UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY id""")
-def khop_bfs(spark, d):
-    return gr.k_hop(_trade(spark, d), spark.createDataFrame([(3,)], "seed int"), 2)
-
-
-@query(f"""WITH t AS {TRADE}, a AS (SELECT [src, dst] AS path FROM t WHERE src = 3), b AS (SELECT list_append(path, dst) AS path FROM a JOIN t ON src = path[2] WHERE NOT list_contains(path, dst))
-    SELECT array_to_string(path, '-') AS path, len(path) - 1 AS length FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""")
-def simple_paths(spark, d):
-    out = gr.simple_paths(_trade(spark, d), spark.createDataFrame([(3,)], "id int"), 2)
-    return out.select(F.array_join("path", "-").alias("path"), "length")
-
-
 @query(f"""WITH u AS (SELECT src AS a, dst AS b FROM {PEERS} UNION SELECT dst, src FROM {PEERS}), deg AS (SELECT a AS id, count(*) AS degree FROM u GROUP BY 1),
     t AS (SELECT x.a AS id, count(*) / 2 AS t FROM u x JOIN u y ON x.a = y.a AND x.b <> y.b JOIN u z ON z.a = x.b AND z.b = y.b GROUP BY 1)
     SELECT id, degree, coalesce(t, 0)::BIGINT AS triangles, round(CASE WHEN degree > 1 THEN coalesce(t, 0) / (degree * (degree - 1) / 2) ELSE 0 END, 9) AS coefficient FROM deg LEFT JOIN t USING (id)""")
@@ -80,90 +51,62 @@ def triangles_clustering(spark, d):
 COPIES = "(SELECT min(doc_id) OVER (PARTITION BY text) AS src, doc_id AS dst FROM documents)"
 
 
-@query(f"""WITH RECURSIVE t AS {TRADE}, u AS (SELECT src AS a, dst AS b FROM t UNION SELECT dst, src FROM t), r(x, y) AS (SELECT a, a FROM u UNION SELECT r.x, u.b FROM r JOIN u ON u.a = r.y)
+@query(f"""WITH RECURSIVE t AS {PEERS}, u AS (SELECT src AS a, dst AS b FROM t UNION SELECT dst, src FROM t), r(x, y) AS (SELECT a, a FROM u UNION SELECT r.x, u.b FROM r JOIN u ON u.a = r.y)
     SELECT x AS id, min(y) AS component FROM r GROUP BY 1""")
 def connected_components(spark, d):
-    return gr.components(_trade(spark, d))
+    return gr.components(_peers(spark, d))
 
 
 def _rank_sql(rounds: int) -> str:
-    step = lambda i: f"""r{i} AS (SELECT n.id, .15 / c + .85 * (SELECT coalesce(sum(r), 0) FROM r{i - 1} WHERE id NOT IN (SELECT src FROM t)) / c + .85 * coalesce(f, 0) AS r
+    step = lambda i: f"""r{i} AS MATERIALIZED (SELECT n.id, .15 / c + .85 * (SELECT coalesce(sum(r), 0) FROM r{i - 1} WHERE id NOT IN (SELECT src FROM t)) / c + .85 * coalesce(f, 0) AS r
         FROM n CROSS JOIN k LEFT JOIN (SELECT dst, sum(r / o) AS f FROM t JOIN r{i - 1} ON r{i - 1}.id = src JOIN o USING (src) GROUP BY 1) ON dst = n.id)"""
-    head = f"WITH t AS {TRADE}, n AS (SELECT src AS id FROM t UNION SELECT dst FROM t), k AS (SELECT count(*) AS c FROM n), o AS (SELECT src, count(*) AS o FROM t GROUP BY 1), r0 AS (SELECT id, 1 / c AS r FROM n CROSS JOIN k)"
+    head = f"""WITH t AS MATERIALIZED {PEERS}, n AS MATERIALIZED (SELECT src AS id FROM t UNION SELECT dst FROM t), k AS MATERIALIZED (SELECT count(*) AS c FROM n),
+        o AS MATERIALIZED (SELECT src, count(*) AS o FROM t GROUP BY 1), r0 AS MATERIALIZED (SELECT id, 1 / c AS r FROM n CROSS JOIN k)"""
     return ", ".join([head, *(step(i) for i in range(1, rounds + 1))]) + f" SELECT id, round(r, 9) AS rank FROM r{rounds}"
 
 
-@query(_rank_sql(3))
+@query(_rank_sql(10))
 def page_rank(spark, d):
-    return gr.page_rank(_trade(spark, d), rounds=3).select("id", F.round("rank", 9).alias("rank"))
-
-
-@query(f"""WITH t AS {TRADE} SELECT a.src::VARCHAR || '-' || a.dst AS path, 2 AS length FROM t a JOIN t b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst
-    UNION ALL SELECT a.src || '-' || a.dst || '-' || b.dst, 3 FROM t a JOIN t b ON a.dst = b.src JOIN t c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst""")
-def cycle_detection(spark, d):
-    return gr.cycles(_trade(spark, d), 3).select(F.array_join("path", "-").alias("path"), "length")
-
-
-@query(f"""WITH t AS {TRADE} SELECT DISTINCT x.src AS a, x.dst AS b, y.dst AS c FROM t x JOIN t y ON x.dst = y.src WHERE x.src <> y.dst AND NOT EXISTS (SELECT 1 FROM t z WHERE z.src = x.src AND z.dst = y.dst)""")
-def transitivity_gaps(spark, d):
-    return gr.open_triples(_trade(spark, d).withColumn("kind", F.lit("trade"))).select("a", "b", "c")
-
-
-@query(f"SELECT src, dst FROM {TRADE} WHERE src IN (SELECT n_nationkey FROM nation WHERE n_regionkey <= 1) AND dst IN (SELECT n_nationkey FROM nation WHERE n_regionkey <= 1)")
-def induced_subgraph(spark, d):
-    return gr.induced(_trade(spark, d), table(spark, d, "nation").where("n_regionkey <= 1").select(F.col("n_nationkey").alias("id"))).select("src", "dst")
-
-
-# the same operators over every event, on users, whose number grows with the input
+    return gr.page_rank(_peers(spark, d)).select("id", F.round("rank", 9).alias("rank"))
 
 
 @query(f"SELECT id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree, sum(o + i)::BIGINT AS degree FROM (SELECT src AS id, 1 AS o, 0 AS i FROM {PEERS} UNION ALL SELECT dst, 0, 1 FROM {PEERS}) GROUP BY 1")
-def node_degree_users(spark, d):
+def node_degree(spark, d):
     return gr.degrees(_peers(spark, d))
 
 
 @query(f"""WITH e AS (SELECT src AS a, dst AS b FROM {PEERS} UNION SELECT dst, src FROM {PEERS}),
     h1 AS (SELECT b AS id, 1 AS h FROM e WHERE a = 3), h2 AS (SELECT DISTINCT e.b, 2 FROM e JOIN h1 ON e.a = h1.id)
     SELECT 3 AS seed, id, min(h) AS hops FROM (SELECT 3 AS id, 0 AS h UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY id""")
-def khop_bfs_users(spark, d):
+def khop_bfs(spark, d):
     return gr.k_hop(_peers(spark, d), spark.createDataFrame([(3,)], "seed long"), 2)
 
 
 @query(f"""WITH t AS {PEERS}, a AS (SELECT [src, dst] AS path FROM t WHERE src = 3), b AS (SELECT list_append(path, dst) AS path FROM a JOIN t ON src = path[2] WHERE NOT list_contains(path, dst))
     SELECT array_to_string(path, '-') AS path, len(path) - 1 AS length FROM (SELECT * FROM a UNION ALL SELECT * FROM b)""")
-def simple_paths_users(spark, d):
+def simple_paths(spark, d):
     out = gr.simple_paths(_peers(spark, d), spark.createDataFrame([(3,)], "id long"), 2)
     return out.select(F.array_join("path", "-").alias("path"), "length")
 
 
-@query(None)
-def connected_components_users(spark, d):
-    return gr.components(_peers(spark, d))
-
-
-@query(None)
-def page_rank_users(spark, d):
-    return gr.page_rank(_peers(spark, d))
-
-
 @query(f"""WITH t AS {PEERS} SELECT a.src::VARCHAR || '-' || a.dst AS path, 2 AS length FROM t a JOIN t b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst
     UNION ALL SELECT a.src || '-' || a.dst || '-' || b.dst, 3 FROM t a JOIN t b ON a.dst = b.src JOIN t c ON c.src = b.dst AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst""")
-def cycle_detection_users(spark, d):
+def cycle_detection(spark, d):
     return gr.cycles(_peers(spark, d), 3).select(F.array_join("path", "-").alias("path"), "length")
 
 
 @query(f"""WITH t AS {PEERS} SELECT DISTINCT x.src AS a, x.dst AS b, y.dst AS c FROM t x JOIN t y ON x.dst = y.src WHERE x.src <> y.dst AND NOT EXISTS (SELECT 1 FROM t z WHERE z.src = x.src AND z.dst = y.dst)""")
-def transitivity_gaps_users(spark, d):
+def transitivity_gaps(spark, d):
     return gr.open_triples(_peers(spark, d).withColumn("kind", F.lit("follows"))).select("a", "b", "c")
 
 
 @query(f"SELECT src, dst FROM {PEERS} WHERE src IN (SELECT user_id FROM events WHERE event_type = 'purchase') AND dst IN (SELECT user_id FROM events WHERE event_type = 'purchase')")
-def induced_subgraph_users(spark, d):
+def induced_subgraph(spark, d):
     return gr.induced(_peers(spark, d), events(spark, d).where("event_type = 'purchase'").select(F.col("user_id").alias("id"))).select("src", "dst")
 
 
 @query(f"WITH t AS {PEERS} SELECT src AS id FROM t UNION SELECT dst FROM t")
-def graphml_round_trip_users(spark, d):
+def graphml_round_trip(spark, d):
     edges = _peers(spark, d)
     nodes = gr.undirected(edges).select(F.col("a").alias("id"), F.col("a").cast("string").alias("name")).distinct()
     path = new_path(spark, "graphml")
@@ -171,10 +114,10 @@ def graphml_round_trip_users(spark, d):
     return readers.graph_elements(spark, path, "node", "_id long, data struct<_VALUE: string, _key: string>").select(F.col("_id").alias("id"))
 
 
-@query(f"""WITH u AS (SELECT src AS a, dst AS b FROM {PEERS} UNION SELECT dst, src FROM {PEERS}), deg AS (SELECT a AS id, count(*) AS d FROM u GROUP BY 1),
+@query(f"""WITH RECURSIVE u AS (SELECT src AS a, dst AS b FROM {PEERS} UNION SELECT dst, src FROM {PEERS}), deg AS (SELECT a AS id, count(*) AS d FROM u GROUP BY 1),
     t AS (SELECT x.a AS id, count(*) / 2 AS t FROM u x JOIN u y ON x.a = y.a AND x.b <> y.b JOIN u z ON z.a = x.b AND z.b = y.b GROUP BY 1),
-    c AS (SELECT avg(CASE WHEN d > 1 THEN coalesce(t, 0) / (d * (d - 1) / 2) ELSE 0 END) AS c FROM deg LEFT JOIN t USING (id)), n AS (SELECT count(DISTINCT a) AS n, count(*) // 2 AS m FROM u)
-    SELECT n AS nodes, m AS edges, round(2 * m / (n * (n - 1)), 9) AS density, round(c, 9) AS avg_clustering, 1 AS components, n AS largest FROM n CROSS JOIN c""")
+    c AS (SELECT avg(CASE WHEN d > 1 THEN coalesce(t, 0) / (d * (d - 1) / 2) ELSE 0 END) AS c FROM deg LEFT JOIN t USING (id)), n AS (SELECT count(DISTINCT a) AS n, count(*) // 2 AS m FROM u), r(x, y) AS (SELECT a, a FROM u UNION SELECT r.x, u.b FROM r JOIN u ON u.a = r.y), z AS (SELECT count(*) AS components, max(k) AS largest FROM (SELECT c, count(*) AS k FROM (SELECT x, min(y) AS c FROM r GROUP BY 1) GROUP BY 1))
+    SELECT n AS nodes, m AS edges, round(2 * m / (n * (n - 1)), 9) AS density, round(c, 9) AS avg_clustering, components, largest FROM n CROSS JOIN c CROSS JOIN z""")
 def graph_metrics(spark, d):
     out = gr.metrics(_peers(spark, d))
     return out.select("nodes", "edges", F.round("density", 9).alias("density"), F.round("avg_clustering", 9).alias("avg_clustering"), "components", "largest")
@@ -337,14 +280,19 @@ def entity_merge(spark, d):
     return er.merge(rows, pairs, "id", "name", "events").select(F.col("entity.c").alias("entity"), "name", "aliases", "events", "merged")
 
 
-@query("""WITH c AS (SELECT c_custkey AS id, 'nation ' || lower(n_name) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey), k AS (SELECT n_nationkey AS kb, 'nation ' || lower(n_name) AS m FROM nation),
-    s AS (SELECT id, kb, .6 * (1 - levenshtein(n, m) / greatest(length(n), length(m))) + CASE WHEN n = m THEN .2 ELSE 0 END + .2 AS s FROM c CROSS JOIN k)
-    SELECT id, arg_min(kb, (-s, kb)) AS kb, round(max(s), 9) AS confidence FROM s GROUP BY 1 HAVING max(s) >= .7""")
+@query(r"""WITH c AS (SELECT o_orderkey AS id, 'the ' || lower(n_name) || CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE ' ' || lower(split_part(c_mktsegment, ' ', 1)) END AS n, lower(n_name) AS al FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON c_nationkey = n_nationkey),
+    k AS (SELECT min(kb) AS kb, m FROM (SELECT n_nationkey AS kb, 'the ' || lower(n_name) AS m FROM nation UNION ALL SELECT n_nationkey + 100, lower(n_name) FROM nation UNION ALL SELECT r_regionkey + 200, lower(r_name) || ' region' FROM region) GROUP BY m),
+    s AS (SELECT id, kb, round(least(1, .6 * (1 - levenshtein(n, m) / greatest(length(n), length(m))) + CASE WHEN n = m THEN .2 ELSE 0 END + CASE WHEN id % 2 = 0 AND m = al THEN .15 ELSE 0 END + CASE WHEN split_part(n, ' ', 1) = string_split_regex(m, '[^\w]+')[1] THEN .1 ELSE 0 END), 12) AS s
+        FROM c JOIN k ON list_has_any(list_concat(string_split_regex(n, '[^\w]+'), CASE WHEN id % 2 = 0 THEN string_split_regex(al, '[^\w]+') ELSE [] END), string_split_regex(m, '[^\w]+')))
+    SELECT id, arg_min(kb, (-s, kb)) AS kb, round(max(s), 9) AS confidence FROM s GROUP BY 1 HAVING max(s) >= .7""".replace("\\\\", "\\"))
 def entity_linking(spark, d):
-    nation = table(spark, d, "nation").withColumn("label", F.concat(F.lit("nation "), F.lower("n_name")))
-    rows = table(spark, d, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-    out = er.link(rows, nation, "c_custkey", "label", "n_nationkey", "label")
-    return out.withColumn("confidence", F.round("confidence", 9))
+    nation = table(spark, d, "nation")
+    rows = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("c_custkey") == F.col("o_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    segment = F.when(F.col("o_orderkey") % 3 == 0, "").otherwise(F.concat(F.lit(" "), F.split("c_mktsegment", " ")[0]))
+    rows = rows.select("o_orderkey", F.concat(F.lit("The "), "n_name", segment).alias("label"), F.when(F.col("o_orderkey") % 2 == 0, F.array("n_name")).alias("also"))
+    base = nation.select(F.col("n_nationkey").cast("long").alias("kb"), F.concat(F.lit("the "), "n_name").alias("m")).unionByName(nation.select((F.col("n_nationkey") + 100).cast("long").alias("kb"), F.col("n_name").alias("m")))
+    base = base.unionByName(table(spark, d, "region").select((F.col("r_regionkey") + 200).cast("long").alias("kb"), F.concat("r_name", F.lit(" region")).alias("m")))
+    return er.link(rows, base, "o_orderkey", "label", "kb", "m", aliases="also").withColumn("confidence", F.round("confidence", 9))
 
 
 @query("""SELECT doc_id AS id, 'empty_text' AS rule, 'error' AS severity FROM documents WHERE trim(coalesce(text, '')) = '' UNION ALL SELECT doc_id, 'short_text', 'warning' FROM documents WHERE length(text) < 50
@@ -455,15 +403,6 @@ def tagged_json_round_trip(spark, d):
     return kinds[0].unionByName(kinds[1]).groupBy("data_type").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT n_nationkey AS id, n_name AS name FROM nation")
-def graphml_round_trip(spark, d):
-    nodes = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
-    path = new_path(spark, "graphml")
-    sinks.graphml_elements(nodes, _trade(spark, d), "id", "src", "dst").write.text(path)
-    back = readers.graph_elements(spark, path, "node", "_id int, data struct<_VALUE: string, _key: string>")
-    return back.select(F.col("_id").alias("id"), F.col("data._VALUE").alias("name"))
-
-
 @query(f"SELECT id, 'unknown' AS human_decision, '' AS human_notes FROM {STATES} WHERE current_status = 'pending_review'")
 def review_sheet_round_trip(spark, d):
     state = states(spark, d).where("current_status = 'pending_review'").select("id", "source", F.length("source_text").alias("triage_confidence"))

@@ -12,7 +12,7 @@ from fabula.operators import graph as gr
 from fabula.operators import prediction as pr
 from fabula.operators import sequences as seq
 
-from .analysis_queries import PEERS, TRADE, _peers, _trade
+from .analysis_queries import PEERS, _peers
 from .binding import events, table
 from .registry import query
 
@@ -62,55 +62,37 @@ def map_events_to_patterns(spark, d):
 
 
 def _label_sql(rounds: int) -> str:
-    parts = [f"WITH u AS (SELECT src AS a, dst AS b FROM {TRADE} UNION SELECT dst, src FROM {TRADE}), n AS (SELECT a, b FROM u UNION SELECT a, a FROM u), l0 AS (SELECT DISTINCT a AS id, a AS c FROM n)"]
+    parts = [f"WITH u AS MATERIALIZED (SELECT src AS a, dst AS b FROM {PEERS} UNION SELECT dst, src FROM {PEERS}), n AS MATERIALIZED (SELECT a, b FROM u UNION SELECT a, a FROM u), l0 AS MATERIALIZED (SELECT DISTINCT a AS id, a AS c FROM n)"]
     for i in range(1, rounds + 1):
-        parts.append(f"l{i} AS (SELECT a AS id, arg_min(c, (-k, c)) AS c FROM (SELECT a, c, count(*) AS k FROM n JOIN l{i - 1} ON id = b GROUP BY ALL) GROUP BY 1)")
+        parts.append(f"l{i} AS MATERIALIZED (SELECT a AS id, arg_min(c, (-k, c)) AS c FROM (SELECT a, c, count(*) AS k FROM n JOIN l{i - 1} ON id = b GROUP BY ALL) GROUP BY 1)")
     return ", ".join(parts) + f" SELECT id, c AS community FROM l{rounds} WHERE c IN (SELECT c FROM l{rounds} GROUP BY 1 HAVING count(*) >= 3)"
 
 
-@query(_label_sql(3))
+@query(_label_sql(5))
 def communities(spark, d):
-    return gr.communities(_trade(spark, d), rounds=3)
+    return gr.communities(_peers(spark, d))
 
 
 def _power_sql(rounds: int) -> str:
-    parts = [f"WITH u AS (SELECT src AS a, dst AS b FROM {PEERS} UNION SELECT dst, src FROM {PEERS}), s0 AS (SELECT DISTINCT a AS id, 1.0::DOUBLE AS s FROM u)"]
+    parts = [f"WITH u AS MATERIALIZED (SELECT src AS a, dst AS b FROM {PEERS} UNION SELECT dst, src FROM {PEERS}), s0 AS MATERIALIZED (SELECT DISTINCT a AS id, 1.0::DOUBLE AS s FROM u)"]
     for i in range(1, rounds + 1):
-        parts.append(f"s{i} AS (SELECT id, s / sqrt(sum(s * s) OVER ()) AS s FROM (SELECT x.id, any_value(x.s) + sum(y.s) AS s FROM s{i - 1} x JOIN u ON u.a = x.id JOIN s{i - 1} y ON y.id = u.b GROUP BY 1))")
+        parts.append(f"s{i} AS MATERIALIZED (SELECT id, s / sqrt(sum(s * s) OVER ()) AS s FROM (SELECT x.id, any_value(x.s) + sum(y.s) AS s FROM s{i - 1} x JOIN u ON u.a = x.id JOIN s{i - 1} y ON y.id = u.b GROUP BY 1))")
     return ", ".join(parts) + f" SELECT id, round(s, 9) AS score FROM s{rounds}"
 
 
-@query(_power_sql(3))
+@query(_power_sql(10))
 def eigenvector_centrality(spark, d):
-    return gr.eigenvector(_peers(spark, d), rounds=3).select("id", F.round("score", 9).alias("score"))
-
-
-@query(None)
-def communities_users(spark, d):
-    return gr.communities(_peers(spark, d))
-
-
-@query(None)
-def eigenvector_centrality_users(spark, d):
-    return gr.eigenvector(_peers(spark, d))
+    return gr.eigenvector(_peers(spark, d)).select("id", F.round("score", 9).alias("score"))
 
 
 @query(f"""WITH u AS (SELECT src AS a, dst AS b FROM {PEERS} UNION SELECT dst, src FROM {PEERS}), p AS (SELECT DISTINCT user_id AS a, user_id + 1 AS b FROM events)
     SELECT p.a, p.b, CASE WHEN EXISTS (SELECT 1 FROM u WHERE u.a = p.a AND u.b = p.b) THEN 1 WHEN EXISTS (SELECT 1 FROM u x JOIN u y ON x.b = y.a WHERE x.a = p.a AND y.b = p.b) THEN 2 END AS hops FROM p
     WHERE hops IS NOT NULL""")
-def association_hops_users(spark, d):
+def association_hops(spark, d):
     pairs = events(spark, d).select(F.col("user_id").alias("a"), (F.col("user_id") + 1).alias("b")).distinct()
     return gr.shortest_hops(_peers(spark, d), pairs, 2)
 
 
-@query(f"""WITH u AS (SELECT src AS a, dst AS b FROM {TRADE} UNION SELECT dst, src FROM {TRADE}), p AS (SELECT n_nationkey AS a, n_regionkey AS b FROM nation WHERE n_nationkey <> n_regionkey)
-    SELECT p.a, p.b, CASE WHEN EXISTS (SELECT 1 FROM u WHERE u.a = p.a AND u.b = p.b) THEN 1 WHEN EXISTS (SELECT 1 FROM u x JOIN u y ON x.b = y.a WHERE x.a = p.a AND y.b = p.b) THEN 2 END AS hops FROM p
-    WHERE hops IS NOT NULL""")
-def association_hops(spark, d):
-    pairs = table(spark, d, "nation").where("n_nationkey <> n_regionkey").select(F.col("n_nationkey").alias("a"), F.col("n_regionkey").alias("b"))
-    return gr.shortest_hops(_trade(spark, d), pairs, 2)
-
-
 @query("""SELECT o_orderkey, field, role, value FROM (SELECT o_orderkey, 'o_orderstatus' AS field, 'entity' AS role, o_orderstatus AS value FROM orders UNION ALL SELECT o_orderkey, 'o_custkey', 'property', o_custkey::VARCHAR FROM orders
     UNION ALL SELECT o_orderkey, 'day', 'timestamp', strftime(o_orderdate, '%Y-%m-%d') FROM orders)""")
 def unpivot_typed(spark, d):

@@ -306,3 +306,103 @@ def retried_work(spark, d):
         return events(spark, d)
 
     return ing.with_retries(work, 3, 0.01).agg(F.count(F.lit(1)).alias("n")).withColumn("tries", F.lit(len(tries)))
+
+
+# -- schemas, sheets, stores, one entry to all ------------------------------------------------------------------------------
+
+
+_GOOD = '{"source": "s", "publish_date": "2024-01-01", "company": "c", "executive_name": "n", "position": "p", "change_type": "上任", "change_date": "2024-02-02"}'
+
+
+@query("""SELECT event_id AS id, unnest(CASE event_id % 6 WHEN 1 THEN ['change_date', 'change_type'] WHEN 2 THEN [''] WHEN 3 THEN [''] WHEN 4 THEN ['confidence_score', 'arguments', 'publish_date'] WHEN 5 THEN ['partners'] END) AS field,
+    unnest(CASE event_id % 6 WHEN 1 THEN ['missing', 'pattern'] WHEN 2 THEN ['unknown kind'] WHEN 3 THEN ['broken'] WHEN 4 THEN ['range', 'type', 'type'] WHEN 5 THEN ['type'] END) AS problem FROM events WHERE event_id % 6 > 0""")
+def registered_schemas(spark, d):
+    from fabula.sources import schemas
+
+    texts = [_GOOD, _GOOD.replace("上任", "升职").replace(', "change_date": "2024-02-02"', ""), "{}", '{"source": ', '{"source": "s", "publish_date": "soon", "event_id": "e", "event_type": "t", "arguments": "none", "timestamp": "2024-01-01", "confidence_score": 1.5}', '{"source": "s", "publish_date": "2024-01-01", "partners": "a and b", "domain": "d"}']
+    kinds = ["Executive_Change", "executive_change", "weather", "legal_proceeding", "domain_event", "collaboration"]
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % 6 + 1).cast("int"))
+    rows = events(spark, d).select("event_id", pick(kinds).alias("kind"), pick(texts).alias("j"))
+    return schemas.violations(rows, "event_id", "kind", "j")
+
+
+@query("SELECT 'book' || b || '.xlsx' AS file, r AS row, 'text ' || b || ' ' || r AS value FROM unnest([1, 2]) AS x(b), unnest([1, 2, 3]) AS y(r)")
+def spreadsheet_column(spark, d):
+    """Two small sheets, written cell by cell, and one without the column."""
+    import io
+    import zipfile
+
+    path, jvm = new_path(spark, "sheets"), spark.sparkContext._jvm
+    for book in (1, 2, 3):
+        head = "text" if book < 3 else "other"
+        rows = [("no", head), *[(str(r), f"text {book} {r}") for r in (1, 2, 3)]]
+        cell = lambda at, column, text: f'<c r="{column}{at}" t="inlineStr"><is><t>{text}</t></is></c>'
+        sheet = "".join(f'<row r="{at}">{cell(at, "A", a)}{cell(at, "B", b)}</row>' for at, (a, b) in enumerate(rows, 1))
+        made = io.BytesIO()
+        with zipfile.ZipFile(made, "w") as z:
+            z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{sheet}</sheetData></worksheet>')
+        where = jvm.org.apache.hadoop.fs.Path(f"{path}/book{book}.xlsx")
+        out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+        out.write(bytearray(made.getvalue()))
+        out.close()
+    return readers.spreadsheet_column(spark, path, "text")
+
+
+@query("SELECT (SELECT count(*) FROM events) AS kept, 0 AS left_over, (SELECT count(*) FROM events) AS in_backup")
+def reset_with_backup(spark, d):
+    path, backup = new_path(spark, "table"), new_path(spark, "backup")
+    events(spark, d).select("event_id", "event_type").write.parquet(path)
+    kept = sinks.reset(spark, path, backup, "event_id long, event_type string")
+    n = lambda p: spark.read.schema("event_id long, event_type string").parquet(p).count()
+    return spark.createDataFrame([(kept, n(path), n(backup))], "kept long, left_over long, in_backup long")
+
+
+@query("SELECT event_type, count(*) AS n, 2 AS samples FROM events GROUP BY 1 HAVING count(*) >= 2")
+def exported_report(spark, d):
+    """A report and its samples written, read back and put side by side."""
+    prefix = new_path(spark, "report")
+    e = events(spark, d)
+    samples = cl.sample_each(e.select("event_type", "event_id"), "event_type", "event_id", 2)
+    sinks.report(e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")), samples, prefix)
+    told = spark.read.schema("event_type string, n long").json(f"{prefix}_report")
+    back = spark.read.schema("event_type string, event_id long, rank int").option("header", True).csv(f"{prefix}_samples")
+    return told.join(back.groupBy("event_type").agg(F.count(F.lit(1)).alias("samples")), "event_type")
+
+
+@query("SELECT 'ctx_' || event_id AS id, event_type AS kind, 'he_' || event_id AS edge, 'u' || user_id AS node FROM events")
+def written_contexts(spark, d):
+    path = new_path(spark, "contexts")
+    edge = F.struct(F.concat(F.lit("he_"), F.col("event_id").cast("string")).alias("id"), F.array(F.concat(F.lit("u"), F.col("user_id").cast("string"))).alias("nodes"))
+    sinks.contexts(events(spark, d).select(F.concat(F.lit("ctx_"), F.col("event_id").cast("string")).alias("id"), F.col("event_type").alias("kind"), edge.alias("hyperedge")), path)
+    back = spark.read.schema("id string, kind string, hyperedge struct<id: string, nodes: array<string>>").json(path)
+    return back.select("id", "kind", F.col("hyperedge.id").alias("edge"), F.col("hyperedge.nodes")[0].alias("node"))
+
+
+@query(f"""WITH {_NEAR}, k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS r FROM s QUALIFY r <= 10) SELECT query_id, event_id, event_type, round(similarity, 6) AS similarity FROM k JOIN events ON event_id = id WHERE similarity >= .2""")
+def semantic_event_search(spark, d):
+    from fabula.layers import Layers
+
+    e = events(spark, d)
+    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    found = Layers(e, e.limit(0), vectors).similar_events(vectors.where("id % 20 = 0").select("id"), 10, 0.2)
+    return found.join(e, F.col("id") == F.col("event_id")).select("query_id", "event_id", "event_type", F.round("similarity", 6).alias("similarity"))
+
+
+@query("""WITH m AS (SELECT event_id, least(5, count(*)) AS c FROM events, nation WHERE event_type = 'view' AND .4 + .3 * least(n_nationkey / 10, 1) + .3 * .9 >= .8 GROUP BY 1)
+    SELECT 'events' AS what, count(*) AS n FROM (SELECT * FROM events WHERE event_type = 'view' AND value >= 50 ORDER BY event_id LIMIT 100) UNION ALL SELECT 'patterns', count(*) FROM nation WHERE n_nationkey >= 5
+    UNION ALL SELECT 'chains', count(DISTINCT user_id) FROM events UNION ALL SELECT 'comprehensive', sum(c)::BIGINT FROM m""")
+def layer_requests(spark, d):
+    """The same requests through the one entry; each answer is counted."""
+    from fabula.layers import Layers
+
+    patterns = table(spark, d, "nation").select(F.concat(F.lit("p"), F.col("n_nationkey").cast("string")).alias("pattern"), F.array(F.lit("view")).alias("sequence"), F.col("n_nationkey").alias("support"), F.lit(0.9).alias("confidence"))
+    layers = Layers(events(spark, d), patterns)
+    parts = {
+        "events": layers.process("retrieval", conditions={"event_type": ("=", "view"), "value": (">=", 50)}), "patterns": layers.query_patterns({"support": (">=", 5)}),
+        "chains": layers.chains(), "comprehensive": layers.process("comprehensive").select(F.explode(F.array_repeat(F.lit(1), F.col("events").cast("int")))),
+    }
+    rows = None
+    for name, df in parts.items():
+        one = df.agg(F.lit(name).alias("what"), F.count(F.lit(1)).alias("n"))
+        rows = one if rows is None else rows.unionByName(one)
+    return rows

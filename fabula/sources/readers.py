@@ -128,3 +128,45 @@ def older_than(spark: SparkSession, path: str, before) -> int:
             fs.delete(status.getPath(), False)
             gone += 1
     return gone
+
+
+def spreadsheet_column(spark: SparkSession, path: str, column: str) -> DataFrame:
+    """(file, row, value) of one named column over every .xlsx file under a path: the first sheet's cells, by the header
+    row; files without that column give nothing. A file is read whole in one task."""
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    def cells(body: bytes) -> list[tuple[int, str]]:
+        import io
+        import re
+        import zipfile
+        from xml.etree import ElementTree
+
+        space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+        with zipfile.ZipFile(io.BytesIO(body)) as z:
+            shared = []
+            if "xl/sharedStrings.xml" in z.namelist():
+                shared = ["".join(t.text or "" for t in si.iter(f"{space}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{space}si")]
+            sheet = min(n for n in z.namelist() if n.startswith("xl/worksheets/sheet"))
+            rows = ElementTree.fromstring(z.read(sheet)).iter(f"{space}row")
+            wanted, out = None, []
+            for at, row in enumerate(rows):
+                for cell in row.iter(f"{space}c"):
+                    letters = re.match("[A-Z]*", cell.get("r", "")).group()
+                    value = cell.find(f"{space}v")
+                    inline = "".join(t.text or "" for t in cell.iter(f"{space}t"))
+                    text = shared[int(value.text)] if cell.get("t") == "s" else inline or (value.text if value is not None else "")
+                    if at == 0 and text == column:
+                        wanted = letters
+                    elif at and letters == wanted and text:
+                        out.append((at, text))
+            return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [(name, at, text) for name, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for at, text in cells(body)]
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))], ["file", "row", "value"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
+    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("file"), "content").mapInArrow(run, "file string, row int, value string")

@@ -116,3 +116,23 @@ def write_both(df: DataFrame, targets: dict, key: str) -> dict[str, int]:
         except Exception:  # a store that is down is told by its count; the caller decides
             done[name] = -1
     return done
+
+
+def reset(spark, path: str, backup: str, schema: str) -> int:
+    """Copies a table to a backup folder and leaves an empty table in its place; how many rows were kept aside."""
+    rows = spark.read.schema(schema).parquet(path)
+    rows.write.mode("overwrite").parquet(backup)
+    kept = spark.read.schema(schema).parquet(backup).count()
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+    return kept
+
+
+def report(summary: DataFrame, samples: DataFrame, prefix: str) -> None:
+    """A report as JSON beside a CSV of samples."""
+    summary.write.mode("overwrite").json(f"{prefix}_report")
+    samples.write.mode("overwrite").option("header", True).csv(f"{prefix}_samples")
+
+
+def contexts(df: DataFrame, path: str) -> None:
+    """Contexts with their nested hyperedges, a JSON object a line."""
+    df.select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(path)

@@ -162,3 +162,15 @@ def relation_from_answer(text: Column, least: float = 0.3) -> Column:
     kind = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in RELATION_NAMES.items() for x in p]), F.lower(got["relation_type"])), F.lit("unknown"))
     sure = F.coalesce(got["confidence"], F.lit(0.5))
     return F.when(got["relation_type"].isNotNull() & ~((kind == "unknown") & (sure < least)), F.struct(kind.alias("kind"), sure.alias("confidence")))
+
+
+def json_or_list(text: Column) -> Column:
+    """An answer as JSON: without fences, as it is; else with its quotes mended; else what stands between its brackets,
+    split at commas, as a list of texts; null without brackets."""
+    bare = F.trim(F.regexp_replace(F.trim(text), r"(?s)^```(?:json)?\s*|\s*```$", ""))
+    mended = F.replace(bare, F.lit("'"), F.lit('"'))
+    inside = F.regexp_extract(bare, r"(?s)\[(.*)\]", 1)
+    items = F.transform(F.split(inside, ","), lambda x: F.regexp_replace(F.trim(x), "^[\"']|[\"']$", ""))
+    listed = F.when(F.rlike(bare, F.lit(r"(?s)\[.*\]")), F.to_json(F.filter(items, lambda x: x != "")))
+    valid = lambda c: F.when(F.try_parse_json(c).isNotNull(), c)
+    return F.coalesce(valid(bare), valid(mended), listed)

@@ -285,3 +285,9 @@ def value_conflict_advice(attribute: Column, values: Column) -> Column:
     """Two values are put side by side, more are listed for review."""
     two = F.concat(F.lit("检查数据源，确认 '"), attribute, F.lit("' 的正确值："), F.array_join(values, " vs "))
     return F.when(F.size(values) == 2, two).otherwise(F.concat(F.lit("多个 '"), attribute, F.lit("' 值冲突，需要人工审核："), F.array_join(values, ", ")))
+
+
+def pattern_text(kind: Column, sequence: Column, domain: Column, conditions: Column) -> Column:
+    """The text a pattern is embedded by: its labelled parts, those that are there."""
+    part = lambda label, c: F.when(F.length(c) > 0, F.concat(F.lit(label), c))
+    return F.concat_ws("; ", part("type: ", kind), part("sequence: ", F.array_join(sequence, " > ")), part("domain: ", domain), part("conditions: ", F.array_join(F.array_sort(conditions), ", ")))

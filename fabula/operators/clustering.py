@@ -171,3 +171,27 @@ def kmeans(df: DataFrame, key: str, vector: str, k: int, seed: int = 42) -> Data
     rows = df.where(F.col(vector).isNotNull()).select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features"))
     model = KMeans(k=k, seed=seed, maxIter=20).fit(rows)
     return model.transform(rows).select(key, F.col("prediction").alias("cluster"))
+
+
+def combined_neighbours(df: DataFrame, key: str, vector: str, items: str, eps: float, weights: tuple[float, float] = (0.7, 0.3)) -> DataFrame:
+    """(a, b) with a < b whose distance, .7 of the cosine's and .3 of the Jaccard distance of their items, is at most eps.
+
+    Even with equal items a pair needs a cosine of 1 - eps / .7, so only such pairs are looked up.
+    """
+    from .vectors import all_within_cosine
+
+    least = 1 - eps / weights[0]
+    pairs = all_within_cosine(df, key, vector, least)
+    sides = [df.select(F.col(key).cast("long").alias(n), F.array_distinct(F.coalesce(items, F.array().cast("array<string>"))).alias(f"__{n}")) for n in ("a", "b")]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    far = weights[0] * (1 - F.col("similarity")) + weights[1] * (1 - tx.set_jaccard(F.col("__a"), F.col("__b")))
+    return both.where(far <= eps).select("a", "b")
+
+
+def cluster(df: DataFrame, mode: str, key: str = "id", **how) -> DataFrame:
+    """(key, cluster) by the named way: company, theme, hybrid (rules over a text) or kmeans (over a vector)."""
+    if mode in ("company", "theme", "hybrid"):
+        return rule_clusters(df, key, mode=mode, **how)
+    if mode == "kmeans":
+        return kmeans(df, key, **how)
+    raise ValueError(f"unknown mode {mode}")

@@ -34,12 +34,12 @@ def _entities(spark, d):
 
 def _edges(spark, d):
     kinds = F.element_at(F.array(*map(F.lit, ["employment", "investment", "location", "gossip"])), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    rows = table(spark, d, "orders").where("o_custkey % 3 <> 0").select(F.col("o_orderkey").alias("edge_id"), kinds.alias("kind"), (F.col("o_custkey") % 40).alias("n"))
-    return rows.select("edge_id", "kind", F.array(F.concat(F.lit("Acme "), F.col("n").cast("string"), F.lit(" Ltd"))).alias("names"))
+    firm = F.concat(F.lit("Acme "), (F.col("o_custkey") % 40).cast("string"), F.lit(" Ltd"))
+    name = F.when(F.col("o_custkey") % 3 == 0, "Nobody").otherwise(firm)  # so that some firms are in no edge
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("edge_id"), kinds.alias("kind"), F.array(name).alias("names"))
 
 
-EDGES = """(SELECT o_orderkey AS edge_id, CASE o_orderkey % 4 WHEN 0 THEN 'employment' WHEN 1 THEN 'investment' WHEN 2 THEN 'location' ELSE 'gossip' END AS kind, 'Acme ' || (o_custkey % 40) || ' Ltd' AS name
-    FROM orders WHERE o_custkey % 3 <> 0)"""
+EDGES = """(SELECT o_orderkey AS edge_id, CASE o_orderkey % 4 WHEN 0 THEN 'employment' WHEN 1 THEN 'investment' WHEN 2 THEN 'location' ELSE 'gossip' END AS kind, CASE WHEN o_custkey % 3 = 0 THEN 'Nobody' ELSE 'Acme ' || (o_custkey % 40) || ' Ltd' END AS name FROM orders)"""
 
 
 @query(f"""SELECT id, 'name' AS attribute, 'type_consistency' AS issue, 'warning' AS severity FROM {ENTITIES} WHERE kind IN ('person', 'company', 'event') AND shown IS NULL

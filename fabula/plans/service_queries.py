@@ -406,3 +406,64 @@ def layer_requests(spark, d):
         one = df.agg(F.lit(name).alias("what"), F.count(F.lit(1)).alias("n"))
         rows = one if rows is None else rows.unionByName(one)
     return rows
+
+
+@query("""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '{"k": 1}' WHEN 1 THEN '["a", "b"]' WHEN 2 THEN '["new plant","price up"]' END AS json, 'type: ' || event_type || CASE WHEN event_id % 2 = 0 THEN '; sequence: a > b' ELSE '' END || CASE WHEN event_id % 3 = 0 THEN '; conditions: x, y' ELSE '' END AS text FROM events""")
+def answers_and_pattern_texts(spark, d):
+    from fabula.functions import nested as ne
+
+    answer = F.element_at(F.array(*map(F.lit, ['```json\n{"k": 1}\n```', "['a', 'b']", "Summary: [new plant, price up]", "nothing"])), (F.col("event_id") % 4 + 1).cast("int"))
+    none = F.array().cast("array<string>")
+    sequence = F.when(F.col("event_id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(none)
+    conditions = F.when(F.col("event_id") % 3 == 0, F.array(F.lit("y"), F.lit("x"))).otherwise(none)
+    return events(spark, d).select("event_id", ne.json_or_list(answer).alias("json"), tx.pattern_text(F.col("event_type"), sequence, F.lit(""), conditions).alias("text"))
+
+
+@query("""WITH l AS (SELECT c_nationkey, c_custkey, c_custkey || ',' || CASE WHEN c_custkey % 2 = 0 THEN '"a,b"' ELSE c_mktsegment END AS line FROM customer), r AS (SELECT *, sum(length(line) + 1) OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS r FROM l)
+    SELECT c_nationkey, 'c_custkey,segment' || chr(10) || string_agg(line, chr(10) ORDER BY c_custkey) AS context FROM r WHERE r <= 60 GROUP BY 1""")
+def csv_contexts(spark, d):
+    rows = table(spark, d, "customer").withColumn("segment", F.when(F.col("c_custkey") % 2 == 0, "a,b").otherwise(F.col("c_mktsegment")))
+    return rt.csv_context(rows, "c_nationkey", "c_custkey", ["c_custkey", "segment"], 60)
+
+
+_COMBINED = """(SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v, sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))) AS n FROM embeddings)"""
+
+
+@query(f"""WITH e AS {_COMBINED}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.v, b.v) / (a.n * b.n) AS s, CASE WHEN a.label = b.label THEN 1 ELSE 1 / 3 END AS j FROM e a JOIN e b ON a.vec_id < b.vec_id) SELECT a, b FROM p WHERE .7 * (1 - s) + .3 * (1 - j) <= .55""")
+def combined_distance_pairs(spark, d):
+    rows = table(spark, d, "embeddings").withColumn("items", F.array(F.col("label").cast("string"), F.lit("common")))
+    return cl.combined_neighbours(rows, "vec_id", "embedding", "items", 0.55)
+
+
+@query()
+def combined_distance_clusters(spark, d):
+    rows = table(spark, d, "embeddings").withColumn("items", F.array(F.col("label").cast("string"), F.lit("common")))
+    near = materialize(cl.combined_neighbours(rows, "vec_id", "embedding", "items", 0.5), "combined")
+    return cl.dbscan(near, rows.select(F.col("vec_id").alias("id")), 2)
+
+
+@query("""SELECT e.event_id, CASE WHEN e.event_id % 2 = 0 THEN 's' || e.user_id END AS subject, CASE WHEN e.event_id % 3 = 0 THEN 'o' || e.user_id END AS object, CASE WHEN e.event_id % 5 > 0 THEN (CASE e.event_id % 5 WHEN 1 THEN 'p0' WHEN 2 THEN 'p0,p1' WHEN 3 THEN 'p0,p1,p2' ELSE 'p0,p1,p2,p3' END) END AS participants FROM events e""")
+def event_star(spark, d):
+    """Events with their subject, object and participants: three left outer joins, one row for each event."""
+    e = events(spark, d)
+    side = lambda n, prefix, name: e.where(F.col("event_id") % n == 0).select("event_id", F.concat(F.lit(prefix), F.col("user_id").cast("string")).alias(name))
+    people = e.select("event_id", F.explode(F.sequence(F.lit(1), F.greatest(F.col("event_id") % 5, F.lit(1)))).alias("i"), (F.col("event_id") % 5 > 0).alias("any")).where("any")
+    people = people.groupBy("event_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("p"), (F.col("i") - 1).cast("string")))), ",").alias("participants"))
+    return e.select("event_id").join(side(2, "s", "subject"), "event_id", "left").join(side(3, "o", "object"), "event_id", "left").join(people, "event_id", "left")
+
+
+@query(f"SELECT source_event_id, target_event_id FROM {FOLLOWS} WHERE source_event_id % 4 > 0 AND target_event_id % 4 > 0")
+def relations_with_both_ends(spark, d):
+    """Only relations go in whose ends are both there."""
+    from fabula.operators import graph as gr
+
+    there = events(spark, d).where("event_id % 4 > 0").select(F.col("event_id").alias("id"))
+    return gr.induced(follows(spark, d), there, "source_event_id", "target_event_id").select("source_event_id", "target_event_id")
+
+
+@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN round(2 * 5 / 17.0, 9) ELSE round(2 * 3 / 7.0, 9) END AS ratio, CASE event_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 ELSE 1.0 END AS partial, CASE event_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN round(2 * 5 / 17.0, 9) ELSE round(2 * 3 / 7.0, 9) END AS sorted_words, CASE event_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 1.0 ELSE round(2 * 3 / 7.0, 9) END AS word_sets FROM events""")
+def name_ratios(spark, d):
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.col("event_id") % 3 + 1).cast("int"))
+    rows = events(spark, d).select("event_id", pick(["same", "acme", "abc"]).alias("a"), pick(["same", "acme of london", "abcd"]).alias("b"))
+    rows = rows.withColumns({"a": F.when(F.col("a") == "acme", "alpha").otherwise(F.col("a")), "b": F.when(F.col("a") == "acme", "of alpha ltd").otherwise(F.col("b"))})
+    return nb.name_ratios(rows, "event_id", "a", "b").select("event_id", *[F.round(c, 9).alias(c) for c in ("ratio", "partial", "sorted_words", "word_sets")])

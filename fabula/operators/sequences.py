@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .relational import numbered
+
 
 def _window(by: Sequence[str], order: Sequence[str]):
     return Window.partitionBy(*by).orderBy(*order)
@@ -28,6 +30,16 @@ def consecutive_pairs(df: DataFrame, by: Sequence[str], order: Sequence[str], ca
     return paired.where(F.col(f"next_{carry[0]}").isNotNull())
 
 
+def following(df: DataFrame, by: Sequence[str], order: Sequence[str], carry: Sequence[str]) -> DataFrame:
+    """``consecutive_pairs`` for groups of any size: rows are numbered over ranges and meet the next number by a join, so
+    a group that holds most of the table is no single task."""
+    rows = numbered(df, by, order, "__n")
+    keys = [f"__k{i}" for i in range(len(by))]
+    after = rows.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], (F.col("__n") - 1).alias("__m"), *[F.col(c).alias(f"next_{c}") for c in carry])
+    on = " AND ".join(["__n = __m", *(f"`{c}` <=> {k}" for c, k in zip(by, keys))])
+    return rows.join(after, F.expr(on)).select(*df.columns, *[f"next_{c}" for c in carry])
+
+
 def lookahead_pairs(df: DataFrame, by: Sequence[str], order: Sequence[str], carry: Sequence[str], ahead: int = 3) -> DataFrame:
     """Each row with up to ``ahead`` rows after it, from one window pass: no self-join."""
     w = _window(by, order)

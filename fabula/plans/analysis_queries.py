@@ -28,10 +28,9 @@ PEERS = """(SELECT DISTINCT user_id AS src, other AS dst FROM (SELECT user_id, l
 
 
 def _peers(spark, d):
-    """Users whose events follow each other within a type."""
-    after = F.lead("user_id").over(Window.partitionBy("event_type").orderBy("ts", "event_id"))
-    rows = events(spark, d).select(F.col("user_id").alias("src"), after.alias("dst"))
-    return rows.where("dst IS NOT NULL AND src <> dst").distinct()
+    """Users whose events follow each other within a type; types are few, so events are numbered over ranges."""
+    rows = seq.following(events(spark, d).select("event_type", "ts", "event_id", "user_id"), ["event_type"], ["ts", "event_id"], ["user_id"])
+    return rows.select(F.col("user_id").alias("src"), F.col("next_user_id").alias("dst")).where("src <> dst").distinct()
 
 
 @query("""WITH m AS (SELECT DISTINCT l_orderkey AS e, l_suppkey AS s FROM lineitem), h0 AS (SELECT 1 AS id), h1 AS (SELECT DISTINCT m2.s AS id FROM m JOIN m m2 USING (e) WHERE m.s IN (SELECT id FROM h0)),
@@ -351,8 +350,10 @@ def clean_and_split(spark, d):
 @query(r"""WITH a AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '')) AS s, source FROM documents), b AS (SELECT doc_id, s, lead(s) OVER (PARTITION BY source ORDER BY doc_id) AS t FROM a)
     SELECT doc_id, round(len(list_intersect(s, t)) / (len(s) + len(t) - len(list_intersect(s, t))), 9) AS jaccard FROM b WHERE t IS NOT NULL""")
 def word_set_jaccard(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "source", tx.word_set(F.col("text")).alias("s"))
-    after = rows.withColumn("t", F.lead("s").over(Window.partitionBy("source").orderBy("doc_id"))).where("t IS NOT NULL")
+    docs = table(spark, d, "documents")
+    pairs = seq.following(docs.select("source", "doc_id"), ["source"], ["doc_id"], ["doc_id"])  # ids only; words join later
+    sets = docs.select("doc_id", tx.word_set(F.col("text")).alias("s"))
+    after = pairs.join(sets, "doc_id").join(sets.select(F.col("doc_id").alias("next_doc_id"), F.col("s").alias("t")), "next_doc_id")
     return after.select("doc_id", F.round(tx.set_jaccard(F.col("s"), F.col("t")), 9).alias("jaccard"))
 
 

@@ -212,17 +212,19 @@ def candidate_edges(base: DataFrame, threshold: Fraction, rounds: int) -> DataFr
         odd = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         band = F.least(F.lit(BANDS - 1), F.floor(odd * (8 * p) / (F.col("limit") * (q - p)))).cast("int")
         most = F.greatest("n", "n_low") * 8 / F.col("limit")
-        far = materialize(pairs.select("c", "node", "low", band.alias("band"), most.alias("most")), "join-far")
-        apart = around.join(far, ["c", "node", "low"])
+        far = materialize(pairs.select("c", "node", "low", band.alias("band"), most.alias("most")), "join-far", True)
+        apart = materialize(around.join(far, ["c", "node", "low"]).select("key", "c", "node", "low", "band", "most"), "join-apart", True)
         # differences from a centre obey the triangle inequality: beyond an empty stretch as wide as a link's
-        # largest difference nothing links with what is before it
-        bounds = apart.groupBy("key", "c").agg(F.collect_set("band").alias("bands"), F.max("most").alias("most"))
+        # largest difference nothing links with what is before it. Few groups have one, and written apart from
+        # the sums, so that a key with most of the rows can be split where it meets its group's.
+        bounds = apart.groupBy("key", "c").agg(F.collect_set("band").alias("bands"), F.max("most").alias("most"), F.max("band").alias("top"))
         inner = F.aggregate(F.array_sort("bands"), F.lit(0), lambda s, x: F.when(x - s - 1 >= F.col("most"), s).otherwise(x))
-        apart = materialize(apart.join(bounds.select("key", "c", inner.alias("inner")), ["key", "c"]), "join-apart")
-        near = apart.where("band <= inner").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()
+        gaps = materialize(bounds.select("key", "c", "top", inner.alias("inner")).where("inner < top").drop("top"), "join-gaps")
+        told = apart.join(gaps, ["key", "c"], "left")
+        near = told.where("inner IS NULL OR band <= inner").select(F.col("node").alias("u"), F.col("low").alias("v")).distinct()
         edges = edges.unionByName(materialize(near, "join-near"))
-        left = materialize(apart.where("band > inner").select("key", "c", "node"), "join-left", True)
-        discard(low, far, apart, rows)
+        left = materialize(told.where("band > inner").select("key", "c", "node"), "join-left", True)
+        discard(low, far, apart, gaps, rows)
         rows = left
         if rows.isEmpty():
             return edges

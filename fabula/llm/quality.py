@@ -71,7 +71,7 @@ def context_vectors(texts: DataFrame) -> np.ndarray:
     """The random-indexing table of a one-column table of texts, rows scaled to unit length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((1 << BUCKET_BITS, DIM), np.float32)
+        table = np.zeros((1 << BUCKET_BITS, DIM))  # in double precision: small increments still count beside large sums
         for batch in batches:
             for _, _, data, offsets in blocks(batch.column(0)):
                 bucket, shape, bounds = _words(data, offsets)
@@ -86,7 +86,7 @@ def context_vectors(texts: DataFrame) -> np.ndarray:
                     ranked = bucket[order]
                     first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
                     table[ranked[first]] += np.add.reduceat(around[order], first, axis=0)
-        yield _sums.slices(table)
+        yield _sums.slices(table.astype(np.float32))
 
     table = _sums.total(texts.mapInArrow(run, _sums.SCHEMA), "float32", INDEX.size).reshape(INDEX.shape)
     return table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)

@@ -631,6 +631,46 @@ def test_neighbours_repeated_ids_and_index_alone(spark):
     assert len(found) == 800 and hits >= 0.9 * 800
 
 
+def test_quality_equals_plain_loops(spark):
+    """Features and scores against loops over words and their neighbours."""
+    rng = random.Random(21)
+    texts = {i: " ".join(rng.choice(WORDS) + rng.choice(["", "!", "42"]) for _ in range(rng.randint(0, 30))) for i in range(60)}
+    labels = {i: int(len(texts[i]) % 2) for i in range(60)}
+    seen = {}
+    for i, t in texts.items():
+        bucket, shape, _ = quality._words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)], np.int64))
+        seen[i] = list(zip(bucket.tolist(), shape.tolist()))
+    table = np.zeros((1 << quality.BUCKET_BITS, quality.DIM))
+    for words in seen.values():
+        for at, (b, _) in enumerate(words):
+            for other in range(max(0, at - 2), min(len(words), at + 3)):
+                if other != at:
+                    table[b] += quality.INDEX[words[other][0]] + quality.SHAPE_INDEX[words[other][1]]
+    table /= np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
+    want = {}
+    for i, words in seen.items():
+        f = np.zeros(quality.FEATURES)
+        if words:
+            own, n, d = [quality.INDEX[b] for b, _ in words], len(words), quality.DIM
+            f[:d] = np.mean([table[b] for b, _ in words], axis=0)
+            f[d : 2 * d] = np.mean([quality.SHAPE_INDEX[s] for _, s in words], axis=0)
+            f[2 * d] = (np.mean(own, axis=0) ** 2).sum()
+            for step in (1, 2):
+                f[2 * d + step] = sum(float(own[j] @ own[j + step]) for j in range(n - step)) / n
+            f[2 * d + 3] = math.log1p(n) / 8
+        want[i] = f
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    docs = df.selectExpr("doc_id AS id", "text")
+    for r in quality.pooled(docs, quality.context_vectors(docs.select("text"))).collect():
+        assert np.allclose(r["features"], want[r["id"]], atol=1e-5)
+    known = spark.createDataFrame(list(labels.items()), "doc_id long, quality int")
+    hashed = dict(spark.range(60).selectExpr("id", "xxhash64(id)").collect())
+    fit = sorted((i for i in texts if zlib.crc32(str(i).encode()) % 3 != 1), key=lambda i: hashed[i])
+    net = quality.Network(np.array([want[i] for i in fit]), np.array([labels[i] for i in fit]))
+    for r in quality.quality_scores(df, known).collect():
+        assert r["score"] == pytest.approx(float(net.score(want[r["id"]][None])[0]), abs=0.02)
+
+
 def test_quality_odd_rows(spark):
     """Null and empty texts, repeated ids, labels that contradict: every row gets a score, equal texts the same."""
     rows = [(i, f"plain words number {i % 7} " * 5) for i in range(60)] + [(60, None), (61, ""), (62, "  "), (5, "plain words"), (5, "plain words"), (None, "plain words")]

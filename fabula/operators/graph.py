@@ -76,11 +76,11 @@ def page_rank(edges: DataFrame, rounds: int = 10, damping: float = 0.85, source:
     links = materialize(links.join(out, "s"), "rank-links")
     nodes = links.select(F.col("s").alias("id")).union(links.select("t")).distinct().join(out.withColumnRenamed("s", "id"), "id", "left")
     nodes = materialize(nodes, "rank-nodes")
-    n = nodes.count()
+    n, ending = nodes.agg(F.count(F.lit(1)), F.count_if(F.col("out").isNull())).first()
     ranks = nodes.withColumn("rank", F.lit(1.0 / max(n, 1)))
     for _ in range(rounds):
         flow = links.join(ranks.select(F.col("id").alias("s"), "rank"), "s").groupBy("t").agg(F.sum(F.col("rank") / F.col("out")).alias("flow"))
-        loose = ranks.where("out IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+        loose = ranks.where("out IS NULL").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0] if ending else 0.0
         base = (1 - damping) / n + damping * loose / n
         new = nodes.join(flow, nodes["id"] == flow["t"], "left")
         old = ranks

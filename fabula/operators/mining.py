@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .relational import set_jaccard
+
 
 def type_combinations(df: DataFrame, group: str, kind: str, size: int) -> DataFrame:
     """Every combination of types that some group holds: rows whose type is in it, and groups that hold all of its types.
@@ -43,16 +45,12 @@ def causal_pairs(pairs: DataFrame, cause: str, effect: str, rules: list[tuple[st
 def prune_patterns(patterns: DataFrame, key: str, items: str, support: str, min_support: float, similarity: float) -> DataFrame:
     """Drops weak patterns, and of patterns with similar item sets (Jaccard) all but the best supported.
 
-    Patterns meet only where they share an item; ties keep the smaller key.
+    Patterns meet on their rarest items only; ties keep the smaller key.
     """
     strong = patterns.where(F.col(support) >= min_support)
-    items_of = strong.select(key, support, F.array_distinct(items).alias("__s"))
-    spread = items_of.select(key, support, F.size("__s").alias("__n"), F.explode("__s").alias("__i"))
-    a, b = spread.alias("a"), spread.alias("b")
-    shared = a.join(b, (F.col("a.__i") == F.col("b.__i")) & (F.col(f"a.{key}") != F.col(f"b.{key}")))
-    better = (F.col(f"b.{support}") > F.col(f"a.{support}")) | ((F.col(f"b.{support}") == F.col(f"a.{support}")) & (F.col(f"b.{key}") < F.col(f"a.{key}")))
-    counts = shared.where(better).groupBy(F.col(f"a.{key}").alias(key), F.col(f"b.{key}").alias("__other")).agg(
-        F.count(F.lit(1)).alias("__c"), F.first("a.__n").alias("__na"), F.first("b.__n").alias("__nb")
-    )
-    beaten = counts.where(F.col("__c") >= similarity * (F.col("__na") + F.col("__nb") - F.col("__c"))).select(key).distinct()
+    pairs = set_jaccard(strong, key, items, similarity)
+    side = lambda n: strong.select(F.col(key).alias(n), F.col(support).alias(f"__{n}"))
+    weighed = pairs.join(side("a"), "a").join(side("b"), "b")
+    loser = F.when(F.col("__a") < F.col("__b"), F.col("a")).otherwise(F.col("b"))  # a < b, so of equals b goes
+    beaten = weighed.select(loser.alias(key)).distinct()
     return strong.join(beaten, key, "left_anti")

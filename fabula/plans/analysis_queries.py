@@ -30,7 +30,7 @@ PEERS = """(SELECT DISTINCT user_id AS src, other AS dst FROM (SELECT user_id, l
 def _peers(spark, d):
     """Users whose events follow each other within a type; types are few, so events are numbered over ranges."""
     rows = seq.following(events(spark, d).select("event_type", "ts", "event_id", "user_id"), ["event_type"], ["ts", "event_id"], ["user_id"])
-    return rows.select(F.col("user_id").alias("src"), F.col("next_user_id").alias("dst")).where("src <> dst").distinct()
+    return materialize(rows.select(F.col("user_id").alias("src"), F.col("next_user_id").alias("dst")).where("src <> dst").distinct(), "peers")
 
 
 @query("""WITH m AS (SELECT DISTINCT l_orderkey AS e, l_suppkey AS s FROM lineitem), h0 AS (SELECT 1 AS id), h1 AS (SELECT DISTINCT m2.s AS id FROM m JOIN m m2 USING (e) WHERE m.s IN (SELECT id FROM h0)),

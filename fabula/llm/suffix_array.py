@@ -20,9 +20,9 @@ import numpy as np
 class BucketQueues:
     """First-in-first-out queues of position arrays, one for each symbol, spilled beyond ``memory`` bytes."""
 
-    def __init__(self, symbols: int, memory: int = 48 << 20):
+    def __init__(self, symbols: int, memory: int):
         self.chunks: list[list] = [[] for _ in range(symbols)]
-        self.memory, self.held, self.file = memory, 0, None
+        self.memory, self.held, self.file, self.end = memory, 0, None, 0
 
     def push(self, symbol: int, positions: np.ndarray) -> None:
         self.chunks[symbol].append(positions)
@@ -31,14 +31,16 @@ class BucketQueues:
             self._spill()
 
     def _spill(self) -> None:
+        """What is held goes to the file, one piece a queue, after what is there of it."""
         if self.file is None:
             self.file = tempfile.TemporaryFile()  # without a name: it goes with the process
+        self.file.seek(self.end)
         for queue in self.chunks:
-            for i, chunk in enumerate(queue):
-                if isinstance(chunk, np.ndarray):
-                    self.file.seek(0, 2)
-                    queue[i] = (self.file.tell(), len(chunk), chunk.dtype)
-                    self.file.write(chunk.tobytes())
+            held = [chunk for chunk in queue if isinstance(chunk, np.ndarray)]
+            if held:
+                whole = np.concatenate(held)
+                queue[-len(held) :] = [(self.end, len(whole), whole.dtype)]
+                self.end += self.file.write(whole.tobytes())
         self.held = 0
 
     def pop(self, symbol: int) -> np.ndarray | None:
@@ -163,12 +165,22 @@ def _rank_suffixes(names: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
-def suffix_array(text: np.ndarray, depth: int, symbols: int = 257, memory: int = 48 << 20, recursive: bool = False) -> np.ndarray:
-    """Start positions in the order of the suffixes' first ``depth`` symbols at least; queues hold ``memory`` bytes."""
-    text = np.ascontiguousarray(text, np.int16 if symbols <= 1 << 15 else np.int32)
+def _on_disk(array: np.ndarray, most: int) -> np.ndarray:
+    """The array, or a map of a temporary file without a name where it is larger than ``most`` bytes."""
+    if array.nbytes <= most:
+        return array
+    file = tempfile.TemporaryFile()
+    array.tofile(file)
+    return np.memmap(file, array.dtype, "r+", shape=array.shape)
+
+
+def suffix_array(text: np.ndarray, depth: int, symbols: int = 257, memory: int = 1 << 20, recursive: bool = False, whole: int = 64 << 20) -> np.ndarray:
+    """Start positions in the order of the suffixes' first ``depth`` symbols at least; queues hold ``memory``
+    bytes, and texts and types above ``whole`` bytes are mapped files."""
+    text = _on_disk(np.ascontiguousarray(text, np.int16 if symbols <= 1 << 15 else np.int32), whole)
     if len(text) < 2:
         return np.arange(len(text), dtype=np.int32)
-    stype = s_types(text)
+    stype = _on_disk(s_types(text), whole)
     lms = np.flatnonzero(stype[1:] & ~stype[:-1]).astype(np.int32) + 1
     larger, smaller = induce(text, stype, _by_symbol(text, lms, symbols), symbols, memory)
     if len(lms) > 1:
@@ -178,7 +190,7 @@ def suffix_array(text: np.ndarray, depth: int, symbols: int = 257, memory: int =
         names = _names(text, lms, sorted_s[first[sorted_s]])
         kinds = int(names.max()) + 1
         if recursive and kinds < len(names):
-            order = suffix_array(names, len(names), kinds, memory, True)
+            order = suffix_array(names, len(names), kinds, memory, True, whole)
         else:
             order = _rank_suffixes(names, depth // 2 + 1)  # a substring covers two symbols at least
         larger, smaller = induce(text, stype, _by_symbol(text, lms[order], symbols), symbols, memory)

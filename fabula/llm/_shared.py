@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,9 +67,17 @@ def discard(*tables: DataFrame) -> None:
 
 
 def collect_garbage(spark: SparkSession) -> None:
-    """Let go of finished jobs, upon which Spark deletes their shuffle files."""
+    """Let go of finished jobs, upon which Spark deletes their shuffle files.
+
+    What Python lets go of reaches the JVM with the next calls, and Spark's cleaner works on what one
+    collection found while the next one runs; so there are two, a moment apart.
+    """
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    jvm = spark.sparkContext._jvm
+    for pause in (0.1, 0.2):
+        jvm.System.currentTimeMillis()
+        time.sleep(pause)
+        jvm.System.gc()
 
 
 def release(spark: SparkSession) -> None:

@@ -6,6 +6,7 @@ Everything is vectorised over blocks of documents; no Python string is made.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,6 +41,14 @@ def _powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker outlives its task, beside the JVM and its next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column, and n + 1 offsets into them; null counts as empty."""
     column = column.cast(pa.large_string()).fill_null("")

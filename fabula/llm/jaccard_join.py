@@ -497,8 +497,9 @@ def jaccard_components(
     members = materialize(classes.join(candidates, "node").select("rep", "node", "raw", "node2", "comp"), "join-members")
     sets = materialize(gather_sets(docs, members, k), "join-sets", True)
     labels = link(sets, t, block)
-    known = members.select("rep", "node").join(labels, "node")
-    least = known.groupBy("label").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("linked"))
+    # written apart, so that a component with most of the classes can be split where it meets its name
+    known = materialize(members.select("rep", "node").join(labels, "node"), "join-known")
+    least = materialize(known.groupBy("label").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("linked")), "join-least")
     named = known.join(least, "label").select("node", "least", (F.col("linked") - 1).alias("linked"))
     named = classes.join(named, "node", "left").select("node", F.coalesce("least", "rep").alias("least"), F.coalesce("linked", F.lit(0)).alias("linked"))
     named = materialize(named, "join-named").withColumn("n", F.lit(1))

@@ -28,11 +28,12 @@ from fabula.session import ship
 
 from . import _sums
 from ._shared import materialize
-from ._text import blocks, words
+from ._text import blocks, give_back, words
 
 BUCKET_BITS, DIM = 13, 32
 SHAPES = 256
 FEATURES = 2 * DIM + 4
+BLOCK = 1 << 18  # bytes of text at a time: a word takes some hundred bytes on the way
 
 _rng = np.random.default_rng(13)
 
@@ -73,7 +74,7 @@ def context_vectors(texts: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros((1 << BUCKET_BITS, DIM))  # in double precision: small increments still count beside large sums
         for batch in batches:
-            for _, _, data, offsets in blocks(batch.column(0)):
+            for _, _, data, offsets in blocks(batch.column(0), BLOCK):
                 bucket, shape, bounds = _words(data, offsets)
                 own = INDEX[bucket] + SHAPE_INDEX[shape]
                 around = np.zeros_like(own)
@@ -87,6 +88,7 @@ def context_vectors(texts: DataFrame) -> np.ndarray:
                     first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
                     table[ranked[first]] += np.add.reduceat(around[order], first, axis=0)
         yield _sums.slices(table.astype(np.float32))
+        give_back()
 
     table = _sums.total(texts.mapInArrow(run, _sums.SCHEMA), "float32", INDEX.size).reshape(INDEX.shape)
     return table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9)
@@ -98,7 +100,7 @@ def pooled(docs: DataFrame, table: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros((batch.num_rows, FEATURES), np.float32)
-            for row, end, data, offsets in blocks(batch.column(1)):
+            for row, end, data, offsets in blocks(batch.column(1), BLOCK):
                 bucket, shape, bounds = _words(data, offsets)
                 count = np.diff(bounds)
                 full = np.flatnonzero(count)
@@ -118,6 +120,7 @@ def pooled(docs: DataFrame, table: np.ndarray) -> DataFrame:
                 out[at, 2 * DIM + 3] = np.log1p(n[:, 0]) / 8
             lists = pa.FixedSizeListArray.from_arrays(pa.array(out.reshape(-1)), FEATURES).cast(pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "features"])
+        give_back()
 
     return docs.mapInArrow(run, "id long, features array<float>")
 

@@ -126,26 +126,26 @@ def test_graph_queries_see_every_event(spark, sf_dir):
     least = {i: i for i in near}
     for _ in near:
         least = {i: min([least[i], *(least[j] for j in near[i])]) for i in near}
-    assert {r["id"]: r["component"] for r in QUERIES["connected_components_users"](spark, sf_dir).collect()} == least
+    assert {r["id"]: r["component"] for r in QUERIES["connected_components"](spark, sf_dir).collect()} == least
     out = collections.Counter(a for a, _ in edges)
     rank = {i: 1 / len(near) for i in near}
     for _ in range(10):
         loose = sum(r for i, r in rank.items() if not out[i])
         rank = {i: (0.15 + 0.85 * loose) / len(near) + 0.85 * sum(rank[a] / out[a] for a, b in edges if b == i) for i in near}
-    assert {r["id"]: r["rank"] for r in QUERIES["page_rank_users"](spark, sf_dir).collect()} == pytest.approx(rank)
+    assert {r["id"]: r["rank"] for r in QUERIES["page_rank"](spark, sf_dir).collect()} == pytest.approx(rank)
     score = {i: 1.0 for i in near}
     for _ in range(10):
         score = {i: score[i] + sum(score[j] for j in near[i]) for i in near}
         norm = sum(s * s for s in score.values()) ** 0.5
         score = {i: s / norm for i, s in score.items()}
-    assert {r["id"]: r["score"] for r in QUERIES["eigenvector_centrality_users"](spark, sf_dir).collect()} == pytest.approx(score)
+    assert {r["id"]: r["score"] for r in QUERIES["eigenvector_centrality"](spark, sf_dir).collect()} == pytest.approx(score)
     label = {i: i for i in near}
     for _ in range(5):
         votes = {i: collections.Counter([label[i], *(label[j] for j in near[i])]) for i in near}
         label = {i: min(v, key=lambda c: (-v[c], c)) for i, v in votes.items()}
     sizes = collections.Counter(label.values())
     want = {i: c for i, c in label.items() if sizes[c] >= 3}
-    assert {r["id"]: r["community"] for r in QUERIES["communities_users"](spark, sf_dir).collect()} == want
+    assert {r["id"]: r["community"] for r in QUERIES["communities"](spark, sf_dir).collect()} == want
 
 
 def test_contained_terms_of_any_length(spark):

@@ -52,7 +52,8 @@ LEVELS, WIDTH = 3, 16
 LEAVES = WIDTH**LEVELS
 KINDS = 3  # previous word, skip, both
 END, BEGIN = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
-CHUNK = 32_768
+CHUNK = 16_384  # tokens whose logits stay in a processor's cache
+ONES, UP_TO = np.ones(WIDTH, np.float32), np.triu(np.ones((WIDTH, WIDTH), np.float32))
 CHECK = 32
 
 
@@ -90,6 +91,8 @@ class Model:
 
     def __init__(self, weights: np.ndarray, bias: np.ndarray):
         self.weights, self.bias = weights, bias
+        # most that a token's weights add to a logit; a large one could leave the range of exp
+        self.wide = max(sum(float(np.abs(w).max(initial=0)) for w in level) for level in weights) > 40
 
     @staticmethod
     def empty(n_rows: int, masses: np.ndarray) -> Model:
@@ -110,11 +113,12 @@ class Model:
         return path, rows, leaf // WIDTH ** (LEVELS - 1 - level) % WIDTH
 
     def logits(self, path: np.ndarray, rows: list[np.ndarray], level: int) -> np.ndarray:
-        """Natural logs of the classes' shares on a level, a row for each token, up to a common term; the largest is 0."""
+        """Natural logs of the classes' shares on a level, a row for each token, up to a common term; fit for exp."""
         z = self.bias[level].take(path, axis=0)
         for kind in range(KINDS):
             z += self.weights[level, kind].take(rows[kind], axis=0)
-        z -= z.max(axis=1, keepdims=True)
+        if self.wide:
+            z -= z.max(axis=1, keepdims=True)
         return z
 
     def log_leaf(self, tokens: np.ndarray, leaf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -125,7 +129,8 @@ class Model:
             for level in range(LEVELS):
                 path, rows, cls = self.rows([h[part] for h in histories], leaf[part], level)
                 z = self.logits(path, rows, level)
-                out[part] += z[np.arange(len(path)), cls] - np.log(np.exp(z).sum(axis=1))
+                own = z[np.arange(len(path)), cls]
+                out[part] += own - np.log(np.exp(z, out=z) @ ONES)
         return out
 
 
@@ -174,7 +179,7 @@ def gradient(texts: DataFrame, model: Model, tasks: int) -> tuple[np.ndarray, fl
     shape = (2, *model.weights.shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, told, n = np.zeros(shape, np.float32), 0.0, 0
+        sums, told, n = np.zeros(shape, np.int32), 0.0, 0
         for batch in batches:
             checks = batch.column(1)
             for _, _, data, offsets in blocks(batch.column(0).filter(checks)):
@@ -186,7 +191,9 @@ def gradient(texts: DataFrame, model: Model, tasks: int) -> tuple[np.ndarray, fl
                 for at in range(0, len(tokens), CHUNK):
                     part = slice(at, at + CHUNK)
                     _add_counts(sums, model, [h[part] for h in histories], leaf[part], keys[part])
-        yield from _sums.parts(np.append(sums.reshape(-1), np.array([told, n] + [0] * (_sums.SLICES - 2), np.float32)))
+        out = np.zeros(sums.size + _sums.SLICES, np.float32)
+        out[: sums.size], out[sums.size : sums.size + 2] = sums.reshape(-1), (told, n)
+        yield from _sums.parts(out)
 
     out = _sums.total(texts.select("text", "checks").coalesce(tasks).mapInArrow(run, _sums.SCHEMA), "float32", int(np.prod(shape)) + _sums.SLICES, math.isqrt(tasks))
     told, n = out[-_sums.SLICES :][:2]
@@ -204,18 +211,18 @@ def drawn(z: np.ndarray, keys: np.ndarray, level: int) -> np.ndarray:
     """A class for each row of logits, drawn by its key."""
     with np.errstate(over="ignore"):
         u = (mix64(keys + np.uint64(level + 1)) >> np.uint64(40)).astype(np.float32) * np.float32(2**-24)
-    c = np.cumsum(np.exp(z), axis=1)
-    return np.minimum((c <= (u * c[:, -1])[:, None]).sum(axis=1), WIDTH - 1)
+    c = np.exp(z) @ UP_TO  # running sums
+    below = np.packbits(c <= (u * c[:, -1])[:, None]).view(np.uint16)  # WIDTH bits a row
+    return np.minimum(np.bitwise_count(below), WIDTH - 1).astype(np.int64)
 
 
 def _add_counts(sums: np.ndarray, model: Model, histories: list[np.ndarray], leaf: np.ndarray, keys: np.ndarray) -> None:
-    n = sums.shape[3] * WIDTH
     for level in range(LEVELS):
         path, rows, cls = model.rows(histories, leaf, level)
         guess = drawn(model.logits(path, rows, level), keys, level)
         for kind in range(KINDS):
             for side, chosen in enumerate((cls, guess)):
-                sums[side, level, kind] += np.bincount(rows[kind] * WIDTH + chosen, minlength=n).reshape(-1, WIDTH)
+                np.add.at(sums[side, level, kind].reshape(-1), rows[kind] * WIDTH + chosen, np.int32(1))
 
 
 def train(texts: DataFrame, model: Model, rounds: int, tasks: int, rate: float = 0.4, ridge: float = 20.0) -> tuple[Model, list[float]]:

@@ -703,3 +703,28 @@ def test_lm_empty(empty, odd_ids):
 
 def test_lower_letters_only():
     assert exact_dedup.string.ascii_uppercase.lower() == string.ascii_lowercase
+
+
+def test_counts_of_few_tokens_do_not_pass_over_a_large_model():
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    model = lm.Model.empty(60_000, np.ones(lm.LEAVES))
+    model = lm.Model(rng.normal(0, 1, model.weights.shape).astype(np.float32), model.bias)
+    raw = " ".join(f"w{i % 7}" for i in range(50)).encode()
+    tokens, leaf, bounds = lm._tokens(np.frombuffer(raw, np.uint8), np.array([0, len(raw)], np.int64))
+    histories, keys = lm._histories(tokens, bounds), lm.draw_keys(tokens, bounds)
+    sums = np.zeros((2, *model.weights.shape), np.int32)
+    tracemalloc.start()
+    lm._add_counts(sums, model, histories, leaf, keys)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200_000  # one column of the model is 3,840,000 bytes
+    for level in range(lm.LEVELS):
+        _, rows, cls = model.rows(histories, leaf, level)
+        for kind in range(lm.KINDS):
+            want = Counter(zip(rows[kind].tolist(), cls.tolist()))
+            assert {(r, c): sums[0, level, kind, r, c] for r, c in zip(*np.nonzero(sums[0, level, kind]))} == want
+            assert sums[1, level, kind].sum() == len(tokens)
+    wide = lm.Model(model.weights * 1000, model.bias)  # beyond the range of exp
+    assert np.isfinite(wide.log_leaf(tokens, leaf, bounds)).all() and wide.log_leaf(tokens, leaf, bounds).max() <= 1e-6

@@ -304,3 +304,11 @@ def _next(line, i, c, y):
     for j, e in enumerate(y):
         new.append(min(line[j] + (c != e), line[j + 1] + 1, new[j] + 1))
     return new
+
+
+def test_distances_come_by_node_for_a_block_of_sources(spark):
+    """Files of the result hold runs of one node with the same sources over and over, so they take few bytes a row."""
+    edges = spark.range(600).selectExpr("id AS src", "(id * 7 + 3) % 600 AS dst").union(spark.range(600).selectExpr("id", "(id + 1) % 600"))
+    rows = gr.distances(edges).select("v").toPandas()["v"].to_numpy()
+    assert len(rows) == 600 * 600
+    assert (rows[1:] != rows[:-1]).sum() < len(rows) / 20
